@@ -70,7 +70,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of what has a known shape, by start, then kind."""
     out = [(a, 0, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p := p.lstrip("0")) < 4 and int(p or 0) < 256 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) < 4 and int(q or 0) < 256 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
