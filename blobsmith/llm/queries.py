@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality_rules
+from . import bpe, near_dup, packing, pii, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of personal data of every document."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_bpe": op4_bpe,
+    "op6_minhash": op6_minhash,
     "op8_contextual_pii": op8_contextual_pii,
 }
 
