@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dup, packing, pii, quality_rules
+from . import bpe, lang_crf, near_dup, packing, pii, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,21 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(pii.spelt(F.col("base")), 256).alias("base_sha256"), pii.spelt(F.col("spans")).alias("spans"))
 
 
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents whose fold is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    fold = lang_crf.fold(F.col("doc_id"), 3)
+    found = lang_crf.predict(docs, lang_crf.learn(docs.where(fold != 1)))
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_bpe": op4_bpe,
     "op6_minhash": op6_minhash,
     "op8_contextual_pii": op8_contextual_pii,
+    "op10_language_crf": op10_language_crf,
 }
 
 ORACLE_SQL: dict[str, str] = {}
