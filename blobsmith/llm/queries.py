@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_crf, near_dup, packing, pii, quality_rules
+from . import bpe, embed_dup, lang_crf, near_dup, packing, pii, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of personal data of every document."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -63,6 +68,11 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(pii.spelt(F.col("base")), 256).alias("base_sha256"), pii.spelt(F.col("spans")).alias("spans"))
 
 
+def op9_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and component of every vector."""
+    return embed_dup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents whose fold is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -76,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pattern_packing": op3_pattern_packing,
     "op4_bpe": op4_bpe,
     "op6_minhash": op6_minhash,
+    "op7_link_graph": op7_link_graph,
     "op8_contextual_pii": op8_contextual_pii,
+    "op9_pivot_permutation": op9_pivot_permutation,
     "op10_language_crf": op10_language_crf,
 }
 
