@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dup, lang_crf, near_dup, packing, pii, quality_rules, url_filters
+from . import bpe, embed_dup, lang_crf, near_dup, packing, pii, ppm, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "failure_bits")
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document, learned from the documents whose fold is not 0."""
+    fold = lang_crf.fold(F.col("doc_id"), 10)
+    return ppm.score(table(spark, sf_dir, "documents"), fold != 0, fold == 0)
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
@@ -83,6 +89,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ppm": op2_ppm,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_bpe": op4_bpe,
     "op6_minhash": op6_minhash,
