@@ -1,14 +1,16 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 The trie of contexts is a set of tables, one for each order: how often a byte followed a context in the training texts.
-A byte is coded in its longest known context; if it never followed there, an escape is coded (method C: as likely as the
-number of different bytes that did follow) and the next shorter context is tried, in which the bytes of the longer one
-are excluded, as the escape has ruled them out. Below order 0 all bytes not yet excluded are equally likely. An end of
+A byte is coded in its longest known context; if it never followed there, an escape is coded (method D: each different byte
+that did follow gives half a count to the escape) and the next shorter context is tried, in which the bytes of the longer
+one are excluded, as the escape has ruled them out. Below the highest order a byte counts once for each longer context
+it followed (update exclusion). Below order 0 all bytes not yet excluded are equally likely. An end of
 text is coded too, so the scores are log10 probabilities of whole texts.
 
 Since the model is fixed once learned, the cost of a byte depends on its context alone, so it is worked out once for each
-different gram of a context and a byte. Texts are dealt into chunks; a chunk's different grams and words meet the tables
-by joins and come back to its texts in a cogroup, so nothing that grows with the corpus is collected or broadcast.
+different gram of a context and a byte. A task gathers its texts into chunks; a chunk's different grams and words meet the
+tables by joins and come back to its (compressed) texts in a cogroup, so nothing that grows with the corpus is collected
+or broadcast.
 
 Lower case is used throughout (A-Z only). Defined results: a null text is empty; a row without an id is scored, not
 learned from, and not held out; repeated ids are scored row by row; other columns are ignored; without training texts
@@ -20,19 +22,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .bpe import arrow_type
+from .common import materialize, small_batches, text_chunks
 
-ORDER = 4
-#: Text of a chunk, in bytes, and the least number of chunks.
-CHUNK = 16_000_000
-CHUNKS = 64
+ORDER = 5
+#: Text of a chunk, in bytes; a longer text makes a chunk of its own.
+CHUNK = 32_000_000
 #: Never part of UTF-8: stands for the end of a text and, ORDER times, for what is before it.
 EDGE = b"\xff"
 SYMBOLS = 256
@@ -69,40 +73,78 @@ def _slices(texts: list[bytes], limit: int = _STEP) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
-def _lower(texts: pd.Series) -> list[bytes]:
-    return [(t or "").encode().lower() for t in texts]
+class Chunk:
+    """The different words and grams of some texts, and how often they are in training texts."""
 
+    def __init__(self) -> None:
+        self.size, self.ends, self.words = 0, 0, Counter()
+        self.grams, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def count_chunk(group: pd.DataFrame) -> pd.DataFrame:
-    """(chunk, word, gram, n): the different words and grams of a chunk and how often they are in training texts."""
-    texts, learned = _lower(group["text"]), group["learned"].to_numpy(bool)
-    words: Counter[bytes] = Counter()
-    for t, known in zip(texts, learned, strict=True):
-        found = t.split()
-        words.update(found if known else dict.fromkeys(found, 0))
-    ends = int(learned.sum())
-    parts = []
-    for s in _slices(texts):
-        grams, starts = grams_of(texts[s])
-        sizes = np.diff([*starts.tolist(), len(grams)])
-        known = np.repeat(learned[s], sizes)
-        own, at = np.unique(grams, return_inverse=True)
-        parts.append((own, np.bincount(at, known, len(own)).astype(np.int64)))
-    every = np.concatenate([p[0] for p in parts])
-    own, at = np.unique(every, return_inverse=True)
-    n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(own)).astype(np.int64)
-    names = [w.decode() for w in words] + [END]
-    return pd.DataFrame({
-        "chunk": np.full(len(names) + len(own), group["chunk"].iat[0], np.int64),
-        "word": pd.Series(names + [None] * len(own), dtype=object),
-        "gram": pd.array([None] * len(names) + own.tolist(), "Int64"),
-        "n": np.concatenate([np.array([*words.values(), ends], np.int64), n]),
-    })
+    def add(self, texts: list[bytes], learned: list[bool]) -> None:
+        for text, known in zip(texts, learned, strict=True):
+            found = text.split()
+            self.words.update(found if known else dict.fromkeys(found, 0))
+        self.ends += sum(learned)
+        self.size += sum(map(len, texts))
+        for s in _slices(texts):
+            grams, starts = grams_of(texts[s])
+            known = np.repeat(np.array(learned[s], bool), np.diff([*starts.tolist(), len(grams)]))
+            own, at = np.unique(grams, return_inverse=True)
+            n = np.bincount(at, known, len(own)).astype(np.int64)
+            self.grams, at = np.unique(np.concatenate([self.grams, own]), return_inverse=True)
+            self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.grams)).astype(np.int64)
+
+    def rows(self, chunk: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """Its words, in order, and its grams."""
+        words = sorted(self.words)
+        counts = [self.words[w] for w in words]
+        yield _batch(len(words) + 1, kind, chunk=chunk, word=[*(w.decode() for w in words), END], n=[*counts, self.ends])
+        yield _batch(len(self.grams), kind, chunk=chunk, gram=self.grams, n=self.n)
+
+
+_FIELDS = {"chunk": pa.int64(), "word": pa.string(), "gram": pa.int64(), "n": pa.int64(), "text": pa.binary()}
+
+
+def _batch(size: int, kind: pa.DataType, **columns) -> pa.RecordBatch:  # noqa: ANN003
+    """Rows of gather(): the columns given, the others null."""
+    columns["chunk"] = np.full(size, columns["chunk"], np.int64)
+    kinds = _FIELDS | {"doc_id": kind}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
+
+
+def gather(rows: DataFrame) -> DataFrame:
+    """A table of three kinds of rows: (chunk, doc_id, text) of texts, lower-case and compressed, (chunk, word, n), (chunk, gram, n).
+
+    rows: (doc_id, text, learned).
+    """
+    kind = arrow_type(rows, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, chunk, number = zstandard.ZstdCompressor(), Chunk(), TaskContext.get().partitionId() << 24
+        for batch in batches:
+            known = batch.column(2).to_pylist()
+            done = 0
+            for keys, texts in text_chunks([batch]):
+                low = [(t or "").encode().lower() for t in texts]
+                chunk.add(low, known[done : done + len(low)])
+                done += len(low)
+                yield _batch(len(low), kind, chunk=number, doc_id=keys, text=[pack.compress(t) for t in low])
+                if chunk.size >= CHUNK:
+                    yield from chunk.rows(number, kind)
+                    chunk, number = Chunk(), number + 1
+        if chunk.words or chunk.ends or len(chunk.grams):
+            yield from chunk.rows(number, kind)
+
+    name = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "learned").mapInArrow(
+        run, f"chunk long, word string, gram long, n long, text binary, doc_id {name}")
 
 
 def score_chunk(docs: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
     """The sums of a chunk's texts: facts has the count of each word and the log10 probability of each gram."""
-    texts = _lower(docs["text"])
+    unpack = zstandard.ZstdDecompressor()
+    texts = [unpack.decompress(t) for t in docs["text"]]
     is_word = facts["word"].notna()
     counts = {w.encode(): c for w, c in zip(facts.loc[is_word, "word"], facts.loc[is_word, "value"], strict=True)}
     known = {w for w, c in counts.items() if c > 0}
@@ -130,7 +172,7 @@ def trie(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[D
     followers = [counts.where("n > 0")]
     for k in range(order - 1, -1, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        followers.insert(0, followers[0].groupBy(low.alias("gram")).agg(F.sum("n").alias("n")))
+        followers.insert(0, followers[0].groupBy(low.alias("gram")).agg(F.count("*").alias("n")))
         if k == order - 1:
             followers[0] = materialize(followers[0], "followers")
     contexts = []
@@ -164,8 +206,8 @@ def gram_costs(grams: DataFrame, order: int = ORDER) -> DataFrame:
         rows = rows.withColumn("context", F.shiftright("low", 8)).join(seen, "low", "left").join(contexts[k], "context", "left")
         plain = F.col("left_total").isNull()
         escape = F.when(plain, F.col("kinds")).otherwise(F.col("left_kinds"))
-        total = F.when(plain, F.col("total")).otherwise(F.col("left_total")) + escape
-        coded = F.coalesce("found", escape)
+        total = 2 * F.when(plain, F.col("total")).otherwise(F.col("left_total"))
+        coded = F.coalesce(2 * F.col("found") - 1, escape)
         # an unknown context, or one with no byte left, costs nothing
         step = F.when(F.col("total").isNull() | (total == 0), F.lit(0.0)).otherwise(F.log10(coded / total))
         rows = rows.select(
@@ -187,22 +229,17 @@ def score(docs: DataFrame, learned: Column, held_out: Column, id_col: str = "doc
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(CHUNKS, ceil(size / CHUNK))
-    rows = rows.withColumn("learned", F.coalesce(learned, F.lit(False)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)))
-    counts = rows.groupBy("chunk").applyInPandas(count_chunk, "chunk long, word string, gram long, n long")
-    counts = materialize(counts, "counts")
+    counts = materialize(gather(rows.withColumn("learned", F.coalesce(learned, F.lit(False)))), "counts")
     words, grams = counts.where("word is not null"), counts.where("gram is not null")
     of_word = materialize(words.groupBy("word").agg(F.sum("n").alias("value")), "words")
     total = of_word.where("value > 0").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
     of_gram = materialize(gram_costs(materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")), "costs")
     facts = (
-        words.select("chunk", "word").join(of_word, "word").select("chunk", "word", F.lit(None).cast("long").alias("gram"), F.col("value").cast("double").alias("value"))
-        .unionByName(grams.select("chunk", "gram").join(of_gram, "gram").select("chunk", F.lit(None).cast("string").alias("word"), "gram", "value"))
+        words.select("chunk", "word").join(of_word, "word").select(F.col("chunk").alias("of_chunk"), "word", F.lit(None).cast("long").alias("gram"), F.col("value").cast("double").alias("value"))
+        .unionByName(grams.select("chunk", "gram").join(of_gram, "gram").select(F.col("chunk").alias("of_chunk"), F.lit(None).cast("string").alias("word"), "gram", "value"))
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInPandas(
+    scored = counts.where("text is not null").select("chunk", "doc_id", "text").groupBy("chunk").cogroup(facts.groupBy("of_chunk")).applyInPandas(
         score_chunk, f"n_tokens long, n_known long, log_sum double, doc_id {kind}, score double")
     floor = math.log10(total["tokens"] + 0.1 * (total["kinds"] + 1))
     return scored.select(
