@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dup, lang_crf, near_dup, packing, pii, ppm, quality_rules, url_filters
+from . import bpe, embed_dup, importance, lang_crf, near_dup, packing, pii, ppm, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The importance weight of every document towards the labelled good ones, and the documents drawn.
+
+    As many are drawn as the labels say are good.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null")
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    share = good.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 0.0
+    target = docs.join(good.where("quality = 1"), "doc_id", "left_semi")
+    return importance.select(docs, target, share)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -92,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm": op2_ppm,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_bpe": op4_bpe,
+    "op5_importance": op5_importance,
     "op6_minhash": op6_minhash,
     "op7_link_graph": op7_link_graph,
     "op8_contextual_pii": op8_contextual_pii,
