@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe import arrow_type
 from .common import small_batches, text_chunks
 
 UNKNOWN = "und"
@@ -261,29 +261,44 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     runs: array of (lang, n_words), by the likeliest language of each word.
     """
+    return _predict(docs, model, F.col(id_col).alias("doc_id"), F.col(text_col), runs)
+
+
+def screen(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are in a known language with at least so high a score."""
+    rows = _predict(docs, model, F.struct("*").alias("_row"), F.col(text_col), False)
+    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+
+
+def _predict(docs: DataFrame, model: Model | None, first: Column, text: Column, runs: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     shape = pa.list_(pa.struct([("lang", pa.string()), ("n_words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_chunks(batches):
-            langs, scores, stretches = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            for i, each in enumerate(model.label(texts)) if model else ():
-                if len(each):
-                    mean = each.mean(0)
-                    langs[i], scores[i] = model.labels[int(mean.argmax())], float(mean.max())
-                    if runs:
-                        best = each.argmax(1)
-                        cuts = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), len(best)]
-                        stretches[i] = [{"lang": model.labels[best[a]], "n_words": b - a} for a, b in zip(cuts, cuts[1:], strict=False)]
-            columns = [pa.array(keys, kind), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            names = ["doc_id", "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(stretches, shape)] if runs else columns, [*names, "runs"] if runs else names)
-
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind, name = arrow_type(docs, "doc_id"), docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {name}, lang_pred string, score double" + ", runs array<struct<lang: string, n_words: long>>" * runs
-    return docs.mapInArrow(run, schema)
+        for batch in batches:
+            done = 0
+            for at, texts in text_chunks([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(1)], ["at", "text"])]):
+                langs, scores, stretches = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+                for i, each in enumerate(model.label(texts)) if model else ():
+                    if len(each):
+                        mean = each.mean(0)
+                        langs[i], scores[i] = model.labels[int(mean.argmax())], min(1.0, float(mean.max()))
+                        if runs:
+                            best = each.argmax(1)
+                            cuts = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), len(best)]
+                            stretches[i] = [{"lang": model.labels[best[a]], "n_words": b - a} for a, b in zip(cuts, cuts[1:], strict=False)]
+                columns = [batch.column(0).slice(done, len(at)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                done += len(at)
+                names = [batch.schema.names[0], "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(stretches, shape)] if runs else columns, [*names, "runs"] if runs else names)
+
+    docs = docs.select(first, text.alias("text"))
+    fields = [docs.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if runs:
+        run_type = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType())])
+        fields.append(T.StructField("runs", T.ArrayType(run_type)))
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -159,6 +159,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: the component's smallest id, which alone is kept."""
+    return _grouped(docs, id_col, text_col).drop("text_key")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each component, and every row without an id."""
+    stay = _grouped(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_id", F.col(id_col))
+    named = keyed.where("_id is not null").join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(signatures(docs), "signatures")
     classes = materialize(
@@ -204,8 +216,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = whole.withColumn("component", F.coalesce("component", "fp"))
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     whole = whole.join(least, "component").select("fp", "component_id")
-    return rows.select("doc_id", "n_shingles", "fp").join(whole, "fp", "left").select(
-        "doc_id", "n_shingles",
+    return rows.select("doc_id", "n_shingles", "fp", "text_key").join(whole, "fp", "left").select(
+        "doc_id", "n_shingles", "text_key",
         F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 

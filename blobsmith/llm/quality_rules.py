@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -108,6 +109,14 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), *(pa.array(list(c), pa.int64()) for c in columns)], [batch.schema.names[0], *MEASURES])
 
 
+def _measures(docs: DataFrame, first: Column, text: Column) -> DataFrame:
+    """The measures of each text and its failure bits beside one column, which is passed through."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(first, text.alias("text"))
+    schema = T.StructType([docs.schema[0], *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    return docs.mapInArrow(_measured, schema).withColumn("failure_bits", failure_bits())
+
+
 def failure_bits(rules: dict[str, str] = RULES) -> Column:
     """One long with a bit for each failing rule."""
     bits = F.lit(0).cast("long")
@@ -118,11 +127,13 @@ def failure_bits(rules: dict[str, str] = RULES) -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the MEASURES (long) and failure_bits (long): a row for each row of docs."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
-    return docs.mapInArrow(_measured, schema).withColumn("failure_bits", failure_bits())
+    return _measures(docs, F.col(id_col).alias("doc_id"), F.col(text_col))
+
+
+def screen(docs: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the policy keeps."""
+    rows = apply_policy(_measures(docs, F.struct("*").alias("_row"), F.col(text_col)), policy)
+    return rows.where("kept").select("_row.*")
 
 
 def apply_policy(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
