@@ -17,18 +17,22 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import small_batches, text_chunks
 
 NONE = np.int32(2**31 - 1)
+#: What Unicode calls white space, for a pattern's brackets. Python's own class has more.
+BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words a worker remembers before it starts afresh, and half of the spellings.
 REMEMBERED = 300_000
 #: Words with more pairs than this are merged one by one.
@@ -51,9 +55,11 @@ class Vocabulary:
         self.spelling = np.array([""] * (max([*ids.values(), *self.special.values()]) + 1), object)
         for text, i in [*ids.items(), *self.special.items()]:
             self.spelling[i] = text
-        self.words = regex.compile(split["pattern"]["Regex"])
-        self.specials = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
-        letters = byte_letters()
+        self.words = re.compile(split["pattern"]["Regex"].replace(r"\s", BLANKS).replace(r"\p{L}", of_class("L")).replace(r"\p{N}", of_class("N")))
+        self.specials = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
+        self.strange = re.compile(f"[{of_class('Cn')}]")
+        self.library = Tokenizer.from_file(path)
+        self.letters = letters = byte_letters()
         self.inner = np.array([ids[c] for c in letters], np.int32)
         self.last = np.array([ids[c + end] for c in letters], np.int32)
         pairs = [(p.split(" ") if isinstance(p, str) else p) for p in model["merges"]]
@@ -64,6 +70,15 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if self.strange.search(text):  # newer than Python's tables of characters, but perhaps not than the library's
+            parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes(map(self.letters.index, word)).decode() for word, _ in parts]
+        plain = unicodedata.normalize("NFC", text)
+        # letter by letter, as the lower case of one letter depends on its place
+        return self.words.findall("".join(map(str.lower, plain)) if "Σ" in plain else plain.lower())
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where no merge is known."""
         key = left.astype(np.int64) * self.size + right
@@ -72,6 +87,14 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
 
+@functools.cache
+def of_class(letter: str) -> str:
+    """The ranges, for a pattern's brackets, of the characters of a Unicode category (a letter: all that start so)."""
+    inside = np.fromiter((unicodedata.category(chr(c)).startswith(letter) for c in range(sys.maxunicode + 1)), bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))).tolist()
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself if printable in Latin-1, else the next free letter from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -198,9 +221,7 @@ class Encoder:
         out, at = [], 0
         found = self.vocab.specials.finditer(text)
         for part, special in [*((m.span(), self.vocab.special[m[0]]) for m in found), ((len(text), len(text)), None)]:
-            plain = unicodedata.normalize("NFC", text[at : part[0]])
-            plain = "".join(map(str.lower, plain)) if "Σ" in plain else plain.lower()
-            out += self.vocab.words.findall(plain)
+            out += self.vocab.split(text[at : part[0]])
             out += [] if special is None else [special]
             at = part[1]
         return out
@@ -210,9 +231,13 @@ class Encoder:
         # what is all letters (but for the letter whose lower case depends on its place) is one word
         texts = b"\n".join(tokens).decode()
         plain = unicodedata.normalize("NFC", texts).lower().split("\n")
-        split = self.vocab.words.findall
+        split, strange = self.vocab.words.findall, self.vocab.strange.search(texts)
+
+        def plainly(p: str) -> bool:
+            return not strange and "ς" not in p and "<" not in p
+
         parts = [
-            ([p] if p.isalpha() else split(p)) if "ς" not in p and "<" not in p else self.pieces(t)
+            ([p] if p.isalpha() else split(p)) if p.isascii() and "<" not in p or plainly(p) else self.pieces(t)
             for p, t in zip(plain, texts.split("\n"), strict=True)
         ]
         if len(self.words) > REMEMBERED:
