@@ -52,9 +52,9 @@ def listing_filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.ordered(rows, F.col("size"), pinned=F.col("doc_id") % 10 == 3, key=F.col("doc_id"), descending=True)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, 'P.*1.*7', 'i')")
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, 'S.*R', 'i')")
 def wildcard_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.visible(table(spark, sf_dir, "part").select("p_partkey", "p_name"), name=F.col("p_name"), text="P*1*7")
+    return listing.visible(table(spark, sf_dir, "part").select("p_partkey", "p_name"), name=F.col("p_name"), text="S*R")
 
 
 @query(f"SELECT doc_id, {SIZE_SQL} AS size_str, {SIZE_SQL.replace('n ', 'm ').replace('n)', 'm)')} AS big_size_str FROM "
