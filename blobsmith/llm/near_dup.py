@@ -5,9 +5,9 @@ MinHash samples of a class give band keys, and are folded into an odd sketch: a
 The bits in which two sketches differ estimate how many samples differ, precisely where similarity is high, so that pairs
 of a band are first compared by sketches inside the join and only the rest on their full sets.
 
-No band lists all its pairs. First each class is checked against the most similar of its bands' least members, and
-components are formed; then, only where a band holds several components, its pairs across components are checked. A pair
-of one component needs no check, as it cannot change the components.
+No band lists all its pairs. Each class is first checked against the most similar of a few hubs of its bands, and
+components are formed; then, only where a band holds several components, its pairs across components are compared, and
+checked where their sketches agree. A pair of one component needs no check, as it cannot change the components.
 
 With ROWS = 7 and BANDS = 40 a pair of similarity 0.85 shares no band with a probability of 2e-7, less above.
 
@@ -33,9 +33,12 @@ from .common import components, materialize, small_batches, text_chunks
 WORDS = 5
 SIMILARITY = 85  # of a hundred
 ROWS, BANDS = 7, 40
-SKETCH_BITS = 512
-#: Pairs whose sketches say less than this are not checked: seven standard deviations below 0.85.
-SKETCH_SIMILARITY = 0.70
+SAMPLES = 1024
+SKETCH_BITS = 2048
+#: Pairs whose sketches say less than this are not checked: more than four standard deviations below 0.85.
+SKETCH_SIMILARITY = 0.78
+#: Members of a band that others are compared with first, and how often each picks the most similar one.
+HUBS, ROUNDS = 4, 2
 
 _MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(max(WORDS, ROWS) + 1)], np.uint64)
 
@@ -61,7 +64,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(scramble(out))
 
 
-def samples(sets: list[np.ndarray], n: int = ROWS * BANDS) -> np.ndarray:
+def samples(sets: list[np.ndarray], n: int = SAMPLES) -> np.ndarray:
     """MinHash samples (documents x n) of non-empty sets: two halves of each hash step through n hash functions."""
     out = np.empty((len(sets), n), np.uint32)
     if not sets:
@@ -76,8 +79,8 @@ def samples(sets: list[np.ndarray], n: int = ROWS * BANDS) -> np.ndarray:
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band (documents x BANDS); keys of different bands differ too."""
-    parts = mins.reshape(len(mins), BANDS, ROWS).astype(np.uint64)
+    """A 64-bit key for each band (documents x BANDS) of the first samples; keys of different bands differ too."""
+    parts = mins[:, : ROWS * BANDS].reshape(len(mins), BANDS, ROWS).astype(np.uint64)
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _MIX[ROWS], parts.shape[:2]).copy()
     for i in range(ROWS):
         keys = scramble(keys + parts[:, :, i] * _MIX[i])
@@ -92,12 +95,12 @@ def odd_sketches(mins: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
 
 
-def sketch_estimate(differ: float, n: int = ROWS * BANDS, bits: int = SKETCH_BITS) -> float:
+def sketch_estimate(differ: float, n: int = SAMPLES, bits: int = SKETCH_BITS) -> float:
     """The similarity that so many differing bits stand for."""
     return 1 + bits / (4 * n) * float(np.log(max(1e-9, 1 - 2 * differ / bits)))
 
 
-def _most_differing(n: int = ROWS * BANDS, bits: int = SKETCH_BITS) -> int:
+def _most_differing(n: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     return int(bits / 2 * (1 - np.exp(-4 * n / bits * (1 - SKETCH_SIMILARITY))))
 
 
@@ -179,7 +182,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
              F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
     facts = classes.select("fp", "n_shingles", "sketch")
     members = classes.select("fp", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # the least members under a few orders; an aggregate of fixed size, whatever a band holds
+    hubs = F.array(*(F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("at"), "fp"))["fp"] for i in range(HUBS)))
+    shared = members.groupBy("key").agg(hubs.alias("hubs"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(members.join(shared, "key"), "members")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -193,22 +198,32 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         return materialize(verified(pairs, texts_of(pairs)), "links")
 
-    stars = members.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = (
+    stars = members.select(F.col("fp").alias("a"), F.explode(F.array_distinct("hubs")).alias("b")).where("a <> b").distinct()
+    stars = materialize(
         stars.join(facts.alias("x"), F.col("a") == F.col("x.fp")).join(facts.alias("y"), F.col("b") == F.col("y.fp"))
-        .where(_alike("x", "y")).groupBy("a").agg(F.min(F.struct(_differ("x", "y").alias("differ"), "b")).alias("best"))
-        .select("a", F.col("best.b").alias("b"))
-    )
-    links = linked(stars)
-    joined = components(links)
+        .where(_alike("x", "y")).select("a", "b", _differ("x", "y").alias("differ")), "stars")
+    links, tried, joined = None, None, None
+    for _ in range(ROUNDS):
+        open_ = stars
+        if joined is not None:
+            of_a, of_b = (joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+            open_ = stars.join(tried, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+            open_ = open_.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        best = open_.groupBy("a").agg(F.min(F.struct("differ", "b"))["b"].alias("b"))
+        best = materialize(best, "best")
+        found = linked(best)
+        tried, links = (best, found) if links is None else (tried.union(best), links.union(found))
+        joined = components(links)
 
     of = members.select("key", "fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     of = of.withColumn("component", F.coalesce("component", "fp"))
+    # a pair that shares several bands is compared in the first of them only
     mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialize(of.join(mixed, "key").join(facts, "fp"), "mixed")
+    rest = materialize(of.join(mixed, "key").join(classes.select("fp", "n_shingles", "sketch", "bands"), "fp"), "mixed")
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-                    & (F.col("x.component") != F.col("y.component")) & _alike("x", "y"))
+                    & (F.col("x.component") != F.col("y.component")) & _alike("x", "y")
+                    & F.expr("array_intersect(x.bands, y.bands)[0] = x.key"))
     more = linked(across.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
     joined = components(links.union(more))
 
