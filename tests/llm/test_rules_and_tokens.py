@@ -1,8 +1,10 @@
 """The rule ledger, the tokenizer and the packing."""
 
+import json
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -80,22 +82,13 @@ def test_encode_and_decode(spark, odd_docs, no_docs):
         assert any(r["doc_id"] == doc_id and r["ids"] == ids and r["text"] == LIBRARY.decode(ids, skip_special_tokens=False) for r in both)
 
 
-def test_another_file_is_refused():
-    with pytest.raises(ValueError, match="not a byte-level BPE"):
-        bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")) if False else _refuse()
-
-
-def _refuse():
-    import json
-    import tempfile
-
-    with open(PATH, encoding="utf-8") as f:
-        spec = json.load(f)
+def test_another_file_is_refused(tmp_path):
+    other = tmp_path / "other.json"
+    spec = json.loads(Path(PATH).read_text(encoding="utf-8"))
     spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:1]
-    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
-        json.dump(spec, f)
-        f.flush()
-        bpe.Vocabulary(f.name)
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="not a byte-level BPE"):
+        bpe.Vocabulary(str(other))
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 400, 20_000])
