@@ -281,18 +281,22 @@ STEPS = [
 ]
 
 
+def riff_chunks(data: bytes) -> list[tuple[bytes, int, bytes]]:
+    """(name, position, content) of each chunk; odd ones are followed by a byte that belongs to none."""
+    at, out = 12, []
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        out.append((name, at + 8, data[at + 8 : at + 8 + size]))
+        at += 8 + size + size % 2
+    return out
+
+
 def wav_pcm(data: bytes) -> tuple[int, int, bytes]:
     """(channels, rate, 16-bit samples) of PCM of 8 to 32 bits, floats, or IMA ADPCM. The last fmt and data chunks count."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise FormatError("not a sound")
-    at, fmt, body = 12, None, None
-    while at + 8 <= len(data):
-        name, size = struct.unpack_from("<4sI", data, at)
-        if name == b"fmt ":
-            fmt = data[at + 8 : at + 8 + size]
-        elif name == b"data":
-            body = data[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
+    found = {name: content for name, _, content in riff_chunks(data)}
+    fmt, body = found.get(b"fmt "), found.get(b"data")
     if fmt is None or body is None or len(fmt) < 16:
         raise FormatError("no samples")
     kind, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", fmt)

@@ -96,6 +96,56 @@ def is_text(data: Column) -> Column:
     return ~F.hex(F.call_function("substring", data, F.lit(1), F.lit(TEXT_SCAN))).rlike(f"^(..)*?({NOT_TEXT})")
 
 
+def matches_at(data: Column, position: int, pattern: bytes) -> Column:
+    """The bytes at a position (from 0) are these; false past the end and for null."""
+    return F.coalesce(F.call_function("substring", data, F.lit(position + 1), F.lit(len(pattern))) == F.lit(pattern), F.lit(False))
+
+
+def starts_with(data: Column, pattern: bytes) -> Column:
+    """The first bytes are these."""
+    return matches_at(data, 0, pattern)
+
+
+def find_matches(data: Column, pattern: bytes, start: int = 0, end: int | None = None) -> Column:
+    """Every position (from 0) in start..end where the bytes stand, overlaps too; end is a position, not a length."""
+    size = F.octet_length(data) if end is None else F.least(F.octet_length(data), F.lit(end))
+    last, first, none = size - len(pattern), max(0, start), F.array().cast("array<int>")
+    places = F.filter(F.sequence(F.lit(first), last), lambda i: F.call_function("substring", data, i + 1, F.lit(len(pattern))) == F.lit(pattern))
+    return F.when(F.lit(not pattern) | (last < first) | data.isNull(), none).otherwise(places)
+
+
+def index_of(data: Column, pattern: bytes, start: int = 0) -> Column:
+    """The first such position, -1 without one."""
+    return F.coalesce(F.array_min(find_matches(data, pattern, start)), F.lit(-1))
+
+
+def reversed_bytes(data: Column) -> Column:
+    """The bytes in the other order; reverse() would turn characters."""
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0))), ""))
+
+
+def tail(data: Column, size: int) -> Column:
+    """The last bytes, all of a shorter blob."""
+    return F.call_function("substring", data, F.lit(-size), F.lit(size))
+
+
+def padded(data: Column, size: int) -> Column:
+    """The bytes filled up with zeros to a size; longer ones are an error."""
+    long = F.raise_error(F.concat(F.octet_length(data).cast("string"), F.lit(f" bytes do not fit into {size}")))
+    return F.when(F.octet_length(data) > size, long.cast("binary")).otherwise(padded_or_cut(data, size))
+
+
+def padded_or_cut(data: Column, size: int) -> Column:
+    """The bytes filled up with zeros, or cut, to a size."""
+    return F.call_function("substring", F.concat(data, F.lit(bytes(size))), F.lit(1), F.lit(size))
+
+
+def is_printable(data: Column, chars_only: bool = False) -> Column:
+    """Only bytes of printable ASCII, and tabs and line ends unless chars_only."""
+    more = "" if chars_only else "|09|0A|0D"
+    return F.hex(data).rlike(f"^([2-6].|7[0-9A-E]{more})*$")
+
+
 def hex_dump(data: Column) -> Column:
     """Bytes as pairs of hexadecimal digits with blanks between."""
     return F.rtrim(F.regexp_replace(F.hex(data), "(..)", "$1 "))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from blobsmith.codecs import bytes as codec_bytes
 from blobsmith.codecs import media, text
 from blobsmith.functions import binary as B
-from blobsmith.functions.text import extension
+from blobsmith.functions.text import escape_quotes, extension
 from blobsmith.schema import FORMATS, SKIPPED
 
 #: Scripts known by their names alone.
@@ -202,22 +202,25 @@ def float_text(bits: pd.Series) -> pd.Series:
     return bits.map(lambda b: None if pd.isna(b) else codec_bytes.float_text(int(b)))
 
 
+def _settings_rows(data: bytes) -> Iterator[tuple]:
+    doc_key, groups = text.cbin_rows(data)
+    for g, group in enumerate(groups):
+        if not group["entries"]:
+            yield g, group["section"], None, None, None, None, None, doc_key
+        for k, entry in enumerate(group["entries"]):
+            if not entry["values"]:
+                yield g, group["section"], k, entry["key"], None, None, None, doc_key
+            for v, (kind, value) in enumerate(entry["values"]):
+                yield g, group["section"], k, entry["key"], v, kind, value, doc_key
+
+
 @F.udtf(returnType=_struct(group_no=T.IntegerType(), section=T.StringType(), key_no=T.IntegerType(), key=T.StringType(), value_no=T.IntegerType(), value_type=T.IntegerType(), value=T.StringType(), doc_key=T.LongType()))
 class CbinRows:
     """Settings as rows, one for each value; empty groups and keys without values give a row of nulls, blobs of other types none."""
 
     def eval(self, data: bytes):  # noqa: ANN201
-        if data is None or data[:4] != b"CBIN":
-            return
-        doc_key, groups = text.cbin_rows(bytes(data))
-        for g, group in enumerate(groups):
-            if not group["entries"]:
-                yield g, group["section"], None, None, None, None, None, doc_key
-            for k, entry in enumerate(group["entries"]):
-                if not entry["values"]:
-                    yield g, group["section"], k, entry["key"], None, None, None, doc_key
-                for v, (kind, value) in enumerate(entry["values"]):
-                    yield g, group["section"], k, entry["key"], v, kind, value, doc_key
+        if data is not None and data[:4] == b"CBIN":
+            yield from _settings_rows(bytes(data))
 
 
 @F.udtf(returnType=_struct(group_no=T.IntegerType(), section=T.StringType(), entry_no=T.IntegerType(), key=T.StringType(), value=T.StringType(), x=T.IntegerType(), y=T.IntegerType()))
@@ -243,6 +246,69 @@ class PakEntries:
             yield e["seq"], e["kind"], e["name"], e["width"], e["height"], e["palette_count"], e["verdict"], e["content"]
 
 
+@F.udtf(returnType=_struct(group_no=T.IntegerType(), section=T.StringType(), key_no=T.IntegerType(), key=T.StringType(), value_no=T.IntegerType(), value_type=T.IntegerType(), value=T.StringType(), doc_key=T.LongType()))
+class CbinParsed:
+    """Settings in their text form as rows, like CbinRows."""
+
+    def eval(self, source: str):  # noqa: ANN201
+        if source is not None:
+            key, groups = text.cbin_parse(source)
+            yield from _settings_rows(text.cbin_bytes(groups, key))
+
+
+@F.udtf(returnType=_struct(group_no=T.IntegerType(), section=T.StringType(), entry_no=T.IntegerType(), key=T.StringType(), value=T.StringType(), x=T.IntegerType(), y=T.IntegerType()))
+class RtxtParsed:
+    """Text tables in their text form as rows, like RtxtRows. A line that is neither is an error that names its number."""
+
+    def eval(self, source: str):  # noqa: ANN201
+        for g, group in enumerate(text.rtxt_parse(source) if source is not None else ()):
+            for i, e in enumerate(group["entries"]):
+                yield g, group["section"], i, e["key"], e["value"], e["x"], e["y"]
+
+
+@F.udtf(returnType=_struct(chunk_no=T.IntegerType(), name=T.StringType(), position=T.LongType(), size=T.LongType(), content=T.BinaryType()))
+class WavChunks:
+    """The chunks of sound files as rows; blobs of other types give none."""
+
+    def eval(self, data: bytes):  # noqa: ANN201
+        if data is not None and data[:4] == b"RIFF":
+            for i, (name, at, body) in enumerate(media.riff_chunks(bytes(data))):
+                yield i, name.decode("latin-1"), at, len(body), body
+
+
+def pack_rtxt(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, content): text tables from the rows of RtxtRows, a document in one task."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        groups = []
+        for _, part in group.sort_values(["group_no", "entry_no"]).groupby("group_no", sort=False):
+            entries = [
+                {"key": None if pd.isna(k) else k, "value": None if pd.isna(v) else v, "x": int(x), "y": int(y)}
+                for k, v, x, y in zip(part["key"], part["value"], part["x"], part["y"], strict=True)
+            ]
+            section = part["section"].iat[0]
+            groups.append({"section": None if pd.isna(section) else section, "entries": entries})
+        return pd.DataFrame({doc: [group[doc].iat[0]], "content": [text.rtxt_bytes(groups)]})
+
+    kind = rows.schema[doc].dataType.simpleString()
+    return rows.groupBy(doc).applyInPandas(one, f"{doc} {kind}, content binary")
+
+
+def settings_lines(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, text): rows of CbinRows as section and key lines, in plain expressions."""
+    shown = F.when((F.col("value_type") == text.STRING) & (F.col("value") != "//"), F.concat(F.lit('"'), escape_quotes(F.col("value")), F.lit('"'))).otherwise(F.col("value"))
+    values = F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value_no", shown.alias("v")))))
+    keys = rows.groupBy(doc, "group_no", "section", "key_no", "key", "doc_key").agg(F.array_join(F.transform(values, lambda s: s["v"]), ",").alias("vs"))
+    vs = F.replace("vs", F.lit(",//,"), F.lit("\t//"))
+    line = F.when(F.col("key").isNotNull(), F.rtrim(F.concat(F.col("key"), F.lit(" = "), vs)))
+    groups = keys.groupBy(doc, "group_no", "section", "doc_key").agg(F.sort_array(F.collect_list(F.when(line.isNotNull(), F.struct("key_no", line.alias("line"))))).alias("lines"))
+    block = F.concat(F.array("_blank", "_head"), F.transform("lines", lambda s: s["line"]))
+    groups = groups.withColumn("_blank", F.lit("")).withColumn("_head", F.concat(F.lit("["), "section", F.lit("]"))).withColumn("block", F.array_join(block, text.LINE))
+    whole = groups.groupBy(doc).agg(F.first("doc_key").alias("doc_key"), F.sort_array(F.collect_list(F.struct("group_no", "block"))).alias("blocks"))
+    body = F.array_join(F.transform("blocks", lambda s: s["block"]), text.LINE)
+    return whole.select(doc, F.concat(F.format_string("// KEY:0x%08X", "doc_key"), F.lit(text.LINE), body, F.lit(text.LINE)).alias("text"))
+
+
 def pack_cbin(rows: DataFrame, doc: str = "doc") -> DataFrame:
     """(doc, content): settings from the rows of CbinRows, a document in one task."""
 
@@ -269,5 +335,7 @@ def register(spark: SparkSession) -> None:
         "encode_1252": encode_1252, "float_text": float_text,
     }.items():
         spark.udf.register(name, f)
-    for name, f in {"cbin_rows": CbinRows, "rtxt_rows": RtxtRows, "pak_entries": PakEntries}.items():
+    for name, f in {
+        "cbin_rows": CbinRows, "rtxt_rows": RtxtRows, "pak_entries": PakEntries, "cbin_parsed": CbinParsed, "rtxt_parsed": RtxtParsed, "wav_chunks": WavChunks,
+    }.items():
         spark.udtf.register(name, f)

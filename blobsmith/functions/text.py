@@ -146,3 +146,59 @@ def key_comment(text: Column) -> Column:
 def strip_key_comment(text: Column) -> Column:
     """The text without its leading key comment."""
     return F.regexp_replace(text, r"(?i)\A// ?KEY:0x[0-9a-f]+[^\S\r\n]*(?:\r\n|\r|\n)?", "")
+
+
+def with_key_comment(text: Column, key: Column) -> Column:
+    """The text below a comment that names a key, in place of any that it had."""
+    return F.concat(F.format_string("// KEY:0x%08X\r\n", key), strip_key_comment(text))
+
+
+def key_value(line: Column) -> Column:
+    """struct(key, value) of a line with an equals sign, both trimmed; null without one."""
+    pattern = r"^\s*([^=]*?)\s*=\s*(.*?)\s*$"
+    return F.when(F.contains(line, F.lit("=")), F.struct(F.regexp_extract(line, pattern, 1).alias("key"), F.regexp_extract(line, pattern, 2).alias("value")))
+
+
+def place(text: Column) -> Column:
+    """struct(x, y, text): the position written before a text, 0 and 0 without one, and what follows it."""
+    pattern = r"^\[x=(-?\d+),y=(-?\d+)\]"
+
+    def number(group: int) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int"), F.lit(0))
+
+    return F.struct(number(1).alias("x"), number(2).alias("y"), F.regexp_replace(text, pattern, "").alias("text"))
+
+
+def version_label(version: Column, record: Column) -> Column:
+    """The name of an archive layout."""
+    return F.concat(F.lit("PFF"), version.cast("string"), F.lit("-"), record.cast("string"))
+
+
+def checksums_match(read: Column, computed: Column) -> Column:
+    """Equal, or one of them missing."""
+    return F.coalesce(read == computed, F.lit(True))
+
+
+def checksum_text(read: Column, computed: Column, dead: Column | None = None) -> Column:
+    """A checksum as shown: N/A for dead entries and where there is none, a star where the two differ."""
+    shown = F.format_string("%08X", F.coalesce(computed, read))
+    none = read.isNull() & computed.isNull()
+    none = none if dead is None else none | dead
+    return F.when(none, "N/A").when(checksums_match(read, computed), shown).otherwise(F.concat(shown, F.lit("*")))
+
+
+def epoch(moment: Column) -> Column:
+    """Seconds since 1970, kept within 32 bits."""
+    return F.greatest(F.lit(0).cast("long"), F.least(F.unix_seconds(moment.cast("timestamp")), F.lit(0xFFFFFFFF)))
+
+
+def local_time(seconds: Column, zone: str) -> Column:
+    """Seconds since 1970 as a time of a zone."""
+    return F.from_utc_timestamp(F.timestamp_seconds(seconds), zone)
+
+
+def json_error(message: Column) -> Column:
+    """struct(message, line) of a parser's message that ends in a line number in brackets; line -1 without one."""
+    pattern = r"(?s)^(.*)\s\((\d+)\):"
+    line = F.nullif(F.regexp_extract(message, pattern, 2), F.lit("")).cast("int")
+    return F.struct(F.when(line.isNull(), message).otherwise(F.trim(F.regexp_extract(message, pattern, 1))).alias("message"), F.coalesce(line, F.lit(-1)).alias("line"))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blobsmith.functions.text import name_status
+
 from .listing import DEAD_NAME
 
+#: What an archive holds at most.
+MOST_BYTES = 2**31 - 1
+
 
 def purged(entries: DataFrame, dead: Column, size: Column) -> DataFrame:
     """Without soft-deleted and empty entries."""
@@ -48,3 +53,40 @@ def overwritten(entries: DataFrame, incoming: DataFrame, name: str = "name", key
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(name))
     new = part.withColumn("_rank", rank).join(F.broadcast(starts), "_part").crossJoin(F.broadcast(last))  # 64 rows and one
     return old.unionByName(new.withColumn(key, F.col("_last") + F.col("_start") + F.col("_rank")).select(*entries.columns))
+
+
+def added(entries: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows appended as they are."""
+    return entries.unionByName(more)
+
+
+def removed(entries: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Without the rows of keys."""
+    return entries.join(keys.select(key).distinct(), key, "left_anti").select(*entries.columns)
+
+
+def import_status(files: DataFrame, entries: DataFrame, overwrite: bool, name: str = "name", size: str = "data_size") -> DataFrame:
+    """files with status: why each cannot come in, or Ok.
+
+    The first rule counts: empty, over 2 GB, a bad name, or a name that is present (unless overwritten).
+    """
+    from .relations import flagged
+
+    rows = flagged(files, entries, name, "_present")
+    named = name_status(F.col(name))
+    return rows.withColumn("status", F.when(F.col(size) <= 0, "Empty").when(F.col(size) > MOST_BYTES, "TooLarge").when(named != "Ok", named)
+                           .when(F.lit(not overwrite) & F.col("_present"), "Exists").otherwise("Ok")).drop("_present")
+
+
+def imported(entries: DataFrame, files: DataFrame, overwrite: bool = False) -> DataFrame:
+    """The listing with the files that may come in, under new ids; times in the future become now.
+
+    entries: rows of one archive (ENTRY); files: (name, data_size, timestamp_s, content). The total must stay under 2 GB.
+    """
+    good = import_status(files, entries, overwrite).where("status = 'Ok'").drop("status")
+    now = F.unix_timestamp()
+    common = {f.name: F.lit(None).cast(f.dataType) for f in entries.schema.fields if f.name not in good.columns and f.name != "id"}
+    good = good.withColumn("timestamp_s", F.least("timestamp_s", now)).withColumns(common)
+    if "archive" in common:
+        good = good.drop("archive").crossJoin(F.broadcast(entries.agg(F.first("archive").alias("archive"))))  # one row
+    return overwritten(entries, good)

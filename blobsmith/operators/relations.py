@@ -106,3 +106,18 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, value
     """A value from a dictionary table, the default where it has none."""
     small = table.select(F.col(table_key).alias(key), F.col(value))
     return rows.join(small, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def registered(rows: DataFrame, key: str, table: DataFrame, table_key: str, columns: list[str]) -> DataFrame:
+    """Columns of a small register table beside each row; a key that is not registered is an error."""
+    known = table.select(F.col(table_key).alias(key), *columns, F.lit(True).alias("_known"))
+    missing = F.raise_error(F.concat(F.lit("not registered: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    joined = rows.join(known, key, "left")
+    # the check hangs on a column of the result, so that it cannot be pruned
+    return joined.withColumn(columns[0], F.when(F.col("_known"), F.col(columns[0])).otherwise(missing)).drop("_known")
+
+
+def expanded_slots(keys: DataFrame, values: DataFrame, group: list[str], order: list[str], count: str, value_order: list[str]) -> DataFrame:
+    """Keys with so many empty places each, filled by the values of their group in order; a place may stay null."""
+    places = keys.where(F.col(count) > 0).withColumn("value_no", F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    return numbered(places, group, [*order, "value_no"]).join(numbered(values, group, value_order), [*group, "slot"], "left")

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blobsmith.functions import binary as B
+from blobsmith.functions import json as J
 from blobsmith.functions import text as X
+from blobsmith.functions import validators
 from blobsmith.operators import changes, listing, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -459,13 +461,7 @@ def crc_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksums compared, a missing one matching anything, and shown with a star where they differ."""
     key = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 4 != 0, key * 7).alias("a"), F.when(key % 6 != 0, key * (7 + key % 2)).alias("b"))
-    return rows.select("o_orderkey", F.coalesce(F.col("a") == F.col("b"), F.lit(True)).alias("matches"), crc_text(F.col("a"), F.col("b")).alias("crc_str"))
-
-
-def crc_text(read, computed):  # noqa: ANN001, ANN201
-    """The checksum as shown."""
-    shown = F.format_string("%08X", F.coalesce(computed, read))
-    return F.when(read.isNull() & computed.isNull(), "N/A").when(F.coalesce(read == computed, F.lit(True)), shown).otherwise(F.concat(shown, F.lit("*")))
+    return rows.select("o_orderkey", X.checksums_match(F.col("a"), F.col("b")).alias("matches"), X.checksum_text(F.col("a"), F.col("b")).alias("crc_str"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE upper(p_name) = (SELECT upper(p_name) FROM part WHERE p_partkey = 77) ORDER BY p_partkey LIMIT 1")
@@ -526,3 +522,101 @@ def rows_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = F.concat(F.lit('"'), X.escape_quotes(F.col("role")), F.lit('"'))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", quoted.alias("v")))).alias("vs"))
     return rows.select("conv_id", F.array_join(F.transform("vs", lambda s: s["v"]), ",").alias("line"))
+
+
+@query("""SELECT doc_id, list_filter(range(0, length(h) // 2 - 1), lambda i: substr(h, 2 * i + 1, 4) = '7468') AS places,
+ CASE WHEN length(h) >= 4 THEN coalesce(list_min(list_filter(range(40, length(h) // 2 - 1), lambda i: substr(h, 2 * i + 1, 4) = '7468')), -1) ELSE -1 END AS first_after
+ FROM (SELECT doc_id, hex(encode(text))[1:400] AS h FROM documents)""")
+def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two bytes stand in headers of 200 bytes."""
+    head = F.expr("substring(cast(text as binary), 1, 200)")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", B.find_matches(head, b"th").cast("array<bigint>").alias("places"), B.index_of(head, b"th", 40).cast("long").alias("first_after"))
+
+
+@query("""SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(hex(encode(text))[1:32], '..')), '') AS reversed, right(hex(encode(text)), 64) AS tail,
+ regexp_full_match(right(hex(encode(text)), 64), '([2-6].|7[0-9A-E]|09|0A|0D)*') AS printable, starts_with(text, 'The') AS starts,
+ left(hex(encode(text)) || repeat('00', 24), 48) AS padded FROM documents""")
+def byte_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes turned round, at the end, printable, compared and padded."""
+    data = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.hex(B.reversed_bytes(F.expr("substring(cast(text as binary), 1, 16)"))).alias("reversed"), F.hex(B.tail(data, 32)).alias("tail"),
+        B.is_printable(B.tail(data, 32)).alias("printable"), B.starts_with(data, b"The").alias("starts"), F.hex(B.padded_or_cut(data, 24)).alias("padded"))
+
+
+@query("""SELECT event_id, event_type AS key, regexp_replace(trim(user_id || ' '), '^$', '') AS value, user_id % 50 AS x, -(user_id % 7) AS y, event_type AS rest,
+ CASE WHEN user_id % 2 = 0 THEN 'bad value' ELSE 'bad value ' || user_id END AS message, CAST(CASE WHEN user_id % 2 = 0 THEN user_id ELSE -1 END AS INTEGER) AS line FROM events""")
+def line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and values, positions before texts, and line numbers in messages."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    line = F.concat(F.lit("  "), kind, F.lit("  = "), user, F.lit(" "))
+    placed = F.concat(F.lit("[x="), (F.col("user_id") % 50).cast("string"), F.lit(",y="), (-(F.col("user_id") % 7)).cast("string"), F.lit("]"), kind)
+    message = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("bad value ("), user, F.lit("): x"))).otherwise(F.concat(F.lit("bad value "), user))
+    rows = table(spark, sf_dir, "events").select("event_id", X.key_value(line).alias("kv"), X.place(placed).alias("p"), X.json_error(message).alias("e"))
+    return rows.select("event_id", "kv.key", "kv.value", F.col("p.x").cast("long").alias("x"), F.col("p.y").cast("long").alias("y"), F.col("p.text").alias("rest"), "e.message", "e.line")
+
+
+@query("SELECT p_partkey, n_name, n_regionkey FROM part JOIN nation ON p_size % 25 = n_nationkey")
+def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register that must hold every key."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 25).alias("key"))
+    return relations.registered(rows, "key", table(spark, sf_dir, "nation"), "n_nationkey", ["n_name", "n_regionkey"]).drop("key")
+
+
+@query("""WITH k AS (SELECT conv_id, turn, unnest(range(0, turn % 3 + 1)) AS value_no FROM conversations WHERE role = 'user'),
+ s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, value_no) - 1 AS slot FROM k),
+ v AS (SELECT conv_id, turn AS value_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS slot FROM conversations WHERE role <> 'user')
+ SELECT conv_id, turn, CAST(value_no AS BIGINT) AS value_no, value_turn FROM s LEFT JOIN v USING (conv_id, slot)""")
+def slot_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with several places each, filled in order."""
+    rows = table(spark, sf_dir, "conversations")
+    keys = rows.where("role = 'user'").select("conv_id", "turn", (F.col("turn") % 3 + 1).cast("int").alias("n"))
+    values = rows.where("role <> 'user'").select("conv_id", F.col("turn").alias("value_turn"))
+    out = relations.expanded_slots(keys, values, ["conv_id"], ["turn"], "n", ["value_turn"])
+    return out.select("conv_id", "turn", F.col("value_no").cast("long").alias("value_no"), "value_turn")
+
+
+@query("""SELECT p_partkey, p_name AS name, CASE WHEN p_size <= 5 THEN 'Empty' WHEN length(trim(p_name)) > 15 THEN 'TooLong'
+ WHEN upper(p_name) IN (SELECT upper(p_name) FROM part WHERE p_partkey % 3 = 0) THEN 'Exists' ELSE 'Ok' END AS status FROM part""")
+def import_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each file cannot come in."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), (F.col("p_size") - 5).cast("long").alias("data_size"))
+    return changes.import_status(part, part.where("p_partkey % 3 = 0"), overwrite=False).select("p_partkey", "name", "status")
+
+
+@query("""SELECT o_orderkey, '{' || chr(13) || chr(10) || '  "key": ' || o_orderkey || ',' || chr(13) || chr(10) || '  "text": "it''s & [' || o_orderpriority || ']"' || chr(13) || chr(10) || '}' AS shown FROM orders""")
+def json_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored JSON laid out over lines."""
+    stored = F.concat(F.lit('{"key":'), F.col("o_orderkey").cast("string"), F.lit(r',"text":"it\u0027s \u0026 ['), F.col("o_orderpriority"), F.lit(']"}'))
+    return table(spark, sf_dir, "orders").select("o_orderkey", J.pretty(stored).alias("shown"))
+
+
+@query("""SELECT o_orderkey, '{' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '"b":' || (o_orderkey % 3) || ',' END || CASE WHEN o_orderstatus = 'O' THEN '' ELSE '"a":"' || o_orderstatus || '",' END || '"z":1}' AS json FROM orders""")
+def json_unless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero and empty values left out, one property first."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", J.unless(F.col("o_orderkey") % 3, zero=True).alias("b"), J.unless(F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")), empty=True).alias("a"),
+        F.lit(1).alias("z"), J.unless(F.lit("never"), always=True).alias("y"))
+    return rows.select("o_orderkey", F.to_json(J.ordered_object(["z", "y", "a", "b"], first=("b", "a"))).alias("json"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(substr(hex(encode(text)), 1, 8192), '^(..)*?(0[0-8]|0B|0C|0E|0F|1[0-9]|1[B-F]|81|8D|8F|90|9D)') THEN [] ELSE ['TXT'] END AS types FROM documents""")
+def valid_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every format whose check a blob passes; texts pass that of texts only."""
+    return table(spark, sf_dir, "documents").select("doc_id", validators.valid_types(F.col("text").cast("binary")).alias("types"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN NULL ELSE text END AS body FROM conversations ORDER BY body NULLS FIRST, conv_id, turn""")
+def nulls_first_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sort by one column, nulls as the least."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 != 1, F.col("text")).alias("body"))
+    return listing.ordered(rows, F.col("body"), key=F.struct("conv_id", "turn"))
+
+
+@query("""SELECT c_custkey, 'PFF' || (c_nationkey % 4) || '-' || (32 + c_nationkey % 2 * 4) AS label, timezone('America/New_York', make_timestamptz(c_custkey * 86400000000)) AS local FROM customer""")
+def version_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout labels, and seconds as local times."""
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", X.version_label(F.col("c_nationkey") % 4, 32 + F.col("c_nationkey") % 2 * 4).alias("label"),
+        X.local_time(F.col("c_custkey") * 86400, "America/New_York").cast("timestamp_ntz").alias("local"))

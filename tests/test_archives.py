@@ -139,3 +139,73 @@ def test_stream(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.sql("SELECT sum(n) AS n, sum(bytes) AS b FROM came").first()[:] == (4, sum(len(e["content"]) for e in ENTRIES))
+
+
+def test_import_follows_the_rules(spark):
+    """Bad files stay out, an overwritten entry becomes dead, times in the future become now."""
+    from blobsmith.operators import changes
+
+    old = [("a.pff", i, n, 0, 20, 3, 100, None, None, b"old") for i, n in enumerate(("One.txt", "two.txt"))]
+    entries = spark.createDataFrame(old, schema.ENTRY)
+    files = spark.createDataFrame(
+        [("ONE.TXT", 4, 50, b"new1"), ("con.txt", 4, 50, b"new2"), ("empty.txt", 0, 50, b""), ("much too long name.txt", 4, 50, b"new3"), ("three.txt", 4, 1 << 33, b"new4")],
+        "name string, data_size long, timestamp_s long, content binary")
+    status = {r["name"]: r["status"] for r in changes.import_status(files, entries, overwrite=False).collect()}
+    assert status == {"ONE.TXT": "Exists", "con.txt": "WindowsReservedName", "empty.txt": "Empty", "much too long name.txt": "TooLong", "three.txt": "Ok"}
+    got = sorted((r["id"], r["name"], r["archive"], bytes(r["content"])) for r in changes.imported(entries, files, overwrite=True).collect())
+    assert [x[:1] + x[2:] for x in got] == [(0, "a.pff", b"old"), (1, "a.pff", b"old"), (2, "a.pff", got[2][3]), (3, "a.pff", got[3][3])]
+    assert {x[1] for x in got} == {"<DEAD SPACE>", "two.txt", "ONE.TXT", "three.txt"}
+    late = changes.imported(entries, files).where("name = 'three.txt'").collect()
+    assert len(late) == 1 and late[0]["timestamp_s"] < 1 << 32
+
+
+def test_rows_of_texts_and_sounds(spark):
+    """Text forms as rows, rows as blobs and text, and the chunks of a sound."""
+    groups = [{"section": "a", "entries": [{"key": "k", "values": [(1, "5"), (4, 'x"y'), (4, "//"), (4, "note")]}, {"key": "none", "values": []}]}, {"section": "empty", "entries": []}]
+    data = text.cbin_bytes(groups, 77)
+    blobs.register(spark)
+    docs = spark.createDataFrame([("d", text.cbin_text(77, groups), data)], "doc string, shown string, data binary")
+    docs.createOrReplaceTempView("docs")
+    columns = "group_no, section, key_no, key, value_no, value_type, value, doc_key"
+    parsed = spark.sql(f"SELECT doc, {columns} FROM docs, LATERAL cbin_parsed(shown)")
+    rows = spark.sql(f"SELECT doc, {columns} FROM docs, LATERAL cbin_rows(data)")
+    assert sorted(map(str, parsed.collect())) == sorted(map(str, rows.collect()))
+    assert blobs.settings_lines(rows).collect()[0]["text"] == text.cbin_text(77, groups)
+    table = [{"section": "s", "entries": [{"key": "k", "value": "v", "x": 1, "y": -2}, {"key": "l", "value": "", "x": 0, "y": 0}]}]
+    spark.createDataFrame([("t", text.rtxt_text(table))], "doc string, shown string").createOrReplaceTempView("tables")
+    made = spark.sql("SELECT doc, group_no, section, entry_no, key, value, x, y FROM tables, LATERAL rtxt_parsed(shown)")
+    assert text.rtxt_rows(bytes(blobs.pack_rtxt(made).collect()[0]["content"])) == table
+    sound = media.wav_bytes(1, 8000, b"\1\0\2\0")
+    spark.createDataFrame([(sound,), (b"other",)], "data binary").createOrReplaceTempView("sounds")
+    chunks = spark.sql("SELECT chunk_no, name, size FROM sounds, LATERAL wav_chunks(data)").collect()
+    assert [tuple(r) for r in chunks] == [(0, "fmt ", 16), (1, "data", 4)]
+
+
+def test_checks_of_types(spark):
+    """Good blobs pass their own check alone; cut ones pass none."""
+    from blobsmith.functions import validators
+
+    picture = (2, 1, bytes([1, 2, 3, 255, 4, 5, 6, 255]))
+    good = {
+        "BFC": text.pack_bfc(b"abc" * 50), "CBIN": text.cbin_bytes([{"section": "a", "entries": []}], 9), "PCX": media.pcx_bytes(picture), "PNG": media.png_bytes(picture),
+        "RTXT": text.rtxt_bytes([{"section": "s", "entries": [{"key": "k", "value": "v", "x": 0, "y": 0}]}]), "WAV": media.wav_bytes(1, 8000, bytes(8)), "SCR": b"SCR\1\x9d\x81",
+        "R16": b"R16a" + (2).to_bytes(4, "little") + bytes(8), "FNT": b"FNT0" + bytes(8),
+    }
+    df = spark.createDataFrame([(k, v, v[:4]) for k, v in good.items()], "kind string, data binary, cut binary")
+    for r in df.select("kind", validators.valid_types(F.col("data")).alias("types"), validators.valid_types(F.col("cut")).alias("none")).collect():
+        assert [t for t in r["types"] if t != "TXT"] == [r["kind"]], r
+        assert [t for t in r["none"] if t != "TXT"] == [], r
+    assert spark.sql("SELECT CAST(NULL AS BINARY) AS data").select(validators.is_valid(F.col("data"), "PNG").alias("ok")).first()["ok"] is False
+
+
+def test_padding_and_registers_complain(spark):
+    from blobsmith.functions import binary
+    from blobsmith.operators import relations
+
+    rows = spark.createDataFrame([(1, b"abc"), (9, b"abcd")], "k int, data binary")
+    assert [bytes(r[0]) for r in rows.select(binary.padded(F.col("data"), 4)).collect()] == [b"abc\0", b"abcd"]
+    with pytest.raises(Exception, match="do not fit"):
+        rows.select(binary.padded(F.col("data"), 3)).collect()
+    register = spark.createDataFrame([(1, "one")], "id int, label string")
+    with pytest.raises(Exception, match="not registered: 9"):
+        relations.registered(rows, "k", register, "id", ["label"]).collect()
