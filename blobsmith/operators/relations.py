@@ -69,10 +69,26 @@ def first_wins(rows: DataFrame, key: Column, order: list[str], content: str) ->
     return rows.withColumn("verdict", F.when(F.row_number().over(over) == 1, "kept").when(F.col(content).eqNullSafe(first), "same").otherwise("different"))
 
 
+def ranked(rows: DataFrame, order: str, name: str, parts: int = 256) -> DataFrame:
+    """Rows numbered from 1 over the whole table by a numeric column, without nulls, whose values differ.
+
+    No task sorts them all: quantiles, of which there are `parts`, cut the column into ranges, and each range is numbered
+    by itself after the sum of the counts before it. Finding the quantiles is a pass of its own.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(order, shares, 20 * parts)).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    rows = rows.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    # at most `parts` rows
+    return rows.withColumn("_rank", inside).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_rank")).drop("_part", "_rank", "_start")
+
+
 def dictionary(rows: DataFrame, text: str, order: str) -> DataFrame:
     """(text, id): strings numbered from 1 in the order first met. Strings are first made distinct, then ranked."""
-    firsts = rows.groupBy(text).agg(F.min(order).alias("_at"))
-    return firsts.withColumn("id", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+    return ranked(rows.groupBy(text).agg(F.min(order).alias("_at")), "_at", "id").drop("_at")
 
 
 def line_differences(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

@@ -51,3 +51,14 @@ def test_counts_add_up(spark):
     b = listing.visible(listing.visible(part, name=F.col("p_name"), text="r*g"), dead=F.col("p_size") > 40, kind=(F.col("p_type"), "SMALL"))
     assert a.count() == b.count() > 0
     assert listing.visible(part, name=F.col("p_name"), text="  ").count() == part.count()
+
+
+def test_ranks_without_one_sort(spark):
+    from pyspark.sql import functions as F
+
+    from blobsmith.operators import relations
+
+    rows = spark.range(0, 3000, 3).withColumn("at", (F.col("id") * 7919) % 10007)
+    got = relations.ranked(rows, "at", "rank", parts=7).orderBy("at").collect()
+    assert [r["rank"] for r in got] == list(range(1, 1001))
+    assert relations.ranked(rows.where("id < 0"), "at", "rank").count() == 0
