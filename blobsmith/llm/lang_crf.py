@@ -32,66 +32,98 @@ from .common import small_batches, text_chunks
 UNKNOWN = "und"
 SAMPLE = 12_000
 WINDOW = 24
-FEATURES = 1 << 17
+BITS = 17
+FEATURES = 1 << BITS
+#: The lengths of n-grams, and how many letters of a word they are taken from.
+GRAMS = (2, 3, 4)
+LONGEST = 40
 EPOCHS = 3
 BATCH = 256
 BLOCK = 32
-#: Words and spellings a worker remembers before it starts afresh.
+#: Words a worker remembers before it starts afresh.
 REMEMBERED = 300_000
 
+_MIX, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(token: str) -> list[str]:
-    """The runs of letters of a token, in lower case."""
-    found = _LETTERS.findall(token.lower())
-    return [w for w in found if any(map(str.isalpha, w))]
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    return [w for w in _LETTERS.findall(text.lower()) if any(map(str.isalpha, w))]
 
 
-def features(word: str) -> list[int]:
-    """The hashed features of a word."""
-    long = f"^{word[:40]}$"
-    names = [f"p{word[:i]}" for i in (1, 2, 3)] + [f"s{word[-i:]}" for i in (1, 2, 3)] + ["w" + word]
-    names += [long[i : i + n] for n in (2, 3, 4) for i in range(len(long) - n + 1)]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names]
+@dataclass
+class Features:
+    """The hashed features of some words, FEATURES where there is none.
+
+    grams has a row for each letter and boundary mark: the n-grams of 2, 3 and 4 that start there. Those with a mark are
+    the affixes of up to three letters. starts says where a word's rows begin; whole is the word itself.
+    """
+
+    grams: np.ndarray
+    starts: np.ndarray
+    whole: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Features:
+        cut = [f"^{w[:LONGEST]}$" for w in words]
+        codes = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        starts = np.cumsum(sizes) - sizes
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # letters to the word's end
+        grams, rolled = np.full((len(codes), len(GRAMS)), FEATURES, np.int64), codes
+        for n in range(2, GRAMS[-1] + 1):
+            # what is rolled in past the last word's end belongs to grams that are not kept
+            rolled = rolled * _MIX + np.append(codes[n - 1 :], np.zeros(n - 1, np.uint64))[: len(codes)]
+            if n in GRAMS:
+                at = np.flatnonzero(left >= n)
+                grams[at, GRAMS.index(n)] = (rolled[at] * _MIX + np.uint64(n)) * _SPREAD >> np.uint64(64 - BITS)
+        whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % FEATURES for w in words), np.int64, len(words))
+        return cls(grams, starts, whole)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The summed weights (FEATURES + 1 rows, the last one zero) of each word's features."""
+        each = weights[self.grams[:, 0]]
+        for k in range(1, len(GRAMS)):
+            each = each + weights[self.grams[:, k]]
+        return (np.add.reduceat(each, self.starts) + weights[self.whole]).astype(np.float64)
+
+    def spread(self, of_word: np.ndarray) -> np.ndarray:
+        """The transpose of sums: for each feature the sum over the words that have it."""
+        sizes = np.diff(np.append(self.starts, len(self.grams)))
+        return np.bincount(self.grams.ravel(), np.repeat(of_word, sizes * len(GRAMS)), FEATURES + 1) + np.bincount(self.whole, of_word, FEATURES + 1)
 
 
 @dataclass
 class Model:
-    """labels, weights (FEATURES x labels), switches (labels x labels) and start (labels)."""
+    """labels, weights (FEATURES + 1 x labels, the last row zero), switches (labels x labels) and start (labels)."""
 
     labels: list[str]
     weights: np.ndarray
     switches: np.ndarray
     start: np.ndarray
-    known: dict[str, bytes] = field(default_factory=dict)  # spelling -> numbers of its words
-    number: dict[str, int] = field(default_factory=dict)  # word -> its number
+    number: dict[str, int] = field(default_factory=dict)  # word -> its number, -1 without a letter
     scores: np.ndarray | None = None  # by a word's number
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "number": {}, "scores": None}
-
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """The summed weights of each word's features."""
-        each = [features(w) for w in words]
-        starts = np.cumsum([0, *map(len, each)])[:-1]
-        return np.add.reduceat(self.weights[np.concatenate(each)], starts).astype(np.float64)
+        return self.__dict__ | {"number": {}, "scores": None}
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the numbers of its words, rows of self.scores."""
-        tokens = [(t or "").split() for t in texts]
-        if self.scores is None or len(self.known) > REMEMBERED:
-            self.known, self.number = {}, {}
-            self.scores = np.zeros((0, len(self.labels)))
-        new = {t: words_of(t) for t in set().union(*tokens).difference(self.known)}
-        words = list({w: None for ws in new.values() for w in ws if w not in self.number})
+        if self.scores is None or len(self.number) > REMEMBERED:
+            self.number, self.scores = {}, np.zeros((0, len(self.labels)))
+        found = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
+        new = list(set().union(*found).difference(self.number))
+        words = [w for w in new if w.isalpha() or any(map(str.isalpha, w))]
+        self.number.update(dict.fromkeys(new, -1))
         if words:
-            self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-            self.scores = np.concatenate([self.scores, self.emissions(words)])
-        for token, found in new.items():
-            self.known[token] = np.array([self.number[w] for w in found], np.int32).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, t)), np.int32) for t in tokens]
+            self.number.update(zip(words, range(len(self.scores), len(self.scores) + len(words)), strict=True))
+            self.scores = np.concatenate([self.scores, Features.of(words).sums(self.weights)])
+        get, out = self.number.__getitem__, []
+        for ws in found:
+            each = np.fromiter(map(get, ws), np.int32, len(ws))
+            out.append(each if each.min(initial=0) == 0 else each[each >= 0])
+        return out
 
     def marginals(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """P(label) of each word, of texts of so many words, one after another.
@@ -156,11 +188,9 @@ class Model:
 def fit(sequences: list[tuple[list[str], list[int]]], labels: list[str], epochs: int = EPOCHS) -> Model:
     """Weights that make the labels of sequences (words, label numbers) likely, by adaptive gradient steps."""
     n = len(labels)
-    model = Model(labels, np.zeros((FEATURES, n), np.float32), np.zeros((n, n)), np.zeros(n))
+    model = Model(labels, np.zeros((FEATURES + 1, n), np.float32), np.zeros((n, n)), np.zeros(n))
     sums = [np.full_like(x, 1e-6, dtype=np.float64) for x in (model.weights, model.switches, model.start)]
     rng = random.Random(7)
-    vocabulary = {w: None for s, _ in sequences for w in s}
-    features_of = {w: np.array(features(w)) for w in vocabulary}
     for _ in range(epochs):
         rng.shuffle(sequences)
         for k in range(0, len(sequences), BATCH):
@@ -168,9 +198,8 @@ def fit(sequences: list[tuple[list[str], list[int]]], labels: list[str], epochs:
             words = list({w: None for s, _ in batch for w in s})
             number = dict(zip(words, range(len(words)), strict=True))
             sizes = np.array([len(s) for s, _ in batch])
-            flat = np.concatenate([features_of[w] for w in words])
-            lens = np.array([len(features_of[w]) for w in words])
-            scores = np.add.reduceat(model.weights[flat], np.cumsum(lens) - lens).astype(np.float64)
+            features = Features.of(words)
+            scores = features.sums(model.weights)
             wide = int(sizes.max())
             ids, gold = np.zeros((len(batch), wide), int), np.full((len(batch), wide), -1)
             for i, (s, y) in enumerate(batch):
@@ -182,7 +211,8 @@ def fit(sequences: list[tuple[list[str], list[int]]], labels: list[str], epochs:
             both = (gold[:, :-1] >= 0) & (gold[:, 1:] >= 0)
             np.add.at(pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
             by_word = np.stack([np.bincount(ids.ravel(), error[:, :, j].ravel(), len(words)) for j in range(n)], 1)
-            grad = np.stack([np.bincount(flat, np.repeat(by_word[:, j], lens), FEATURES) for j in range(n)], 1)
+            grad = np.stack([features.spread(by_word[:, j]) for j in range(n)], 1)
+            grad[FEATURES] = 0
             grads = (grad, pairs - double, error[:, 0].sum(0))
             for x, g, s, rate in zip((model.weights, model.switches, model.start), grads, sums, (0.2, 0.1, 0.1), strict=True):
                 s += g * g
@@ -243,7 +273,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", tex
         for batch in batches:
             out = []
             for key, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = [w for t in text.split() for w in words_of(t)]
+                words = words_of(text)
                 at = zlib.crc32(f"window {key}".encode()) % max(1, len(words) - WINDOW + 1)
                 if words:
                     out.append((lang, words[at : at + WINDOW]))
