@@ -203,6 +203,12 @@ def spelt(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def count_of(spans: str, kind: str) -> Column:
+    """How many spans of a column are of a kind."""
+    number = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; overlapping spans become one."""
     found = find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("key").alias("_key"), "spans").dropDuplicates(["_key"])
