@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from blobsmith.llm import common, embed_dup, near_dup, pii, url_filters
+from blobsmith.llm import common, embed_dup, near_dup, pii, queries, url_filters
 
 
 def classes_plainly(nodes, linked):
@@ -234,5 +234,14 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "personal_data", "pack"]
 
 
-def test_digest_of_spans():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_query_of_spans(spark, tmp_path):
+    """The counts and digests of the query against plain expressions."""
+    rng = random.Random(2)
+    bits = ["a.b@c.org", "x@y.co.uk", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "word", "7", "é"]
+    texts = [" ".join(rng.choices(bits, k=rng.randrange(12))) for _ in range(80)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op8_contextual_pii(spark, str(tmp_path)).collect():
+        want = spans_plainly(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(k == i for _, k, _ in want) for i in range(4)]
+        shown = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest() and set(filter(None, shown.split(","))) <= set(r["spans"].split(","))
