@@ -9,7 +9,7 @@ text is coded too, so the scores are log10 probabilities of whole texts.
 
 Since the model is fixed once learned, the cost of a byte depends on its context alone, so it is worked out once for each
 different gram of a context and a byte. A task gathers its texts into chunks; a chunk's different grams and words meet the
-tables by joins and come back to its (compressed) texts in a cogroup, so nothing that grows with the corpus is collected
+tables by joins and windows and come back to its (compressed) texts in a cogroup, so nothing that grows with the corpus is collected
 or broadcast.
 
 Lower case is used throughout (A-Z only). Defined results: a null text is empty; a row without an id is scored, not
@@ -20,15 +20,16 @@ every byte costs the same and the base score is that of unknown words. An empty
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import arrow_type
@@ -42,35 +43,43 @@ EDGE = b"\xff"
 SYMBOLS = 256
 #: The end of a text among words; no word holds a blank.
 END = " "
-_STEP = 1 << 21
+#: Grams handled at a time, and sorted blocks of them kept before they are merged.
+_STEP, _PARTS = 1 << 20, 64
 
 
-def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of ORDER + 1 bytes of texts, one for each byte and the end, and where each text's grams start."""
+def gram_blocks(texts: list[bytes], step: int = _STEP) -> Iterator[tuple[int, np.ndarray]]:
+    """The grams of ORDER + 1 bytes of texts, one for each byte and the end of each, in order, in blocks of about `step`.
+
+    Each block comes with the number of grams before it.
+    """
     joined = np.frombuffer(b"".join(EDGE * ORDER + t + EDGE for t in texts), np.uint8)
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    starts = np.cumsum(sizes) - sizes
     n = len(joined) - ORDER
-    out = np.zeros(n, np.int64)
-    for i in range(ORDER + 1):
-        out <<= 8
-        out |= joined[i : n + i]
+    starts = _starts(texts)
     inside = np.ones(n, bool)
     between = starts[1:] + ORDER * np.arange(len(texts) - 1)
     inside[(between[:, None] + np.arange(ORDER)).ravel()] = False
-    return out[inside], starts
+    done = 0
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        out = np.zeros(b - a, np.int64)
+        for i in range(ORDER + 1):
+            out <<= 8
+            out |= joined[a + i : b + i]
+        out = out[inside[a:b]]
+        yield done, out
+        done += len(out)
+
+
+def _starts(texts: list[bytes]) -> np.ndarray:
+    """How many grams come before each text's."""
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    return np.cumsum(sizes) - sizes
 
 
-def _slices(texts: list[bytes], limit: int = _STEP) -> Iterator[slice]:
-    """Runs of texts of about `limit` bytes."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield slice(first, i + 1)
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
+def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different one of sorted grams once, with the sum of its n."""
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(n, first)
 
 
 class Chunk:
@@ -78,7 +87,7 @@ class Chunk:
 
     def __init__(self) -> None:
         self.size, self.ends, self.words = 0, 0, Counter()
-        self.grams, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, texts: list[bytes], learned: list[bool]) -> None:
         for text, known in zip(texts, learned, strict=True):
@@ -86,23 +95,34 @@ class Chunk:
             self.words.update(found if known else dict.fromkeys(found, 0))
         self.ends += sum(learned)
         self.size += sum(map(len, texts))
-        for s in _slices(texts):
-            grams, starts = grams_of(texts[s])
-            known = np.repeat(np.array(learned[s], bool), np.diff([*starts.tolist(), len(grams)]))
-            own, at = np.unique(grams, return_inverse=True)
-            n = np.bincount(at, known, len(own)).astype(np.int64)
-            self.grams, at = np.unique(np.concatenate([self.grams, own]), return_inverse=True)
-            self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.grams)).astype(np.int64)
+        flags = np.repeat(np.array(learned, bool), [len(t) + 1 for t in texts])
+        for done, grams in gram_blocks(texts):
+            keys = grams << 1 | flags[done : done + len(grams)]
+            keys.sort()
+            if len(keys):
+                self.parts.append(_summed(keys >> 1, keys & 1))
+        if len(self.parts) > _PARTS:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different grams, in order, and their counts."""
+        if len(self.parts) != 1:
+            grams = np.concatenate([np.zeros(0, np.int64), *(g for g, _ in self.parts)])
+            order = np.argsort(grams, kind="stable")  # merges the parts, which are in order
+            n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in self.parts)])
+            self.parts = [_summed(grams[order], n[order]) if len(grams) else (grams, n)]
+        return self.parts[0]
 
     def rows(self, chunk: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """Its words, in order, and its grams."""
+        """Its words, in order and numbered, and its grams."""
         words = sorted(self.words)
         counts = [self.words[w] for w in words]
-        yield _batch(len(words) + 1, kind, chunk=chunk, word=[*(w.decode() for w in words), END], n=[*counts, self.ends])
-        yield _batch(len(self.grams), kind, chunk=chunk, gram=self.grams, n=self.n)
+        yield _batch(len(words) + 1, kind, chunk=chunk, place=np.arange(len(words) + 1), word=[*(w.decode() for w in words), END], n=[*counts, self.ends])
+        grams, n = self.merge()
+        yield _batch(len(grams), kind, chunk=chunk, gram=grams, n=n)
 
 
-_FIELDS = {"chunk": pa.int64(), "word": pa.string(), "gram": pa.int64(), "n": pa.int64(), "text": pa.binary()}
+_FIELDS = {"chunk": pa.int64(), "place": pa.int32(), "word": pa.string(), "gram": pa.int64(), "n": pa.int64(), "text": pa.binary()}
 
 
 def _batch(size: int, kind: pa.DataType, **columns) -> pa.RecordBatch:  # noqa: ANN003
@@ -114,9 +134,9 @@ def _batch(size: int, kind: pa.DataType, **columns) -> pa.RecordBatch:  # noqa:
 
 
 def gather(rows: DataFrame) -> DataFrame:
-    """A table of three kinds of rows: (chunk, doc_id, text) of texts, lower-case and compressed, (chunk, word, n), (chunk, gram, n).
+    """A table of three kinds of rows: (chunk, doc_id, text) of texts, lower-case and compressed, (chunk, place, word, n), (chunk, gram, n).
 
-    rows: (doc_id, text, learned).
+    rows: (doc_id, text, learned). place is the number of a word among those of its chunk, in order.
     """
     kind = arrow_type(rows, "doc_id")
 
@@ -133,34 +153,80 @@ def gather(rows: DataFrame) -> DataFrame:
                 if chunk.size >= CHUNK:
                     yield from chunk.rows(number, kind)
                     chunk, number = Chunk(), number + 1
-        if chunk.words or chunk.ends or len(chunk.grams):
+        if chunk.parts:
             yield from chunk.rows(number, kind)
 
     name = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "text", "learned").mapInArrow(
-        run, f"chunk long, word string, gram long, n long, text binary, doc_id {name}")
+        run, f"chunk long, place int, word string, gram long, n long, text binary, doc_id {name}")
+
+
+class Costs:
+    """A table from grams to values: open addressing in arrays, looked up for many grams at once."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(grams)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        slots, left = self._slots(grams), np.arange(len(grams))
+        while len(left):
+            free = left[self.keys[slots[left]] < 0]
+            self.keys[slots[free]], self.values[slots[free]] = grams[free], values[free]
+            left = left[self.keys[slots[left]] != grams[left]]
+            slots[left] = slots[left] + 1 & (1 << self.bits) - 1
+
+    def _slots(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        slots = self._slots(grams)
+        other = np.flatnonzero(self.keys[slots] != grams)
+        while len(other):
+            if (self.keys[slots[other]] < 0).any():
+                raise KeyError("a gram without a cost")
+            slots[other] = slots[other] + 1 & (1 << self.bits) - 1
+            other = other[self.keys[slots[other]] != grams[other]]
+        return self.values[slots]
+
+
+def word_sums(texts: list[bytes], counts: np.ndarray) -> pd.DataFrame:
+    """n_tokens, n_known and log_sum of each text of a chunk, from the counts of its words in order, the end last."""
+    met: dict[bytes, int] = defaultdict(count().__next__)  # a word's number in the order first met
+    each = []
+    for t in texts:
+        tokens = t.split()
+        each.append(np.fromiter(map(met.__getitem__, tokens), np.int32, len(tokens)))
+    number = np.fromiter(map(met.__getitem__, sorted(met)), np.int64, len(met))
+    of_word = np.empty(len(met))
+    of_word[number] = counts[:-1]
+    logs, known = np.log10(of_word + 0.1), of_word > 0
+    end, end_known = math.log10(counts[-1] + 0.1), int(counts[-1] > 0)
+    rows = [(len(e) + 1, int(known[e].sum()) + end_known, float(logs[e].sum()) + end) for e in each]
+    return pd.DataFrame(rows, columns=["n_tokens", "n_known", "log_sum"])
+
+
+def gram_sums(texts: list[bytes], costs: Costs) -> np.ndarray:
+    """The summed costs of each text's grams."""
+    out, starts = np.zeros(len(texts)), _starts(texts)
+    for done, grams in gram_blocks(texts):
+        if len(grams):
+            a, b = np.searchsorted(starts, done, "right") - 1, np.searchsorted(starts, done + len(grams))
+            out[a:b] += np.add.reduceat(costs.of(grams), np.maximum(starts[a:b] - done, 0))
+    return out
 
 
 def score_chunk(docs: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a chunk's texts: facts has the count of each word and the log10 probability of each gram."""
+    """The sums of a chunk's texts.
+
+    facts (key, value): the count of each word, under -1 less its place, and the log10 probability of each gram.
+    """
     unpack = zstandard.ZstdDecompressor()
     texts = [unpack.decompress(t) for t in docs["text"]]
-    is_word = facts["word"].notna()
-    counts = {w.encode(): c for w, c in zip(facts.loc[is_word, "word"], facts.loc[is_word, "value"], strict=True)}
-    known = {w for w, c in counts.items() if c > 0}
-    logs = {w: math.log10(c + 0.1) for w, c in counts.items()}
-    end = END.encode()
-    rows = []
-    for t in texts:
-        tokens = [*t.split(), end]
-        rows.append((len(tokens), sum(map(known.__contains__, tokens)), math.fsum(map(logs.__getitem__, tokens))))
-    grams = facts.loc[~is_word, ["gram", "value"]].astype({"gram": np.int64}).sort_values("gram")
-    names, costs = grams["gram"].to_numpy(), grams["value"].to_numpy(float)
-    score = np.zeros(len(texts))
-    for s in _slices(texts):
-        each, starts = grams_of(texts[s])
-        score[s] = np.add.reduceat(costs[np.searchsorted(names, each)], starts)
-    return pd.DataFrame(rows, columns=["n_tokens", "n_known", "log_sum"]).assign(doc_id=docs["doc_id"].to_numpy(), score=score)
+    keys, values = facts["key"].to_numpy(), facts["value"].to_numpy()
+    is_word = keys < 0
+    counts = np.full(int(is_word.sum()), np.nan)
+    counts[-1 - keys[is_word]] = values[is_word]
+    sums = word_sums(texts, counts)
+    return sums.assign(doc_id=docs["doc_id"].to_numpy(), score=gram_sums(texts, Costs(keys[~is_word], values[~is_word])))
 
 
 def trie(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -172,15 +238,15 @@ def trie(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[D
     followers = [counts.where("n > 0")]
     for k in range(order - 1, -1, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        followers.insert(0, followers[0].groupBy(low.alias("gram")).agg(F.count("*").alias("n")))
-        if k == order - 1:
-            followers[0] = materialize(followers[0], "followers")
+        # written out, as each table is read by several others
+        followers.insert(0, materialize(followers[0].groupBy(low.alias("gram")).agg(F.count("*").alias("n")), "followers"))
     contexts = []
     for k, table in enumerate(followers):
         stats = table.withColumn("context", F.shiftright("gram", 8))
         if k == 0:
             own = stats.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-            contexts.append(own.withColumn("excl_total", F.lit(0).cast("long")).withColumn("excl_kinds", SYMBOLS - F.col("kinds")))
+            own = own.withColumn("excl_total", F.lit(0).cast("long")).withColumn("excl_kinds", SYMBOLS - F.col("kinds"))
+            contexts.append(materialize(own, "contexts"))
             continue
         low = F.lit((1 << 8 * k) - 1)
         parent = followers[k - 1].select(F.col("gram").alias("low"), F.col("n").alias("parent_n"))
@@ -188,9 +254,10 @@ def trie(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[D
             F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("parent_n").alias("taken"))
         above = contexts[k - 1].select(F.col("context").alias("up"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
         own = own.withColumn("up", F.col("context").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(above, "up")
-        contexts.append(own.select(
+        own = own.select(
             "context", "total", "kinds", (F.col("up_total") - F.col("taken")).alias("excl_total"),
-            (F.col("up_kinds") - F.col("kinds")).alias("excl_kinds")))
+            (F.col("up_kinds") - F.col("kinds")).alias("excl_kinds"))
+        contexts.append(materialize(own, "contexts"))
     return followers, contexts
 
 
@@ -213,8 +280,7 @@ def gram_costs(grams: DataFrame, order: int = ORDER) -> DataFrame:
         rows = rows.select(
             "gram", (F.col("value") + step).alias("value"), F.col("found").isNotNull().alias("coded"),
             F.coalesce("excl_total", "left_total").alias("left_total"), F.coalesce("excl_kinds", "left_kinds").alias("left_kinds"))
-        if k == order:
-            rows = materialize(rows, "costs")
+        rows = materialize(rows, "costs")
         ended = rows.where("coded").select("gram", "value")
         done = ended if done is None else done.unionByName(ended)
         rows = rows.where("not coded").drop("coded")
@@ -231,13 +297,14 @@ def score(docs: DataFrame, learned: Column, held_out: Column, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = materialize(gather(rows.withColumn("learned", F.coalesce(learned, F.lit(False)))), "counts")
     words, grams = counts.where("word is not null"), counts.where("gram is not null")
-    of_word = materialize(words.groupBy("word").agg(F.sum("n").alias("value")), "words")
-    total = of_word.where("value > 0").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
+    # a word has a row for each chunk at most, so its rows are few and sum in place
+    same, in_order = Window.partitionBy("word"), Window.partitionBy("word").orderBy("chunk")
+    words = materialize(words.select(
+        "chunk", "place", "n", F.sum("n").over(same).alias("value"), (F.row_number().over(in_order) == 1).alias("first")), "words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("first") & (F.col("value") > 0)).alias("kinds")).first()
     of_gram = materialize(gram_costs(materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")), "costs")
-    facts = (
-        words.select("chunk", "word").join(of_word, "word").select(F.col("chunk").alias("of_chunk"), "word", F.lit(None).cast("long").alias("gram"), F.col("value").cast("double").alias("value"))
-        .unionByName(grams.select("chunk", "gram").join(of_gram, "gram").select(F.col("chunk").alias("of_chunk"), F.lit(None).cast("string").alias("word"), "gram", "value"))
-    )
+    facts = words.select(F.col("chunk").alias("of_chunk"), (-1 - F.col("place")).cast("long").alias("key"), F.col("value").cast("double").alias("value")).unionByName(
+        grams.select("chunk", "gram").join(of_gram, "gram").select(F.col("chunk").alias("of_chunk"), F.col("gram").alias("key"), "value"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = counts.where("text is not null").select("chunk", "doc_id", "text").groupBy("chunk").cogroup(facts.groupBy("of_chunk")).applyInPandas(
         score_chunk, f"n_tokens long, n_known long, log_sum double, doc_id {kind}, score double")
