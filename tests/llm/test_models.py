@@ -70,6 +70,26 @@ def test_ppm_probabilities_add_up():
     assert ends[0] < 0
 
 
+def test_grams_and_costs_in_blocks():
+    """Blocks that end inside texts give the grams and sums of one block."""
+    texts = [b"", b"abcabc", b"x", b"", b"hello world, hello"]
+    (_, whole), = ppm.gram_blocks(texts)
+    parts = list(ppm.gram_blocks(texts, 4))
+    assert len(whole) == sum(len(t) + 1 for t in texts) and np.concatenate([g for _, g in parts]).tolist() == whole.tolist()
+    assert [at for at, _ in parts] == np.cumsum([0, *(len(g) for _, g in parts)])[:-1].tolist()
+    chunk = ppm.Chunk()
+    chunk.add(texts[:3], [True, False, True])
+    chunk.add(texts[3:], [False, True])
+    grams, n = chunk.merge()
+    known = Counter(g for i, t in enumerate(texts) if i in (0, 2, 4) for g in next(ppm.gram_blocks([t]))[1].tolist())
+    assert dict(zip(grams.tolist(), n.tolist(), strict=True)) == {g: known[g] for g in sorted(set(whole.tolist()))}
+    many = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 5000))
+    costs = ppm.Costs(many, np.arange(len(many), dtype=float))
+    assert costs.of(many[::-1]).tolist() == list(range(len(many)))[::-1]
+    with pytest.raises(KeyError):
+        costs.of(np.array([(1 << 48) + 5]))
+
+
 def test_ppm_odd_rows(spark, odd_docs, no_docs):
     got = ppm.score(odd_docs, F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1)
     assert got.count() == odd_docs.count() and got.where("score is null or score >= 0 or base_score is null").count() == 0
@@ -95,6 +115,26 @@ def test_crf_labels_switches():
     assert np.allclose(each.sum(1), 1) and model.switches[0, 0] > model.switches[0, 1]
 
 
+def test_features_do_not_depend_on_neighbours():
+    """Each word's features are those of its n-grams, whatever words stand beside it; equal n-grams have equal features."""
+    words = ["a", "ab", "banana", "日本語", "x" * 100, "straße", "an"]
+    together = lang_crf.Features.of(words)
+    ends = [*together.starts[1:].tolist(), len(together.grams)]
+    for word, a, b in zip(words, together.starts.tolist(), ends, strict=True):
+        alone = lang_crf.Features.of([word])
+        assert alone.grams.tolist() == together.grams[a:b].tolist()
+        marked = f"^{word[:lang_crf.LONGEST]}$"
+        for i, row in enumerate(alone.grams.tolist()):
+            for k, n in enumerate(lang_crf.GRAMS):
+                assert (row[k] == lang_crf.FEATURES) == (i + n > len(marked))
+    banana = lang_crf.Features.of(["banana"]).grams
+    assert banana[2, 0] == banana[4, 0] and banana[2, 1] == banana[4, 1] != banana[1, 1]  # an, ana
+    weights = np.random.default_rng(3).random((lang_crf.FEATURES + 1, 2)).astype(np.float32)
+    weights[-1] = 0
+    got, of_word = together.sums(weights), np.arange(1.0, len(words) + 1)
+    assert np.allclose(of_word @ got[:, 0], together.spread(of_word) @ weights[:, 0])
+
+
 def test_blocks_equal_one_pass():
     """Marginals over blocks are those of forward-backward over the whole chain."""
     rng = np.random.default_rng(5)
