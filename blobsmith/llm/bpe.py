@@ -21,6 +21,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -149,8 +150,8 @@ def merge_one(vocab: Vocabulary, word: bytes) -> list[int]:
     return [s for s in sym if s >= 0]
 
 
-def merge_many(vocab: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """The ids of words of at most LOCKSTEP_PAIRS pairs, merged in lock-step.
+def merge_many(vocab: Vocabulary, words: list[bytes]) -> list[bytes]:
+    """The ids, as little-endian 32-bit integers, of words of at most LOCKSTEP_PAIRS pairs, merged in lock-step.
 
     Row r of the (flat) arrays is the tree and the symbols of word r; `live` are the rows with a merge left.
     """
@@ -203,8 +204,8 @@ def merge_many(vocab: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
             tree[roots + path] = np.minimum(tree[child], tree[child + 1])
         live = live[tree[root + 1] != NONE]
     kept = sym.reshape(n, wide) >= 0
-    ids = sym.reshape(n, wide)[kept]
-    ends = np.cumsum(kept.sum(1)).tolist()
+    ids = sym.reshape(n, wide)[kept].astype("<i4").tobytes()
+    ends = (4 * np.cumsum(kept.sum(1))).tolist()
     return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
@@ -231,23 +232,25 @@ class Encoder:
         # what is all letters (but for the letter whose lower case depends on its place) is one word
         texts = b"\n".join(tokens).decode()
         plain = unicodedata.normalize("NFC", texts).lower().split("\n")
-        split, strange = self.vocab.words.findall, self.vocab.strange.search(texts)
+        split, strange = self.vocab.words.findall, self.vocab.strange.search("".join(set(texts)))
 
         def plainly(p: str) -> bool:
             return not strange and "ς" not in p and "<" not in p
 
-        parts = [
-            ([p] if p.isalpha() else split(p)) if p.isascii() and "<" not in p or plainly(p) else self.pieces(t)
-            for p, t in zip(plain, texts.split("\n"), strict=True)
+        clear = [p.isascii() and "<" not in p or plainly(p) for p in plain]
+        single = [c and p.isalpha() for c, p in zip(clear, plain, strict=True)]
+        alone, words = list(compress(tokens, single)), list(compress(plain, single))
+        rest = [
+            (token, split(p) if c else self.pieces(token.decode()))
+            for token, p, c, s in zip(tokens, plain, clear, single, strict=True) if not s
         ]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        new = {w for p in parts for w in p if isinstance(w, str)}.difference(self.words)
-        self.merge(sorted((w.encode() for w in new), key=len))
+        new = {w for _, parts in rest for w in parts if isinstance(w, str)}.union(words).difference(self.words)
+        self.merge(sorted(map(str.encode, new), key=len))
         ids, specials = self.words, {i: i.to_bytes(4, "little") for i in self.vocab.special.values()}
-        self.known.update(zip(tokens, (
-            ids[p[0]] if len(p) == 1 and p[0] in ids else b"".join([ids[w] if isinstance(w, str) else specials[w] for w in p])
-            for p in parts), strict=True))
+        self.known.update(zip(alone, map(ids.__getitem__, words), strict=True))
+        self.known.update((token, b"".join([ids[w] if isinstance(w, str) else specials[w] for w in parts])) for token, parts in rest)
 
     def merge(self, words: list[bytes]) -> None:
         """Remember the ids of words, which come by length."""
@@ -262,8 +265,7 @@ class Encoder:
             end = at
             while end < len(words) and len(words[end]) - 1 <= cap and end - at < max(1, 200_000 // cap):
                 end += 1
-            for word, ids in zip(words[at:end], merge_many(self.vocab, words[at:end]), strict=True):
-                self.words[word.decode()] = ids.tobytes()
+            self.words.update(zip(map(bytes.decode, words[at:end]), merge_many(self.vocab, words[at:end]), strict=True))
             at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
