@@ -1,13 +1,15 @@
-"""Near-duplicate embeddings by a pivot-permutation index.
+"""Near-duplicate embeddings by an index of pivots that loses no pair.
 
-A vector is described by its NEAREST reference points (pivots) in order. The index is an inverted list of vectors for each
-pivot; two vectors are candidates if they share at least SHARED pivots, which is counted within the list of the lowest
-pivot they share, and a link if their cosine, in double precision, is at least `cosine`.
+A vector lives with its nearest reference point (pivot). Two vectors are a link if their cosine, in double precision, is at
+least `cosine`, that is if they lie within a distance, the reach. So of a link whose ends live with pivots p and q, either end is
+within the reach of the plane half-way between p and q, and within the reach and the radius of the other's cell. A vector
+goes to the cells that these two bounds allow, and there all pairs are compared: the links are those of brute force.
 
 Equal vectors form a class that is indexed once. The pivots are a sample of the classes by a hash, PIVOTS_PER_ROOT times the root of
-their number, at most MOST_PIVOTS. Long lists are split into blocks of BLOCK vectors and compared block by
-block, so no task holds a whole list; and a block reports how many links each vector has and the local components, not its pairs.
-Measured on the test tables, the recall of links against brute force is given in the README.
+their number, at most MOST_PIVOTS. Neighbouring small cells travel together in blocks of about BLOCK vectors and a large cell is
+split into such blocks, so no task holds a whole cell; a task compares two blocks in tiles of TILE, and reports how many links each
+vector has and the local components, not its pairs. Where the vectors fall into clusters, few cells are in reach of one another;
+where they have no structure, the bounds exclude nothing and the work grows with the square of the different vectors.
 
 Defined results: vectors that are null or zero or hold null or non-finite components are linked with nothing, as are
 vectors of different lengths with one another. A row without an id is counted in no class and linked with nothing. Rows
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,11 +32,12 @@ from .bpe import arrow_type
 from .common import components, materialize, small_batches
 
 COSINE = 0.95
-NEAREST = 8
-SHARED = 2
 PIVOTS_PER_ROOT = 4
 MOST_PIVOTS = 8192
-BLOCK = 1024
+BLOCK = 8192
+TILE = 1024
+#: What rounding may add to a distance.
+SLACK = 1e-6
 
 
 def unit_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -57,29 +61,95 @@ def unit_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return rows.mapInArrow(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, key string, unit array<double>")
 
 
-def describe(units: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
-    """The numbers of the nearest pivots of each unit vector, nearest first."""
+def apart(cosines: np.ndarray) -> np.ndarray:
+    """The distances of unit vectors with these cosines."""
+    return np.sqrt(np.maximum(0, 2 - 2 * cosines))
+
+
+def homes(units: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the nearest pivot of each unit vector, and its distance."""
     near = units @ pivots.T
-    n = min(nearest, len(pivots))
-    top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-
-
-def compare(list_no: int, left: pd.DataFrame, right: pd.DataFrame | None, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a block of a list, or of two blocks: which pairs (left x right), and who they are."""
-    other = left if right is None else right
-    a, b = np.stack(left["unit"].to_numpy()), np.stack(other["unit"].to_numpy())
-    pa_, pb = np.stack(left["nearest"].to_numpy()), np.stack(other["nearest"].to_numpy())
-    known, place = np.unique(np.concatenate([pa_.ravel(), pb.ravel()]), return_inverse=True)
-    has_a, has_b = np.zeros((len(a), len(known)), np.float32), np.zeros((len(b), len(known)), np.float32)
-    has_a[np.arange(len(a))[:, None], place[: pa_.size].reshape(pa_.shape)] = 1
-    has_b[np.arange(len(b))[:, None], place[pa_.size :].reshape(pb.shape)] = 1
-    lower = known < list_no  # a pair is judged only in the list of the lowest pivot that both have
-    pairs = (has_a @ has_b.T >= shared) & (has_a[:, lower] @ has_b[:, lower].T == 0)
-    pairs &= a @ b.T >= cosine
-    if right is None:
-        np.fill_diagonal(pairs, False)
-    return pairs, left["key"].to_numpy(), other["key"].to_numpy()
+    cells = near.argmax(1)
+    return cells, apart(near[np.arange(len(units)), cells])
+
+
+def nearby(points: np.ndarray) -> list[int]:
+    """An order in which points that are near one another are mostly close: halves along a long diameter, again and again."""
+    def halves(at: np.ndarray) -> list[int]:
+        if len(at) < 3:
+            return at.tolist()
+        here = points[at]
+        one = here[((here - here.mean(0)) ** 2).sum(1).argmax()]
+        other = here[((here - one) ** 2).sum(1).argmax()]
+        at = at[np.argsort(here @ (other - one), kind="stable")]
+        return halves(at[: len(at) // 2]) + halves(at[len(at) // 2 :])
+
+    return halves(np.arange(len(points)))
+
+
+@dataclass
+class Layout:
+    """The blocks of the vectors of one length: cells in order, in groups that each take some blocks from a first one on.
+
+    Without pivots there is one cell.
+    """
+
+    pivots: np.ndarray | None
+    radii: np.ndarray
+    order: np.ndarray
+    begins: np.ndarray  # of the groups, in order
+    group: np.ndarray  # of each cell
+    firsts: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, pivots: np.ndarray | None, counts: np.ndarray, radii: np.ndarray, first: int) -> Layout:
+        order = nearby(pivots) if pivots is not None else [0]
+        begins, sizes, group = [], [], np.zeros(len(counts), np.int64)
+        for at, cell in enumerate(order):
+            if not begins or sizes[-1] + counts[cell] > BLOCK:
+                begins.append(at)
+                sizes.append(0)
+            sizes[-1] += int(counts[cell])
+            group[cell] = len(begins) - 1
+        parts = np.array([max(1, -(-n // BLOCK)) for n in sizes])
+        return cls(pivots, radii, np.array(order), np.array(begins), group, first + np.cumsum(parts) - parts, parts)
+
+    def own(self, cells: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The block of each vector."""
+        group = self.group[cells]
+        return self.firsts[group] + hashes % self.parts[group]
+
+    def visits(self, units: np.ndarray, cells: np.ndarray, reach: float) -> list[np.ndarray]:
+        """The blocks in which a vector within the reach of each vector may live."""
+        if self.pivots is None:
+            hit = np.ones((len(units), 1), bool)
+        else:
+            near = units @ self.pivots.T
+            over = near[np.arange(len(units)), cells][:, None] - near
+            hit = over <= reach * apart(self.pivots[cells] @ self.pivots.T) + SLACK
+            hit &= apart(near) <= self.radii + reach + SLACK
+        groups = np.logical_or.reduceat(hit[:, self.order], self.begins, axis=1)
+        return [self.firsts[0] + np.flatnonzero(row) for row in np.repeat(groups, self.parts, axis=1)]
+
+
+def compare(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> pd.DataFrame:
+    """(key, links, other) of all pairs within a block, or of two blocks, tile by tile."""
+    def tiles(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        parts = (frame.iloc[k : k + TILE] for k in range(0, len(frame), TILE))
+        return [(np.stack(p["unit"].to_numpy()), p["key"].to_numpy(), p["size"].to_numpy()) for p in parts]
+
+    rows = tiles(left)
+    columns, found = rows if right is None else tiles(right), []
+    for i, (a, keys_a, size_a) in enumerate(rows):
+        for j, (b, keys_b, size_b) in enumerate(columns):
+            if right is None and j < i:
+                continue
+            pairs, same = a @ b.T >= cosine, right is None and i == j
+            if same:
+                np.fill_diagonal(pairs, False)
+            found.append(reduced(pairs, keys_a, keys_b, size_a, size_b, same))
+    return pd.concat(found).groupby(["key", "other"], as_index=False)["links"].sum()[["key", "links", "other"]] if found else pd.DataFrame(columns=["key", "links", "other"]).astype({"links": np.int64})
 
 
 def reduced(pairs: np.ndarray, left: np.ndarray, right: np.ndarray, size_left: np.ndarray, size_right: np.ndarray, same: bool) -> pd.DataFrame:
@@ -105,8 +175,7 @@ def reduced(pairs: np.ndarray, left: np.ndarray, right: np.ndarray, size_left: n
     return out[out["links"] > 0]
 
 
-def link(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding",
-         nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def link(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
     rows = materialize(unit_vectors(table, id_col, vector_col), "units")
     whole = rows.where("key is not null and vec_id is not null").groupBy("key").agg(
@@ -118,43 +187,50 @@ def link(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vecto
     pivots: dict[int, np.ndarray] = {}
     for length in sorted({len(r["unit"]) for r in sample}):
         pivots[length] = np.array([r["unit"] for r in sample if len(r["unit"]) == length])
-    firsts = dict(zip(pivots, np.cumsum([0, *map(len, pivots.values())]).tolist(), strict=False))
 
-    def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def housed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            lengths = frame["unit"].map(len)
-            for length, part in frame.groupby(lengths):
+            for length, part in frame.groupby(frame["unit"].map(len)):
                 if length in pivots:
-                    near = describe(np.stack(part["unit"].to_numpy()), pivots[length], nearest) + firsts[length]
-                else:  # no pivot has this length: a list for itself
-                    near = np.full((len(part), 1), -length)
-                yield part.assign(nearest=list(near))
+                    cells, radii = homes(np.stack(part["unit"].to_numpy()), pivots[length])
+                else:  # no pivot has this length: one cell for all
+                    cells, radii = 0, 2.0
+                yield part.assign(length=length, cell=cells, radius=radii)
 
-    index = classes.select("key", "size", "unit").mapInPandas(described, "key string, size long, unit array<double>, nearest array<long>")
+    index = classes.select("key", "size", "unit").mapInPandas(
+        housed, "key string, size long, unit array<double>, length long, cell long, radius double")
     index = materialize(index, "index")
-    lists = index.select(F.explode("nearest").alias("pivot")).groupBy("pivot").count()
-    blocks = lists.select("pivot", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    # a vector goes to each pair of blocks that its own block is in
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    entries = index.withColumn("pivot", F.explode("nearest")).join(blocks, "pivot").withColumn("own", own)
-    entries = entries.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    entries = entries.select(
-        "pivot", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "key", "size", "unit", "nearest")
+    # a row for each pivot, and for each length without one
+    held = index.groupBy("length", "cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect()
+    layouts: dict[int, Layout] = {}
+    first = 0
+    for length in sorted({r["length"] for r in held}):
+        points = pivots.get(length)
+        counts, radii = np.zeros(1 if points is None else len(points), np.int64), np.full(1 if points is None else len(points), -np.inf)
+        for r in held:
+            if r["length"] == length:
+                counts[r["cell"]], radii[r["cell"]] = r["n"], r["radius"]
+        layouts[length] = Layout.of(points, counts, radii, first)
+        first += int(layouts[length].parts.sum())
+    reach = max(0.0, 2 - 2 * cosine) ** 0.5
+
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for length, part in frame.groupby("length"):
+                layout, cells = layouts[length], part["cell"].to_numpy()
+                own = layout.own(cells, part["key"].map(lambda k: int(k[:12], 16)).to_numpy())
+                yield part[["key", "size", "unit"]].assign(own=own, visits=layout.visits(np.stack(part["unit"].to_numpy()), cells, reach))
+
+    # a vector goes to each pair of blocks of its own block and one it visits; the two ends of a link visit each other's
+    entries = index.mapInPandas(dealt, "key string, size long, unit array<double>, own long, visits array<long>")
+    entries = entries.withColumn("with", F.explode("visits")).select(
+        F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "key", "size", "unit")
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
-        low, high, pivot = int(group["low"].iat[0]), int(group["high"].iat[0]), int(group["pivot"].iat[0])
-        left, right = group[group["own"] == low], group[group["own"] == high]
-        need = min(shared, len(left["nearest"].iat[0])) if len(left) else shared
-        if low == high:
-            pairs, a, b = compare(pivot, left, None, cosine, need)
-        elif len(left) and len(right):
-            pairs, a, b = compare(pivot, left, right, cosine, need)
-        else:
-            return pd.DataFrame({"key": [], "links": [], "other": []})
-        return reduced(pairs, a, b, left["size"].to_numpy(), (left if low == high else right)["size"].to_numpy(), low == high)
+        low, high = int(group["low"].iat[0]), int(group["high"].iat[0])
+        return compare(group[group["own"] == low], None if low == high else group[group["own"] == high], cosine)
 
-    found = materialize(
-        entries.groupBy("pivot", "low", "high").applyInPandas(block, "key string, links long, other string"), "found")
+    found = materialize(entries.groupBy("low", "high").applyInPandas(block, "key string, links long, other string"), "found")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("key").alias("a"), F.col("other").alias("b")))
     facts = classes.select("key", "rep", "size").join(links, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")

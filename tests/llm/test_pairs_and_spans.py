@@ -116,6 +116,20 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert sum(got[i][1] != want[i][1] for i in ids) <= 0.03 * len(ids)
 
 
+def test_embedding_links_of_a_noisy_group(spark, monkeypatch):
+    """One group holds a third of the different vectors, and its members differ by noise: no link is lost."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    group = centre / np.linalg.norm(centre) + rng.normal(size=(700, 64)) * (0.03 / 0.97 / 64) ** 0.5
+    vectors, ids = np.concatenate([group, rng.normal(size=(1400, 64))]), list(range(2100))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    want = links_plainly(ids, vectors)
+    assert sum(n for n, _ in want.values()) > 0.9 * 700 * 699
+    for block in (embed_dup.BLOCK, 300):
+        monkeypatch.setattr(embed_dup, "BLOCK", block)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dup.link(table).collect()} == want
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0, 0.0, 0.0]),
             (None, [1.0, 0.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [1e300, 1e300]), (11, [1e-300, 1e-300])]
