@@ -102,9 +102,12 @@ def byte_differences(pairs: DataFrame, key: list[str], left: str, right: str, li
     from blobsmith.functions.binary import byte_at
 
     shared = F.least(F.octet_length(left), F.octet_length(right))
-    rows = pairs.where(shared > 0).select(*key, left, right, F.explode(F.sequence(F.lit(0), shared - 1)).alias("pos"))
-    rows = rows.select(*key, "pos", byte_at(F.col(left), F.col("pos")).alias("left_byte"), byte_at(F.col(right), F.col("pos")).alias("right_byte"))
-    rows = rows.where("left_byte <> right_byte")
+    sides = F.col(left).cast("binary"), F.col(right).cast("binary")
+    places = F.filter(F.sequence(F.lit(0), shared - 1), lambda i: byte_at(sides[0], i) != byte_at(sides[1], i))
+    if limit is not None:
+        places = F.slice(places, 1, limit)
+    found = F.transform(places, lambda i: F.struct(i.alias("pos"), byte_at(sides[0], i).alias("left_byte"), byte_at(sides[1], i).alias("right_byte")))
+    rows = pairs.where(shared > 0).select(*key, F.explode(found).alias("_d")).select(*key, "_d.*")
     if limit is not None:
         rank = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
         rows = rows.withColumn("_n", rank).where(F.col("_n") <= limit).drop("_n")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blobsmith.functions import binary as B
+from blobsmith.functions import blobs
 from blobsmith.functions import json as J
 from blobsmith.functions import text as X
 from blobsmith.functions import validators
@@ -620,3 +621,65 @@ def version_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", X.version_label(F.col("c_nationkey") % 4, 32 + F.col("c_nationkey") % 2 * 4).alias("label"),
         X.local_time(F.col("c_custkey") * 86400, "America/New_York").cast("timestamp_ntz").alias("local"))
+
+
+# The queries of the same names without _whole keep to the first part of each text, as their SQL does. These take every text
+# whole and have no SQL.
+
+
+@query(None)
+def name_validate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule each word of the texts breaks as a name."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("name"))
+    return rows.withColumn("status", X.name_status(F.col("name"), banned=("anti",)))
+
+
+@query(None)
+def byte_diff_topn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten differing bytes of pairs of blobs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair"), F.col("text").cast("binary").alias("data"))
+    left, right = (docs.where(F.col("doc_id") % 2 == i).select("pair", F.col("data").alias(c)) for i, c in enumerate("ab"))
+    return relations.byte_differences(left.join(right, "pair"), ["pair"], "a", "b", limit=10)
+
+
+@query(None)
+def crc32_msb_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", blobs.crc32_msb_fast(F.col("text").cast("binary")).alias("crc"))
+
+
+@query(None)
+def adler32_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", blobs.adler32_fast(F.col("text").cast("binary")).alias("adler"))
+
+
+@query(None)
+def value_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.value_tokens(F.replace("text", F.lit("\n"), F.lit(","))).alias("tokens"))
+
+
+@query(None)
+def hex_dump_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", B.hex_dump(F.col("text").cast("binary")).alias("dump"))
+
+
+@query(None)
+def text_scalars_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.regexp_replace(low, "[^a-z0-9_]", "").alias("group_name"), F.regexp_replace(low, "[^a-z0-9/_: ]", "").alias("key_name"),
+        X.escape_quotes(F.col("text")).alias("quoted"), X.replace_ignoring_case(F.col("text"), "the", "#").alias("replaced"))
+
+
+@query(None)
+def find_matches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two bytes stand."""
+    data = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", B.find_matches(data, b"th").cast("array<bigint>").alias("places"), B.index_of(data, b"th", 40).cast("long").alias("first_after"))
+
+
+@query(None)
+def byte_scalars_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes turned round, and printable."""
+    data = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(B.reversed_bytes(data)).alias("reversed"), B.is_printable(data).alias("printable"))

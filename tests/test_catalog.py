@@ -62,3 +62,32 @@ def test_ranks_without_one_sort(spark):
     got = relations.ranked(rows, "at", "rank", parts=7).orderBy("at").collect()
     assert [r["rank"] for r in got] == list(range(1, 1001))
     assert relations.ranked(rows.where("id < 0"), "at", "rank").count() == 0
+
+
+def test_whole_texts(spark, tmp_path):
+    """The queries of whole texts against plain Python; what counts stands beyond every prefix."""
+    import re
+    import zlib
+
+    from blobsmith.codecs import bytes as codec
+
+    long = "a" * 700 + " The é the, " + '"q,' + "x" * 9000 + '" con\nth'
+    texts = [long, long[:-1] + "H", "", "the th", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: {r["doc_id"]: r for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    crc, adler, dump, tokens = (run(f"{n}_whole") for n in ("crc32_msb", "adler32", "hex_dump", "value_split"))
+    scalars, found, turned = (run(f"{n}_whole") for n in ("text_scalars", "find_matches", "byte_scalars"))
+    for i, text in enumerate(texts[:4]):
+        data = text.encode()
+        assert crc[i]["crc"] == codec.crc32_msb(data) and adler[i]["adler"] == zlib.adler32(data) and dump[i]["dump"] == data.hex(" ").upper()
+        assert tokens[i]["tokens"] == [m[0].strip(" ") for m in re.finditer(r'"(?:\\.|[^"\\])*"|[^,]+', text.replace("\n", ","))]
+        assert scalars[i]["group_name"] == re.sub("[^a-z0-9_]", "", text.lower()) and scalars[i]["key_name"] == re.sub("[^a-z0-9/_: ]", "", text.lower())
+        assert scalars[i]["quoted"] == text.replace('"', '\\"') and scalars[i]["replaced"] == re.sub("(?i)the", "#", text)
+        places = [k for k in range(len(data) - 1) if data[k : k + 2] == b"th"]
+        assert found[i]["places"] == places and found[i]["first_after"] == next((k for k in places if k >= 40), -1)
+        assert turned[i]["reversed"] == data[::-1].hex().upper() and turned[i]["printable"] == all(32 <= b < 127 or b in b"\t\n\r" for b in data)
+    assert crc[4]["crc"] is None and adler[4]["adler"] is None
+    last = len(long.encode()) - 1
+    assert [tuple(r) for r in catalog.QUERIES["byte_diff_topn_whole"](spark, str(tmp_path)).collect()] == [(0, last, ord("h"), ord("H"))]
+    names = catalog.QUERIES["name_validate_whole"](spark, str(tmp_path)).where("doc_id = 0").collect()
+    assert [r["name"] for r in names] == long.split(" ") and names[0]["status"] == "TooLong"
