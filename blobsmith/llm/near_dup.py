@@ -9,7 +9,8 @@ No band lists all its pairs. Each class is first checked against the most simila
 components are formed; then, only where a band holds several components, its pairs across components are compared, and
 checked where their sketches agree. A pair of one component needs no check, as it cannot change the components.
 
-With ROWS = 7 and BANDS = 40 a pair of similarity 0.85 shares no band with a probability of 2e-7, less above.
+The similarity asked for decides the rows of a band: the most, up to ROWS, with which a pair of that similarity shares no band
+with a probability of MISSED at most (with BANDS = 40: 7 rows and 2e-7 at 0.85, 5 rows and 1.2e-7 at 0.8), less above.
 
 Defined results: a text that is null or has no word has an empty set and is linked with nothing; with fewer than five
 words its whole sequence is one shingle. A row without an id is linked with nothing and kept. Rows that repeat an id are
@@ -31,12 +32,13 @@ from .bpe import arrow_type
 from .common import components, materialize, small_batches, text_chunks
 
 WORDS = 5
-SIMILARITY = 85  # of a hundred
+SIMILARITY = 85  # of a hundred, unless another is asked for
 ROWS, BANDS = 7, 40
+MISSED = 1e-6
 SAMPLES = 1024
 SKETCH_BITS = 2048
-#: Pairs whose sketches say less than this are not checked: more than four standard deviations below 0.85.
-SKETCH_SIMILARITY = 0.78
+#: Pairs whose sketches say that they are so many standard deviations below the similarity are not checked.
+DEVIATIONS = 4.5
 #: Members of a band that others are compared with first, and how often each picks the most similar one.
 HUBS, ROUNDS = 4, 2
 
@@ -78,11 +80,17 @@ def samples(sets: list[np.ndarray], n: int = SAMPLES) -> np.ndarray:
     return out
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
+def band_rows(similarity: int = SIMILARITY) -> int:
+    """The rows of a band for a similarity (of a hundred)."""
+    fitting = (n for n in range(ROWS, 1, -1) if (1 - (similarity / 100) ** n) ** BANDS <= MISSED)
+    return next(fitting, 1)
+
+
+def band_keys(mins: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key for each band (documents x BANDS) of the first samples; keys of different bands differ too."""
-    parts = mins[:, : ROWS * BANDS].reshape(len(mins), BANDS, ROWS).astype(np.uint64)
+    parts = mins[:, : rows * BANDS].reshape(len(mins), BANDS, rows).astype(np.uint64)
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _MIX[ROWS], parts.shape[:2]).copy()
-    for i in range(ROWS):
+    for i in range(rows):
         keys = scramble(keys + parts[:, :, i] * _MIX[i])
     return keys.view(np.int64)
 
@@ -100,13 +108,22 @@ def sketch_estimate(differ: float, n: int = SAMPLES, bits: int = SKETCH_BITS) ->
     return 1 + bits / (4 * n) * float(np.log(max(1e-9, 1 - 2 * differ / bits)))
 
 
-def _most_differing(n: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
-    return int(bits / 2 * (1 - np.exp(-4 * n / bits * (1 - SKETCH_SIMILARITY))))
+def sketch_cut(similarity: int = SIMILARITY, n: int = SAMPLES, bits: int = SKETCH_BITS) -> float:
+    """DEVIATIONS standard deviations of the estimate, those of the samples and of the bits, below a similarity (of a hundred)."""
+    s = similarity / 100
+    kept = np.exp(-4 * n / bits * (1 - s))
+    of_samples, of_bits = (s * (1 - s) / n) ** 0.5, (bits / 4 * (1 - kept**2)) ** 0.5 / (2 * n * kept)
+    return float(s - DEVIATIONS * np.hypot(of_samples, of_bits))
+
 
+def _most_differing(similarity: int, n: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
+    return int(bits / 2 * (1 - np.exp(-4 * n / bits * (1 - sketch_cut(similarity)))))
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, fp, text_key, sketch, bands) of each row; fp is the digest of the set, null for an empty one."""
     small_batches(docs.sparkSession)
+    n_rows = band_rows(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_chunks(batches, 1_000_000):
@@ -114,7 +131,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             full = [i for i, s in enumerate(sets) if len(s)]
             mins = samples([sets[i] for i in full])
             sketch, bands = [None] * len(sets), [None] * len(sets)
-            for i, s, b in zip(full, odd_sketches(mins).tolist(), band_keys(mins).tolist(), strict=True):
+            for i, s, b in zip(full, odd_sketches(mins).tolist(), band_keys(mins, n_rows).tolist(), strict=True):
                 sketch[i], bands[i] = s, b
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, kind), pa.array([len(s) for s in sets], pa.int64()),
@@ -129,17 +146,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.mapInArrow(run, f"doc_id {name}, n_shingles long, fp binary, text_key string, sketch array<long>, bands array<long>")
 
 
-def _alike(a: str, b: str) -> Column:
+def _alike(a: str, b: str, similarity: int) -> Column:
     """The sketches and sizes of two classes allow the similarity."""
-    return (_differ(a, b) <= _most_differing()) & (
-        F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * SIMILARITY)
+    return (_differ(a, b) <= _most_differing(similarity)) & (
+        F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * similarity)
 
 
 def _differ(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_BITS // 64)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity. texts: (fp, text) of the classes concerned."""
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -153,29 +170,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, of_last = b, shingles(text_b)
                 one = shingles(text_a)
                 common = len(np.intersect1d(one, of_last, assume_unique=True))
-                if 100 * common >= SIMILARITY * (len(one) + len(of_last) - common):
+                if 100 * common >= similarity * (len(one) + len(of_last) - common):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row: the component's smallest id, which alone is kept."""
-    return _grouped(docs, id_col, text_col).drop("text_key")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row: the component's smallest id, which alone is kept.
+
+    similarity: of a hundred, what links two documents.
+    """
+    return _grouped(docs, id_col, text_col, similarity).drop("text_key")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each component, and every row without an id."""
-    stay = _grouped(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    stay = _grouped(docs, id_col, text_col, similarity).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_id", F.col(id_col))
     named = keyed.where("_id is not null").join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
     return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(signatures(docs), "signatures")
+    rows = materialize(signatures(docs, similarity=similarity), "signatures")
     classes = materialize(
         rows.where("fp is not null and doc_id is not null").groupBy("fp")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"),
@@ -196,12 +216,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        return materialize(verified(pairs, texts_of(pairs)), "links")
+        return materialize(verified(pairs, texts_of(pairs), similarity), "links")
 
     stars = members.select(F.col("fp").alias("a"), F.explode(F.array_distinct("hubs")).alias("b")).where("a <> b").distinct()
     stars = materialize(
         stars.join(facts.alias("x"), F.col("a") == F.col("x.fp")).join(facts.alias("y"), F.col("b") == F.col("y.fp"))
-        .where(_alike("x", "y")).select("a", "b", _differ("x", "y").alias("differ")), "stars")
+        .where(_alike("x", "y", similarity)).select("a", "b", _differ("x", "y").alias("differ")), "stars")
     links, tried, joined = None, None, None
     for _ in range(ROUNDS):
         open_ = stars
@@ -222,7 +242,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rest = materialize(of.join(mixed, "key").join(classes.select("fp", "n_shingles", "sketch", "bands"), "fp"), "mixed")
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-                    & (F.col("x.component") != F.col("y.component")) & _alike("x", "y")
+                    & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", similarity)
                     & F.expr("array_intersect(x.bands, y.bands)[0] = x.key"))
     more = linked(across.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
     joined = components(links.union(more))

@@ -67,7 +67,7 @@ def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), similarity=85)
 
 
 def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

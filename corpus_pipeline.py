@@ -15,6 +15,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document whose words agree on a language less than this is rejected. With four languages, chance gives 0.25.
 LEAST_LANGUAGE_SCORE = 0.4
+#: Of a hundred, by shingles of five words: documents so similar are near-duplicates.
+NEAR_SIMILARITY = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dup.deduplicate(docs)
+    return near_dup.deduplicate(docs, similarity=NEAR_SIMILARITY)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

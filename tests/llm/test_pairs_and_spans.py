@@ -81,6 +81,25 @@ def test_odd_sketches_estimate_similarity():
         assert near_dup.sketch_estimate(differ) == pytest.approx(share, abs=0.06)
 
 
+def test_pipeline_drops_copies_of_similarity_eighty(spark):
+    """Pairs between 0.80 and 0.85 are near-duplicates to the pipeline's stage, and not to op6; pairs below 0.80 to neither."""
+    rng, texts = random.Random(10), []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))]
+        far = rng.sample(range(5, len(base) - 5, 6), len(base) // 50)
+        texts += [" ".join(base), " ".join(f"new{i}" if i in far else w for i, w in enumerate(base))]
+    sets = [shingles_plainly(t) for t in texts]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.8 <= s < 0.85 for s in share) >= 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for similarity, stayed in ((0.8, corpus_pipeline.near_duplicates(spark, docs, "")), (0.85, near_dup.deduplicate(docs, similarity=85))):
+        want = {2 * i for i in range(40)} | {2 * i + 1 for i, s in enumerate(share) if s < similarity}
+        assert {r["doc_id"] for r in stayed.collect()} == want
+    for similarity in (80, 85, 90):
+        assert (1 - (similarity / 100) ** near_dup.band_rows(similarity)) ** near_dup.BANDS <= near_dup.MISSED
+    assert near_dup.band_rows(85) == near_dup.ROWS and 0.77 < near_dup.sketch_cut(85) < 0.79
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     got = near_dup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count() and near_dup.near_duplicates(no_docs).count() == 0
