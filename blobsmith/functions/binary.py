@@ -143,7 +143,7 @@ def padded_or_cut(data: Column, size: int) -> Column:
 def is_printable(data: Column, chars_only: bool = False) -> Column:
     """Only bytes of printable ASCII, and tabs and line ends unless chars_only."""
     more = "" if chars_only else "|09|0A|0D"
-    return F.hex(data).rlike(f"^([2-6].|7[0-9A-E]{more})*$")
+    return F.hex(data).rlike(f"^([2-6].|7[0-9A-E]{more})*+$")
 
 
 def hex_dump(data: Column) -> Column:

@@ -130,7 +130,7 @@ def token_kind(token: Column) -> Column:
 
 def value_tokens(text: Column) -> Column:
     """The values of a line: quoted, or free of commas."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r'("[^"\\]*(?:\\.[^"\\]*)*"|[^,]+)'), F.lit(1)), lambda v: F.trim(v))
+    return F.transform(F.regexp_extract_all(text, F.lit(r'("[^"\\]*(?:\\.[^"\\]*)*+"|[^,]+)'), F.lit(1)), lambda v: F.trim(v))
 
 
 def printable(text: Column, chars_only: bool = False) -> Column:

@@ -71,7 +71,7 @@ def test_whole_texts(spark, tmp_path):
 
     from blobsmith.codecs import bytes as codec
 
-    long = "a" * 700 + " The é the, " + '"q,' + "x" * 9000 + '" con\nth'
+    long = "a" * 700 + " The é the, " + '"q,' + "x" * 60_000 + '\\" ' * 5000 + '" con\nth'
     texts = [long, long[:-1] + "H", "", "the th", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: {r["doc_id"]: r for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
