@@ -1,6 +1,6 @@
 """Language identification of words by a linear-chain conditional random field.
 
-Each word of letters is described by hashed features: affixes, character n-grams and the word itself (the lexicon). Their
+Each word of letters (of a run of more than LONGEST letters, each piece of so many) is described by hashed features: affixes, character n-grams and the word itself (the lexicon). Their
 learned weights, and learned weights of passing from one language to the next, give every word of a text a distribution
 over languages by forward-backward, so that code-switched text is labelled word by word. A document takes the language
 with the largest share; its score is that share.
@@ -34,7 +34,7 @@ SAMPLE = 12_000
 WINDOW = 24
 BITS = 17
 FEATURES = 1 << BITS
-#: The lengths of n-grams, and how many letters of a word they are taken from.
+#: The lengths of n-grams, and the most letters of a word: a longer run of letters is several words, each labelled.
 GRAMS = (2, 3, 4)
 LONGEST = 40
 EPOCHS = 3
@@ -44,11 +44,11 @@ BLOCK = 32
 REMEMBERED = 300_000
 
 _MIX, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def words_of(text: str) -> list[str]:
-    """The runs of letters of a text, in lower case."""
+    """The runs of letters of a text, in lower case; a longer run makes successive words of LONGEST letters."""
     return [w for w in _LETTERS.findall(text.lower()) if any(map(str.isalpha, w))]
 
 

@@ -115,6 +115,16 @@ def test_crf_labels_switches():
     assert np.allclose(each.sum(1), 1) and model.switches[0, 0] > model.switches[0, 1]
 
 
+def test_long_runs_of_letters_are_seen_whole():
+    """A run of letters without blanks is labelled to its end, not by its first letters."""
+    rng = random.Random(4)
+    model = lang_crf.fit(lang_crf.sequences_from(code_switched(rng, 400), ["aa", "bb"]), ["aa", "bb"])
+    start, rest = ("".join(rng.choices(LANGS[x], k=n)) for x, n in (("bb", 20), ("aa", 400)))
+    each = next(iter(model.label([start + rest])))
+    assert len(start) == 40 and "".join(lang_crf.words_of(start + rest)) == start + rest
+    assert [model.labels[i] for i in each.argmax(1)] == ["bb"] + ["aa"] * 20
+
+
 def test_features_do_not_depend_on_neighbours():
     """Each word's features are those of its n-grams, whatever words stand beside it; equal n-grams have equal features."""
     words = ["a", "ab", "banana", "日本語", "x" * 100, "straße", "an"]
