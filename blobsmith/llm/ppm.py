@@ -20,13 +20,12 @@ every byte costs the same and the base score is that of unknown words. An empty
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -36,15 +35,15 @@ from .bpe import arrow_type
 from .common import materialize, small_batches, text_chunks
 
 ORDER = 5
-#: Text of a chunk, in bytes; a longer text makes a chunk of its own.
-CHUNK = 32_000_000
+#: Text of a chunk, in bytes, and its different grams: a chunk ends once it has so many. A longer text makes a chunk of its own.
+CHUNK, DIFFERENT = 32_000_000, 2_000_000
 #: Never part of UTF-8: stands for the end of a text and, ORDER times, for what is before it.
 EDGE = b"\xff"
 SYMBOLS = 256
 #: The end of a text among words; no word holds a blank.
 END = " "
-#: Grams handled at a time, and sorted blocks of them kept before they are merged.
-_STEP, _PARTS = 1 << 20, 64
+#: Grams handled at a time, rows sent at a time, and rows in loose parts that are not worth a merge.
+_STEP, SENT, LOOSE = 1 << 18, 1 << 16, 1 << 18
 
 
 def gram_blocks(texts: list[bytes], step: int = _STEP) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,44 +81,86 @@ def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[first], np.add.reduceat(n, first)
 
 
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    words = parts.flatten()
+    full = pc.not_equal(pc.binary_length(words), 0)  # a blank at either end leaves an empty part
+    inside = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    offsets = parts.offsets.to_numpy()
+    return words.filter(full), np.diff(inside[offsets])
+
+
 class Chunk:
-    """The different words and grams of some texts, and how often they are in training texts."""
+    """The different words and grams of some texts, and how often they are in training texts.
+
+    New parts are merged into one once they outgrow it, so a chunk holds its different words and grams about twice at most.
+    """
 
     def __init__(self) -> None:
-        self.size, self.ends, self.words = 0, 0, Counter()
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.ends = 0, 0
+        self.words: list[pa.Table] = []
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, texts: list[bytes], learned: list[bool]) -> None:
-        for text, known in zip(texts, learned, strict=True):
-            found = text.split()
-            self.words.update(found if known else dict.fromkeys(found, 0))
-        self.ends += sum(learned)
+        words, sizes = split_words(texts)
+        flags = np.array(learned, bool)
+        self.words.append(_counted(pa.table({"word": words, "n": np.repeat(flags, sizes).astype(np.int64)})))
+        if _outgrown([t.num_rows for t in self.words]):
+            self.merged_words()
+        self.ends += int(flags.sum())
         self.size += sum(map(len, texts))
-        flags = np.repeat(np.array(learned, bool), [len(t) + 1 for t in texts])
+        each = np.repeat(flags, [len(t) + 1 for t in texts])
         for done, grams in gram_blocks(texts):
-            keys = grams << 1 | flags[done : done + len(grams)]
+            keys = grams << 1 | each[done : done + len(grams)]
             keys.sort()
             if len(keys):
-                self.parts.append(_summed(keys >> 1, keys & 1))
-        if len(self.parts) > _PARTS:
-            self.merge()
+                self.grams.append(_summed(keys >> 1, keys & 1))
+            if _outgrown([len(g) for g, _ in self.grams]):
+                self.merged_grams()
+
+    @property
+    def full(self) -> bool:
+        return self.size >= CHUNK or sum(len(g) for g, _ in self.grams) >= DIFFERENT
+
+    def merged_words(self) -> pa.Table:
+        """The different words and their counts."""
+        if len(self.words) > 1:
+            self.words = [_counted(pa.concat_tables(self.words))]
+        return self.words[0]
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+    def merged_grams(self) -> tuple[np.ndarray, np.ndarray]:
         """The different grams, in order, and their counts."""
-        if len(self.parts) != 1:
-            grams = np.concatenate([np.zeros(0, np.int64), *(g for g, _ in self.parts)])
+        if len(self.grams) > 1:
+            grams, n = (np.concatenate(x) for x in zip(*self.grams, strict=True))
+            self.grams = []
             order = np.argsort(grams, kind="stable")  # merges the parts, which are in order
-            n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in self.parts)])
-            self.parts = [_summed(grams[order], n[order]) if len(grams) else (grams, n)]
-        return self.parts[0]
+            self.grams = [_summed(grams[order], n[order])]
+        return self.grams[0]
 
     def rows(self, chunk: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """Its words, in order and numbered, and its grams."""
-        words = sorted(self.words)
-        counts = [self.words[w] for w in words]
-        yield _batch(len(words) + 1, kind, chunk=chunk, place=np.arange(len(words) + 1), word=[*(w.decode() for w in words), END], n=[*counts, self.ends])
-        grams, n = self.merge()
-        yield _batch(len(grams), kind, chunk=chunk, gram=grams, n=n)
+        """Its words, in order and numbered, and its grams, in batches."""
+        words = self.merged_words().sort_by("word")
+        self.words = []
+        names = pa.concat_arrays([*(c.cast(pa.string()) for c in words["word"].chunks), pa.array([END])])
+        counts, places = np.append(words["n"].to_numpy(), self.ends), np.arange(len(names))
+        for a in range(0, len(names), SENT):
+            at = slice(a, a + SENT)
+            yield _batch(len(places[at]), kind, chunk=chunk, place=places[at], word=names.slice(a, SENT), n=counts[at])
+        grams, n = self.merged_grams()
+        self.grams = []
+        for a in range(0, len(grams), SENT):
+            yield _batch(len(grams[a : a + SENT]), kind, chunk=chunk, gram=grams[a : a + SENT], n=n[a : a + SENT])
+
+
+def _counted(words: pa.Table) -> pa.Table:
+    """Each different word once, with the sum of its n."""
+    return words.group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
+
+
+def _outgrown(sizes: list[int]) -> bool:
+    """The parts after the first are more than it, and worth a merge."""
+    return sum(sizes[1:]) > max(sizes[0] if sizes else 0, LOOSE)
 
 
 _FIELDS = {"chunk": pa.int64(), "place": pa.int32(), "word": pa.string(), "gram": pa.int64(), "n": pa.int64(), "text": pa.binary()}
@@ -150,10 +191,10 @@ def gather(rows: DataFrame) -> DataFrame:
                 chunk.add(low, known[done : done + len(low)])
                 done += len(low)
                 yield _batch(len(low), kind, chunk=number, doc_id=keys, text=[pack.compress(t) for t in low])
-                if chunk.size >= CHUNK:
+                if chunk.full:
                     yield from chunk.rows(number, kind)
                     chunk, number = Chunk(), number + 1
-        if chunk.parts:
+        if chunk.grams:
             yield from chunk.rows(number, kind)
 
     name = rows.schema["doc_id"].dataType.simpleString()
@@ -190,18 +231,20 @@ class Costs:
 
 def word_sums(texts: list[bytes], counts: np.ndarray) -> pd.DataFrame:
     """n_tokens, n_known and log_sum of each text of a chunk, from the counts of its words in order, the end last."""
-    met: dict[bytes, int] = defaultdict(count().__next__)  # a word's number in the order first met
-    each = []
-    for t in texts:
-        tokens = t.split()
-        each.append(np.fromiter(map(met.__getitem__, tokens), np.int32, len(tokens)))
-    number = np.fromiter(map(met.__getitem__, sorted(met)), np.int64, len(met))
-    of_word = np.empty(len(met))
-    of_word[number] = counts[:-1]
-    logs, known = np.log10(of_word + 0.1), of_word > 0
-    end, end_known = math.log10(counts[-1] + 0.1), int(counts[-1] > 0)
-    rows = [(len(e) + 1, int(known[e].sum()) + end_known, float(logs[e].sum()) + end) for e in each]
-    return pd.DataFrame(rows, columns=["n_tokens", "n_known", "log_sum"])
+    words, sizes = split_words(texts)
+    coded = words.dictionary_encode()
+    of_word = np.empty(len(coded.dictionary))  # by the words as they are met
+    of_word[pc.array_sort_indices(coded.dictionary).to_numpy()] = counts[:-1]
+    numbers = coded.indices.to_numpy()
+    ends = np.cumsum(sizes)
+    logs, known = np.log10(of_word + 0.1)[numbers], (of_word > 0)[numbers]
+    out = pd.DataFrame({"n_tokens": sizes + 1, "n_known": int(counts[-1] > 0), "log_sum": math.log10(counts[-1] + 0.1)})
+    some = sizes > 0
+    starts = (ends - sizes)[some]
+    if len(starts):
+        out.loc[some, "n_known"] += np.add.reduceat(known, starts, dtype=np.int64)
+        out.loc[some, "log_sum"] += np.add.reduceat(logs, starts)
+    return out
 
 
 def gram_sums(texts: list[bytes], costs: Costs) -> np.ndarray:

@@ -80,9 +80,11 @@ def test_grams_and_costs_in_blocks():
     chunk = ppm.Chunk()
     chunk.add(texts[:3], [True, False, True])
     chunk.add(texts[3:], [False, True])
-    grams, n = chunk.merge()
+    grams, n = chunk.merged_grams()
     known = Counter(g for i, t in enumerate(texts) if i in (0, 2, 4) for g in next(ppm.gram_blocks([t]))[1].tolist())
     assert dict(zip(grams.tolist(), n.tolist(), strict=True)) == {g: known[g] for g in sorted(set(whole.tolist()))}
+    words = dict(zip(*(c.to_pylist() for c in chunk.merged_words().columns), strict=True))
+    assert words == {"abcabc": 0, "x": 1, "hello": 2, "world,": 1} and chunk.ends == 3
     many = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 5000))
     costs = ppm.Costs(many, np.arange(len(many), dtype=float))
     assert costs.of(many[::-1]).tolist() == list(range(len(many)))[::-1]
@@ -90,6 +92,26 @@ def test_grams_and_costs_in_blocks():
         costs.of(np.array([(1 << 48) + 5]))
 
 
+def test_words_of_a_chunk():
+    """A chunk that merges its parts again and again counts as one that does not, and words keep to their texts."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "ü", "b\x1cc", "\u3000", "long" * 9], k=rng.randrange(9))).encode() + b"\t" * rng.randrange(2) for _ in range(200)]
+    chunk, plain = ppm.Chunk(), Counter()
+    for k in range(0, len(texts), 7):
+        part = texts[k : k + 7]
+        chunk.add(part, [i % 2 == 0 for i in range(len(part))])
+        chunk.merged_words(), chunk.merged_grams()
+        plain.update(w for i, t in enumerate(part) if i % 2 == 0 for w in t.split())
+    found = dict(zip(*(c.to_pylist() for c in chunk.merged_words().columns), strict=True))
+    assert {w.encode(): n for w, n in found.items() if n} == plain
+    order = sorted(w.encode() for w in found)
+    sums = ppm.word_sums(texts, np.array([*(plain[w] for w in order), 5]))
+    for i, t in enumerate(texts):
+        own = [plain[w] for w in t.split()] + [5]
+        assert (sums["n_tokens"][i], sums["n_known"][i]) == (len(own), sum(c > 0 for c in own))
+        assert sums["log_sum"][i] == pytest.approx(sum(math.log10(c + 0.1) for c in own))
+
+
 def test_ppm_odd_rows(spark, odd_docs, no_docs):
     got = ppm.score(odd_docs, F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1)
     assert got.count() == odd_docs.count() and got.where("score is null or score >= 0 or base_score is null").count() == 0
