@@ -4,12 +4,15 @@ Words and pairs of adjacent words are hashed into buckets. The bucket shares of
 generative models; the log of their ratio, summed over a text, is its importance weight. Adding Gumbel noise to the log
 weights and keeping the top k draws k texts without replacement in proportion to their weights.
 
+The target model is fitted to at most about TARGETS documents, chosen by a hash of their ids, so that their ids can be broadcast and no text
+is shuffled; the raw model counts every text. Both are counted in one pass, weights are given in a second one.
+
 The noise comes from a hash of the id and a seed, so a draw can be repeated. The threshold for the top k is found by
 counting keys into ever finer bins, in a few passes over a narrow table, not by sorting all rows in one place.
 
 Defined results: a null text, or one without a word, weighs 1 (log weight 0); rows without an id take part, all with the
-same noise; ties at the threshold are kept in the order of the id's hash; other columns are ignored; an empty table draws
-nothing. A target without texts makes all weights 1.
+same noise, as do rows that repeat an id; where keys are equal at the threshold, rows written first are kept, so that exactly k are. Other
+columns are ignored; an empty table draws nothing. A target without texts makes all weights 1.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import materialize, small_batches, text_chunks
 
 BUCKETS = 10_000
 SEED = 1
+#: About how many target documents the target model is fitted to at most.
+TARGETS = 50_000
 #: Added to every bucket's count.
 SMOOTHING = 1.0
 _BINS = 4096
@@ -40,22 +45,29 @@ def hashed(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate([one, pairs ^ (pairs >> 29)]) % buckets
 
 
-def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket is met in texts (text). Tasks count on their own; `buckets` rows reach the driver."""
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket is met in the texts of docs (text, target) that are targets, and in all.
+
+    Tasks count on their own; `buckets` rows reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        target, raw = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(hashed(text, buckets), minlength=buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
-
-    found = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(buckets, np.int64)
+            for known, text in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
+                each = np.bincount(hashed(text.as_py(), buckets), minlength=buckets)
+                raw += each
+                if known:
+                    target += each
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, target[at], raw[at])], ["bucket", "target", "raw"])
+
+    each = docs.select("text", "target").mapInArrow(run, "bucket long, target long, raw long")
+    found = each.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()
+    target, raw = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     for r in found:
-        out[r["bucket"]] = r["n"]
-    return out
+        target[r["bucket"]], raw[r["bucket"]] = r["target"], r["raw"]
+    return target, raw
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -106,32 +118,30 @@ def kth_largest(values: DataFrame, k: int) -> float | None:
 
 
 def resample(weights: DataFrame, k: int, seed: int = SEED) -> DataFrame:
-    """weights (doc_id, log_weight, ...) with gumbel_key and kept: the top k of log weight plus Gumbel noise.
+    """weights (doc_id, log_weight, row, ...) with gumbel_key and kept: the top k of log weight plus Gumbel noise.
 
-    weights should be a written table: it is read in a few passes.
+    weights should be a written table: it is read in a few passes. row: numbers that differ, to settle equal keys; dropped.
     """
     share = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = weights.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(share)))
-    least = kth_largest(keyed.select(F.col("gumbel_key").alias("key")), k)
+    key, place = F.col("gumbel_key"), -F.col("row").cast("double")
+    least = kth_largest(keyed.select(key.alias("key")), k)
     if least is None:
-        return keyed.withColumn("kept", F.lit(k > 0))
-    above = keyed.where(F.col("gumbel_key") > least).count()
-    # equal keys are rare: the same id twice
-    ties = keyed.where(F.col("gumbel_key") == least)
-    if ties.count() <= k - above:
-        return keyed.withColumn("kept", F.col("gumbel_key") >= least)
-    first = ties.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(k - above)
-    ids = F.broadcast(first.distinct().withColumn("_tie", F.lit(True)))
-    return keyed.join(ids, "doc_id", "left").withColumn(
-        "kept", (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & F.coalesce("_tie", F.lit(False)))).drop("_tie")
-
-
-def select(docs: DataFrame, target: DataFrame, share: float, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, n_features, log_weight, gumbel_key, kept): `share` of the rows of docs drawn towards target's texts.
-
-    docs: (doc_id, text). target: (text).
+        return keyed.withColumn("kept", F.lit(k > 0)).drop("row")
+    above = keyed.where(key > least).count()
+    last = kth_largest(keyed.where(key == least).select(place.alias("key")), k - above)
+    return keyed.withColumn("kept", (key > least) | ((key == least) & (place >= last))).drop("row")
+
+
+def select(docs: DataFrame, good: DataFrame, share: float, seed: int = SEED, buckets: int = BUCKETS, targets: int = TARGETS) -> DataFrame:
+    """(doc_id, n_features, log_weight, gumbel_key, kept): `share` of the rows of docs drawn towards the good ones.
+
+    docs: (doc_id, text). good: (doc_id) of the target documents, of which about `targets` are learned from at most.
     """
     small_batches(docs.sparkSession)
-    ratio = log_ratio(bucket_counts(target, buckets), bucket_counts(docs, buckets))
-    weights = materialize(weigh(docs, ratio), "weights")
+    docs, good = docs.select("doc_id", "text"), good.select("doc_id").where("doc_id is not null").distinct()
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    chosen = good.where(chance < targets / max(1, good.count())).withColumn("target", F.lit(True))
+    ratio = log_ratio(*bucket_counts(docs.join(F.broadcast(chosen), "doc_id", "left"), buckets))
+    weights = materialize(weigh(docs, ratio).withColumn("row", F.monotonically_increasing_id()), "weights")
     return resample(weights, round(share * weights.count()), seed)

@@ -61,8 +61,7 @@ def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = good.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 0.0
-    target = docs.join(good.where("quality = 1"), "doc_id", "left_semi")
-    return importance.select(docs, target, share)
+    return importance.select(docs, good.where("quality = 1"), share)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

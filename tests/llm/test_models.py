@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -216,6 +217,44 @@ def test_resampling_draws_towards_the_target(spark, odd_docs, no_docs):
     assert importance.select(docs, docs.limit(0), 1.0).where("log_weight = 0 and kept").count() == 400
 
 
+def test_resampling_equals_the_plain_way(spark):
+    """Counts, weights, keys and the draw, worked out text by text."""
+    rng = random.Random(10)
+    texts = {i: " ".join(rng.choices(["Alpha", "beta", "gamma", "delta", "ÉTÉ"], k=rng.randrange(12))) for i in range(60)}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7]), (None, "beta"), (None, None)], "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in (*range(0, 60, 4), None, 0, 999)], "doc_id long")
+    rows = importance.select(docs, good, 0.4, buckets=50).collect()
+
+    def features(text):
+        words = [zlib.crc32(bytes(c + 32 if 65 <= c <= 90 else c for c in w)) for w in (text or "").encode().split()]
+        pairs = [(a * 0x9E3779B1 + b * 0x85EBCA77 + 1) & 0x7FFFFFFFFFFFFFFF for a, b in zip(words, words[1:], strict=False)]
+        return [x % 50 for x in [*words, *(p ^ (p >> 29) for p in pairs)]]
+
+    all_texts = [r["text"] for r in docs.collect()]
+    raw, target = Counter(b for t in all_texts for b in features(t)), Counter(b for i in range(0, 60, 4) for b in features(texts[i]))
+    n_raw, n_target = sum(raw.values()) + 50, sum(target.values()) + 50
+
+    def weight(text):
+        return sum(math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in features(text))
+
+    assert len(rows) == 63 and sum(r["kept"] for r in rows) == round(0.4 * 63)
+    noise = defaultdict(set)
+    for r in rows:
+        if r["doc_id"] is not None:
+            assert r["n_features"] == len(features(texts[r["doc_id"]])) and r["log_weight"] == pytest.approx(weight(texts[r["doc_id"]]), abs=1e-9)
+        noise[r["doc_id"]].add(round(r["gumbel_key"] - r["log_weight"], 9))
+    assert all(len(x) == 1 for x in noise.values()) and len(set.union(*noise.values())) == len(noise)
+    assert min(r["gumbel_key"] for r in rows if r["kept"]) >= max(r["gumbel_key"] for r in rows if not r["kept"])
+
+
+@pytest.mark.parametrize("k", [0, 1, 3, 6])
+def test_resampling_draws_as_many_as_asked_for(spark, k):
+    """Rows that repeat an id and rows without one have equal keys."""
+    for key in (5, None):
+        rows = spark.createDataFrame([(key, 0.5, i) for i in range(6)], "doc_id long, log_weight double, row long")
+        assert importance.resample(rows, k).where("kept").count() == k
+
+
 @pytest.mark.parametrize("k", [1, 3, 50, 299, 300])
 def test_kth_largest(spark, k):
     rng = random.Random(9)
