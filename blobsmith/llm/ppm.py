@@ -37,6 +37,8 @@ from .common import materialize, small_batches, text_chunks
 ORDER = 5
 #: Text of a chunk, in bytes, and its different grams: a chunk ends once it has so many. A longer text makes a chunk of its own.
 CHUNK, DIFFERENT = 32_000_000, 2_000_000
+#: Bytes of text unpacked at a time.
+PIECE = 2_000_000
 #: Never part of UTF-8: stands for the end of a text and, ORDER times, for what is before it.
 EDGE = b"\xff"
 SYMBOLS = 256
@@ -99,14 +101,14 @@ class Chunk:
 
     def __init__(self) -> None:
         self.size, self.ends = 0, 0
-        self.words: list[pa.Table] = []
+        self.words: list[tuple[pa.Array, np.ndarray]] = []
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, texts: list[bytes], learned: list[bool]) -> None:
         words, sizes = split_words(texts)
         flags = np.array(learned, bool)
-        self.words.append(_counted(pa.table({"word": words, "n": np.repeat(flags, sizes).astype(np.int64)})))
-        if _outgrown([t.num_rows for t in self.words]):
+        self.words.append(_counted(words, np.repeat(flags, sizes)))
+        if _outgrown([len(n) for _, n in self.words]):
             self.merged_words()
         self.ends += int(flags.sum())
         self.size += sum(map(len, texts))
@@ -123,10 +125,11 @@ class Chunk:
     def full(self) -> bool:
         return self.size >= CHUNK or sum(len(g) for g, _ in self.grams) >= DIFFERENT
 
-    def merged_words(self) -> pa.Table:
+    def merged_words(self) -> tuple[pa.Array, np.ndarray]:
         """The different words and their counts."""
         if len(self.words) > 1:
-            self.words = [_counted(pa.concat_tables(self.words))]
+            words, n = zip(*self.words, strict=True)
+            self.words = [_counted(pa.concat_arrays(words), np.concatenate(n))]
         return self.words[0]
 
     def merged_grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +143,12 @@ class Chunk:
 
     def rows(self, chunk: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """Its words, in order and numbered, and its grams, in batches."""
-        words = self.merged_words().sort_by("word")
+        words, n = self.merged_words()
+        order = pc.array_sort_indices(words)
+        names = pa.concat_arrays([words.take(order).cast(pa.string()), pa.array([END])])
+        counts, places = np.append(n[order.to_numpy()], self.ends), np.arange(len(names))
+        del words
         self.words = []
-        names = pa.concat_arrays([*(c.cast(pa.string()) for c in words["word"].chunks), pa.array([END])])
-        counts, places = np.append(words["n"].to_numpy(), self.ends), np.arange(len(names))
         for a in range(0, len(names), SENT):
             at = slice(a, a + SENT)
             yield _batch(len(places[at]), kind, chunk=chunk, place=places[at], word=names.slice(a, SENT), n=counts[at])
@@ -153,9 +158,10 @@ class Chunk:
             yield _batch(len(grams[a : a + SENT]), kind, chunk=chunk, gram=grams[a : a + SENT], n=n[a : a + SENT])
 
 
-def _counted(words: pa.Table) -> pa.Table:
+def _counted(words: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Each different word once, with the sum of its n."""
-    return words.group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
+    coded = words.dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), n, len(coded.dictionary)).astype(np.int64)
 
 
 def _outgrown(sizes: list[int]) -> bool:
@@ -229,22 +235,33 @@ class Costs:
         return self.values[slots]
 
 
-def word_sums(texts: list[bytes], counts: np.ndarray) -> pd.DataFrame:
-    """n_tokens, n_known and log_sum of each text of a chunk, from the counts of its words in order, the end last."""
-    words, sizes = split_words(texts)
-    coded = words.dictionary_encode()
-    of_word = np.empty(len(coded.dictionary))  # by the words as they are met
-    of_word[pc.array_sort_indices(coded.dictionary).to_numpy()] = counts[:-1]
-    numbers = coded.indices.to_numpy()
-    ends = np.cumsum(sizes)
-    logs, known = np.log10(of_word + 0.1)[numbers], (of_word > 0)[numbers]
-    out = pd.DataFrame({"n_tokens": sizes + 1, "n_known": int(counts[-1] > 0), "log_sum": math.log10(counts[-1] + 0.1)})
-    some = sizes > 0
-    starts = (ends - sizes)[some]
-    if len(starts):
-        out.loc[some, "n_known"] += np.add.reduceat(known, starts, dtype=np.int64)
-        out.loc[some, "log_sum"] += np.add.reduceat(logs, starts)
-    return out
+class Counts:
+    """The counts of words, which are in order."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray):
+        self.words, self.logs, self.known = words, np.log10(counts + 0.1), counts > 0
+
+    @classmethod
+    def of(cls, texts: Iterator[list[bytes]], counts: np.ndarray) -> Counts:
+        """Of the different words of texts, whose counts come in the words' order, the end last."""
+        words = pa.array([], pa.large_string())
+        for part in texts:
+            words = pa.concat_arrays([words, split_words(part)[0]]).unique()
+        words = words.take(pc.array_sort_indices(words))
+        return cls(pa.concat_arrays([words, pa.array([END], pa.large_string())]), counts)
+
+    def sums(self, texts: list[bytes]) -> pd.DataFrame:
+        """n_tokens, n_known and log_sum of each text."""
+        words, sizes = split_words(texts)
+        coded = words.dictionary_encode()
+        places = pc.index_in(coded.dictionary, value_set=self.words).to_numpy()[coded.indices.to_numpy()]
+        out = pd.DataFrame({"n_tokens": sizes + 1, "n_known": int(self.known[-1]), "log_sum": self.logs[-1]})
+        some = sizes > 0
+        starts = (np.cumsum(sizes) - sizes)[some]
+        if len(starts):
+            out.loc[some, "n_known"] += np.add.reduceat(self.known[places], starts, dtype=np.int64)
+            out.loc[some, "log_sum"] += np.add.reduceat(self.logs[places], starts)
+        return out
 
 
 def gram_sums(texts: list[bytes], costs: Costs) -> np.ndarray:
@@ -258,18 +275,32 @@ def gram_sums(texts: list[bytes], costs: Costs) -> np.ndarray:
 
 
 def score_chunk(docs: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a chunk's texts.
+    """The sums of a chunk's texts, which are unpacked piece by piece.
 
     facts (key, value): the count of each word, under -1 less its place, and the log10 probability of each gram.
     """
-    unpack = zstandard.ZstdDecompressor()
-    texts = [unpack.decompress(t) for t in docs["text"]]
     keys, values = facts["key"].to_numpy(), facts["value"].to_numpy()
     is_word = keys < 0
     counts = np.full(int(is_word.sum()), np.nan)
     counts[-1 - keys[is_word]] = values[is_word]
-    sums = word_sums(texts, counts)
-    return sums.assign(doc_id=docs["doc_id"].to_numpy(), score=gram_sums(texts, Costs(keys[~is_word], values[~is_word])))
+    costs = Costs(keys[~is_word], values[~is_word])
+    del keys, values, is_word
+    packed = docs["text"].to_numpy()
+
+    def pieces() -> Iterator[list[bytes]]:
+        unpack, piece, size = zstandard.ZstdDecompressor(), [], 0
+        for t in packed:
+            piece.append(unpack.decompress(t))
+            size += len(piece[-1])
+            if size >= PIECE:
+                yield piece
+                piece, size = [], 0
+        if piece:
+            yield piece
+
+    known = Counts.of(pieces(), counts)
+    sums = pd.concat([known.sums(p).assign(score=gram_sums(p, costs)) for p in pieces()], ignore_index=True)
+    return sums.assign(doc_id=docs["doc_id"].to_numpy())
 
 
 def trie(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:

@@ -84,7 +84,7 @@ def test_grams_and_costs_in_blocks():
     grams, n = chunk.merged_grams()
     known = Counter(g for i, t in enumerate(texts) if i in (0, 2, 4) for g in next(ppm.gram_blocks([t]))[1].tolist())
     assert dict(zip(grams.tolist(), n.tolist(), strict=True)) == {g: known[g] for g in sorted(set(whole.tolist()))}
-    words = dict(zip(*(c.to_pylist() for c in chunk.merged_words().columns), strict=True))
+    words = dict(zip(*(c.tolist() for c in chunk.merged_words()), strict=True))
     assert words == {"abcabc": 0, "x": 1, "hello": 2, "world,": 1} and chunk.ends == 3
     many = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 5000))
     costs = ppm.Costs(many, np.arange(len(many), dtype=float))
@@ -103,10 +103,11 @@ def test_words_of_a_chunk():
         chunk.add(part, [i % 2 == 0 for i in range(len(part))])
         chunk.merged_words(), chunk.merged_grams()
         plain.update(w for i, t in enumerate(part) if i % 2 == 0 for w in t.split())
-    found = dict(zip(*(c.to_pylist() for c in chunk.merged_words().columns), strict=True))
+    found = dict(zip(*(c.tolist() for c in chunk.merged_words()), strict=True))
     assert {w.encode(): n for w, n in found.items() if n} == plain
     order = sorted(w.encode() for w in found)
-    sums = ppm.word_sums(texts, np.array([*(plain[w] for w in order), 5]))
+    parts = [texts[:50], texts[50:]]
+    sums = ppm.Counts.of(iter(parts), np.array([*(plain[w] for w in order), 5])).sums(texts)
     for i, t in enumerate(texts):
         own = [plain[w] for w in t.split()] + [5]
         assert (sums["n_tokens"][i], sums["n_known"][i]) == (len(own), sum(c > 0 for c in own))
