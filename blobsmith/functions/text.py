@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 DEVICE_NAMES = ("CON", "PRN", "AUX", "NUL")
 #: Characters no file name may hold, beside those below 32.
 BAD_CHARS = '"<>|:*?\\/'
+#: What counts as blank at the ends of a name.
+BLANK = r"[\t-\r\x85\p{Z}]+"
 
 
 def text_filter(name: Column, text: str | None) -> Column:
@@ -44,17 +46,28 @@ def is_reserved_name(name: Column) -> Column:
     return F.coalesce(F.regexp_replace(stem, r"[ .]+$", "").rlike(f"(?i)^({'|'.join(DEVICE_NAMES)}|(COM|LPT)[1-9])$"), F.lit(False))
 
 
-def name_status(name: Column, longest: int = 15, ascii_only: bool = True, banned: tuple[str, ...] = ()) -> Column:
-    """The first rule a file name breaks, or Ok."""
-    plain = F.trim(name)
-    banned_here = F.lit(False)
+def trimmed(name: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(name, f"^{BLANK}|{BLANK}$", "")
+
+
+def name_status(
+    name: Column, longest: int = 15, ascii_only: bool = True, banned: tuple[str, ...] = (), shortest: int = 1, banned_chars: str = "",
+) -> Column:
+    """The first rule a file name, trimmed, breaks, or Ok."""
+    plain = trimmed(name)
+    banned_here, has_char = F.lit(False), F.lit(False)
     for word in banned:
         banned_here = banned_here | F.contains(F.upper(plain), F.lit(word.upper()))
+    for char in banned_chars:
+        has_char = has_char | F.contains(plain, F.lit(char))
     return (
         F.when(name.isNull() | (plain == ""), "NullOrWhiteSpace")
         .when(plain.isin(".", ".."), "ContainsInvalidString")
         .when(plain.rlike(r"[\x00-\x1f" + re.escape(BAD_CHARS) + "]"), "ContainsInvalidFileSystemChar")
+        .when(has_char, "ContainsInvalidChar")
         .when(is_reserved_name(plain), "WindowsReservedName")
+        .when(F.char_length(plain) < shortest, "TooShort")
         .when(F.char_length(plain) > longest, "TooLong")
         .when(banned_here, "ContainsInvalidString")
         .when(F.lit(ascii_only) & plain.rlike(r"[^\x20-\x7e]"), "ContainsNonAscii")
@@ -62,6 +75,16 @@ def name_status(name: Column, longest: int = 15, ascii_only: bool = True, banned
     )
 
 
+def group_name(text: Column) -> Column:
+    """What a group name may hold: letters, digits and underscores, in lower case."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9_]", "")
+
+
+def key_name(text: Column) -> Column:
+    """What a key may hold: beside these / : and blanks."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9/_: ]", "")
+
+
 def sanitize_name(name: Column, longest: int = 15) -> Column:
     """A name of printable ASCII that the file system takes, the extension kept when it is cut.
 

@@ -27,6 +27,13 @@ def visible(entries: DataFrame, *, dead: Column | None = None, kind: tuple[Colum
     return entries.where(text_filter(name, text)) if name is not None else entries
 
 
+def looked_for(entries: DataFrame, name: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The first entry, by key, of a name in the one-row table `wanted`, without case; none if the name is not there."""
+    keys = wanted.select(F.upper(name).alias("_key")).limit(1)
+    found = entries.withColumn("_key", F.upper(name)).join(F.broadcast(keys), "_key", "left_semi").drop("_key")  # one row
+    return found.orderBy(key).limit(1)
+
+
 def ordered(entries: DataFrame, by: Column, *, pinned: Column | None = None, key: Column, descending: bool = False) -> DataFrame:
     """Pinned rows first in either direction, then by a column, nulls as the least, ties by the key."""
     first = [pinned.desc()] if pinned is not None else []

@@ -198,20 +198,22 @@ def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.soft_deleted(part, part.where("p_partkey % 5 = 0"), "p_partkey", "flags")
 
 
-STATUS_SQL = """CASE WHEN n IS NULL OR trim(n) = '' THEN 'NullOrWhiteSpace' WHEN trim(n) IN ('.', '..') THEN 'ContainsInvalidString'
- WHEN regexp_matches(trim(n), '[\\x00-\\x1f"<>|:*?\\\\/]') THEN 'ContainsInvalidFileSystemChar'
- WHEN regexp_matches(regexp_replace(trim(n), '\\.[^.]*$', ''), '^(?i)(CON|PRN|AUX|NUL|(COM|LPT)[1-9])$') THEN 'WindowsReservedName'
- WHEN length(trim(n)) > 15 THEN 'TooLong' WHEN contains(upper(n), 'ANTI') THEN 'ContainsInvalidString'
- WHEN regexp_matches(trim(n), '[^\\x20-\\x7e]') THEN 'ContainsNonAscii' ELSE 'Ok' END"""
+TRIM_SQL = "regexp_replace({}, '^[\\x09-\\x0d\\x{{85}}\\p{{Z}}]+|[\\x09-\\x0d\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+STATUS_SQL = """CASE WHEN t IS NULL OR t = '' THEN 'NullOrWhiteSpace' WHEN t IN ('.', '..') THEN 'ContainsInvalidString'
+ WHEN regexp_matches(t, '[\\x00-\\x1f"<>|:*?\\\\/]') THEN 'ContainsInvalidFileSystemChar' WHEN contains(t, '!') THEN 'ContainsInvalidChar'
+ WHEN regexp_matches(regexp_replace(t, '\\.[^.]*$', ''), '^(?i)(CON|PRN|AUX|NUL|(COM|LPT)[1-9])$') THEN 'WindowsReservedName'
+ WHEN length(t) < 2 THEN 'TooShort' WHEN length(t) > 15 THEN 'TooLong' WHEN contains(upper(t), 'ANTI') THEN 'ContainsInvalidString'
+ WHEN regexp_matches(t, '[^\\x20-\\x7e]') THEN 'ContainsNonAscii' ELSE 'Ok' END"""
+ODD_NAMES = ["con", "Lpt1.txt", "a?b", "..", " ", "com0", "nul.a.b", "\t", " tab\t", "hey!", "\u3000x"]
 
 
-@query(f"SELECT doc_id, n AS name, {STATUS_SQL} AS status FROM (SELECT doc_id, unnest(string_split(left(text, 300), ' ')) AS n FROM documents UNION ALL SELECT 0, unnest(['con', 'Lpt1.txt', 'a?b', '..', ' ', 'com0', 'nul.a.b']))")
+@query(f"""SELECT doc_id, n AS name, {STATUS_SQL} AS status FROM (SELECT doc_id, n, {TRIM_SQL.format('n')} AS t FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS n FROM documents
+ UNION ALL SELECT 0, unnest([{', '.join(f"'{x}'" for x in ODD_NAMES)}])))""")
 def name_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule each name breaks; names are the first words of the texts and some that devices keep."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.left("text", F.lit(300)), " ")).alias("name"))
-    more = spark.createDataFrame([(0, x) for x in ("con", "Lpt1.txt", "a?b", "..", " ", "com0", "nul.a.b")], "doc_id long, name string")
-    rows = rows.unionAll(more)
-    return rows.withColumn("status", X.name_status(F.col("name"), banned=("anti",)))
+    """The first rule each name breaks; names are the words of the texts and some odd ones."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("name"))
+    more = spark.createDataFrame([(0, x) for x in ODD_NAMES], "doc_id long, name string")
+    return rows.unionAll(more).withColumn("status", X.name_status(F.col("name"), shortest=2, banned=("anti",), banned_chars="!"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND length('n' || p_partkey || repeat('x', CAST(p_partkey % 20 AS INT))) <= 15
@@ -303,31 +305,32 @@ def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.line_differences(*sides, ["pair"])
 
 
-@query("""WITH p AS (SELECT a.doc_id // 2 AS pair, hex(encode(a.text))[1:400] AS x, hex(encode(b.text))[1:400] AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0),
- d AS (SELECT pair, unnest(range(least(length(x), length(y)) // 2)) AS pos, x, y FROM p),
- e AS (SELECT pair, pos, CAST('0x' || substr(x, 2 * pos + 1, 2) AS BIGINT) AS left_byte, CAST('0x' || substr(y, 2 * pos + 1, 2) AS BIGINT) AS right_byte FROM d)
- SELECT pair, CAST(pos AS INTEGER) AS pos, left_byte, right_byte FROM e WHERE left_byte <> right_byte QUALIFY row_number() OVER (PARTITION BY pair ORDER BY pos) <= 10""")
+@query("""WITH p AS (SELECT a.doc_id // 2 AS pair, regexp_extract_all(hex(encode(a.text)), '..') AS x, regexp_extract_all(hex(encode(b.text)), '..') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0),
+ d AS (SELECT pair, list_slice(list_filter(range(least(len(x), len(y))), lambda i: x[i + 1] <> y[i + 1]), 1, 10) AS places, x, y FROM p),
+ e AS (SELECT pair, x, y, unnest(places) AS pos FROM d)
+ SELECT pair, CAST(pos AS INTEGER) AS pos, CAST('0x' || x[pos + 1] AS BIGINT) AS left_byte, CAST('0x' || y[pos + 1] AS BIGINT) AS right_byte FROM e""")
 def byte_diff_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten differing bytes of pairs of blobs, here headers of 200 bytes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(cast(text as binary), 1, 200)").alias("head"))
-    left = docs.where("doc_id % 2 = 0").select(F.floor(F.col("doc_id") / 2).alias("pair"), F.col("head").alias("a"))
-    right = docs.where("doc_id % 2 = 1").select(F.floor(F.col("doc_id") / 2).alias("pair"), F.col("head").alias("b"))
+    """The first ten differing bytes of pairs of blobs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair"), F.col("text").cast("binary").alias("data"))
+    left, right = (docs.where(F.col("doc_id") % 2 == i).select("pair", F.col("data").alias(c)) for i, c in enumerate("ab"))
     return relations.byte_differences(left.join(right, "pair"), ["pair"], "a", "b", limit=10)
 
 
-@query("""WITH h AS (SELECT doc_id, hex(encode(text))[1:128] AS x FROM documents),
- b AS (SELECT doc_id, list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT)) AS bytes FROM h)
- SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, y: list_reduce(list_prepend(xor(c, y * 16777216), [1, 2, 3, 4, 5, 6, 7, 8]),
- lambda v, k: CASE WHEN v >= 2147483648 THEN xor((v * 2) % 4294967296, 79764919) ELSE (v * 2) % 4294967296 END)), 4294967295) AS crc FROM b""")
+@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents),
+ b AS (SELECT doc_id, list_transform(regexp_extract_all(x, '..'), lambda y: CAST('0x' || y AS BIGINT)) AS bytes FROM h),
+ t AS (SELECT list(v ORDER BY k) AS crcs FROM (SELECT k, list_reduce([k * 16777216, 1, 2, 3, 4, 5, 6, 7, 8], lambda v, i: CASE WHEN v >= 2147483648 THEN xor((v * 2) % 4294967296, 79764919) ELSE v * 2 END) AS v FROM (SELECT unnest(range(256)) AS k)))
+ SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, y: xor((c * 256) % 4294967296, crcs[xor(c // 16777216, y) + 1])), 4294967295) AS crc FROM b, t""")
 def crc32_msb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", B.crc32_msb(F.expr("substring(cast(text as binary), 1, 64)")).alias("crc"))
+    """The archive checksum of each text's bytes."""
+    return table(spark, sf_dir, "documents").select("doc_id", blobs.crc32_msb_fast(F.col("text").cast("binary")).alias("crc"))
 
 
-@query("""WITH h AS (SELECT doc_id, hex(encode(text))[1:128] AS x FROM documents),
- b AS (SELECT doc_id, length(x) // 2 AS n, list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT)) AS bytes FROM h)
- SELECT doc_id, CAST((((n + coalesce(list_sum(list_transform(bytes, lambda y, i: y * (n - i + 1))), 0)) % 65521) * 65536 + (1 + coalesce(list_sum(bytes), 0)) % 65521) AS BIGINT) AS adler FROM b""")
+@query("""WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda y: CAST('0x' || y AS BIGINT)) AS bytes FROM documents),
+ n AS (SELECT doc_id, bytes, len(bytes) AS n FROM b)
+ SELECT doc_id, CAST((((n + coalesce(list_sum(list_transform(bytes, lambda y, i: y * (n - i + 1))), 0)) % 65521) * 65536 + (1 + coalesce(list_sum(bytes), 0)) % 65521) AS BIGINT) AS adler FROM n""")
 def adler32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", B.adler32(F.expr("substring(cast(text as binary), 1, 64)")).alias("adler"))
+    """Adler-32 of each text's bytes."""
+    return table(spark, sf_dir, "documents").select("doc_id", blobs.adler32_fast(F.col("text").cast("binary")).alias("adler"))
 
 
 @query("""WITH e AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'f' || (page_id // 3) || '.pak' WHEN 1 THEN 'F' || (page_id // 3 + page_id % 2) || '.PAL' ELSE 'x.txt' END AS name FROM pages),
@@ -364,9 +367,9 @@ def tokenise_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("kind", X.token_kind(F.col("token")))
 
 
-@query("""SELECT doc_id, list_transform(regexp_extract_all(left(replace(text, chr(10), ','), 200), '("(\\\\.|[^"\\\\])*"|[^,]+)'), lambda v: trim(v)) AS tokens FROM documents""")
+@query("""SELECT doc_id, list_transform(regexp_extract_all(replace(text, chr(10), ','), '("(\\\\.|[^"\\\\])*"|[^,]+)'), lambda v: trim(v)) AS tokens FROM documents""")
 def value_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.value_tokens(F.left(F.replace("text", F.lit("\n"), F.lit(",")), F.lit(200))).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.value_tokens(F.replace("text", F.lit("\n"), F.lit(","))).alias("tokens"))
 
 
 @query("""SELECT o_orderkey, '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}' AS json, o_orderpriority AS parsed FROM orders""")
@@ -383,9 +386,9 @@ def json_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("value") > 50, F.col("event_id")).alias("value"), F.col("event_type").alias("kind"))).alias("json"))
 
 
-@query("""SELECT doc_id, rtrim(regexp_replace(hex(encode(text))[1:64], '(..)', '\\1 ', 'g')) AS dump FROM documents""")
+@query("""SELECT doc_id, rtrim(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g')) AS dump FROM documents""")
 def hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", B.hex_dump(F.expr("substring(cast(text as binary), 1, 32)")).alias("dump"))
+    return table(spark, sf_dir, "documents").select("doc_id", B.hex_dump(F.col("text").cast("binary")).alias("dump"))
 
 
 LE_SQL = "(CAST('0x' || substr(h, 1, 2) AS BIGINT) + CAST('0x' || substr(h, 3, 2) AS BIGINT) * 256 + CAST('0x' || substr(h, 5, 2) AS BIGINT) * 65536 + CAST('0x' || substr(h, 7, 2) AS BIGINT) * 16777216)"
@@ -469,8 +472,7 @@ def crc_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row of a name, without case."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    wanted = part.where("p_partkey = 77").select(F.upper("p_name").alias("_key"))
-    return part.withColumn("_key", F.upper("p_name")).join(F.broadcast(wanted), "_key", "left_semi").drop("_key").orderBy("p_partkey").limit(1)
+    return listing.looked_for(part, "p_name", part.where("p_partkey = 77"), "p_partkey")
 
 
 @query("""SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS slot, source FROM documents WHERE lang IN ('fr', 'de')""")
@@ -487,14 +489,13 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("slot < 3").select("conv_id", "turn", F.octet_length("text").cast("long").alias("size"))
 
 
-@query("""SELECT doc_id, regexp_replace(lower(left(text, 100)), '[^a-z0-9_]', '', 'g') AS group_name, regexp_replace(lower(left(text, 100)), '[^a-z0-9/_: ]', '', 'g') AS key_name,
- replace(left(text, 50), '"', '\\"') AS quoted, rpad(left(source, 3), 8, '.') AS padded, regexp_replace(left(text, 80), 'the', '#', 'gi') AS replaced FROM documents""")
+@query("""SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9_]', '', 'g') AS group_name, regexp_replace(lower(text), '[^a-z0-9/_: ]', '', 'g') AS key_name,
+ replace(text, '"', '\\"') AS quoted, rpad(left(source, 3), 8, '.') AS padded, regexp_replace(text, 'the', '#', 'gi') AS replaced FROM documents""")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.lower(F.left("text", F.lit(100)))
+    text = F.col("text")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.regexp_replace(head, "[^a-z0-9_]", "").alias("group_name"), F.regexp_replace(head, "[^a-z0-9/_: ]", "").alias("key_name"),
-        X.escape_quotes(F.left("text", F.lit(50))).alias("quoted"), F.rpad(F.left("source", F.lit(3)), 8, ".").alias("padded"),
-        X.replace_ignoring_case(F.left("text", F.lit(80)), "the", "#").alias("replaced"))
+        "doc_id", X.group_name(text).alias("group_name"), X.key_name(text).alias("key_name"), X.escape_quotes(text).alias("quoted"),
+        F.rpad(F.left("source", F.lit(3)), 8, ".").alias("padded"), X.replace_ignoring_case(text, "the", "#").alias("replaced"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '<DEAD SPACE>' ELSE l_returnflag END = '<DEAD SPACE>' OR (l_linenumber & 1) <> 0 AS dead FROM lineitem""")
@@ -525,25 +526,25 @@ def rows_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("vs", lambda s: s["v"]), ",").alias("line"))
 
 
-@query("""SELECT doc_id, list_filter(range(0, length(h) // 2 - 1), lambda i: substr(h, 2 * i + 1, 4) = '7468') AS places,
- CASE WHEN length(h) >= 4 THEN coalesce(list_min(list_filter(range(40, length(h) // 2 - 1), lambda i: substr(h, 2 * i + 1, 4) = '7468')), -1) ELSE -1 END AS first_after
- FROM (SELECT doc_id, hex(encode(text))[1:400] AS h FROM documents)""")
+@query("""WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents),
+ p AS (SELECT doc_id, list_filter(range(0, len(b) - 1), lambda i: b[i + 1] = '74' AND b[i + 2] = '68') AS places FROM b)
+ SELECT doc_id, places, coalesce(list_min(list_filter(places, lambda i: i >= 40)), -1) AS first_after FROM p""")
 def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where two bytes stand in headers of 200 bytes."""
-    head = F.expr("substring(cast(text as binary), 1, 200)")
+    """Where two bytes stand."""
+    data = F.col("text").cast("binary")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", B.find_matches(head, b"th").cast("array<bigint>").alias("places"), B.index_of(head, b"th", 40).cast("long").alias("first_after"))
+        "doc_id", B.find_matches(data, b"th").cast("array<bigint>").alias("places"), B.index_of(data, b"th", 40).cast("long").alias("first_after"))
 
 
-@query("""SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(hex(encode(text))[1:32], '..')), '') AS reversed, right(hex(encode(text)), 64) AS tail,
- regexp_full_match(right(hex(encode(text)), 64), '([2-6].|7[0-9A-E]|09|0A|0D)*') AS printable, starts_with(text, 'The') AS starts,
+@query("""SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(hex(encode(text)), '..')), '') AS reversed, right(hex(encode(text)), 64) AS tail,
+ regexp_full_match(hex(encode(text)), '([2-6].|7[0-9A-E]|09|0A|0D)*') AS printable, starts_with(text, 'The') AS starts,
  left(hex(encode(text)) || repeat('00', 24), 48) AS padded FROM documents""")
 def byte_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes turned round, at the end, printable, compared and padded."""
+    """Bytes turned round, the last ones, printable, compared, and padded or cut to a size."""
     data = F.col("text").cast("binary")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.hex(B.reversed_bytes(F.expr("substring(cast(text as binary), 1, 16)"))).alias("reversed"), F.hex(B.tail(data, 32)).alias("tail"),
-        B.is_printable(B.tail(data, 32)).alias("printable"), B.starts_with(data, b"The").alias("starts"), F.hex(B.padded_or_cut(data, 24)).alias("padded"))
+        "doc_id", F.hex(B.reversed_bytes(data)).alias("reversed"), F.hex(B.tail(data, 32)).alias("tail"),
+        B.is_printable(data).alias("printable"), B.starts_with(data, b"The").alias("starts"), F.hex(B.padded_or_cut(data, 24)).alias("padded"))
 
 
 @query("""SELECT event_id, event_type AS key, regexp_replace(trim(user_id || ' '), '^$', '') AS value, user_id % 50 AS x, -(user_id % 7) AS y, event_type AS rest,
@@ -621,65 +622,3 @@ def version_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", X.version_label(F.col("c_nationkey") % 4, 32 + F.col("c_nationkey") % 2 * 4).alias("label"),
         X.local_time(F.col("c_custkey") * 86400, "America/New_York").cast("timestamp_ntz").alias("local"))
-
-
-# The queries of the same names without _whole keep to the first part of each text, as their SQL does. These take every text
-# whole and have no SQL.
-
-
-@query(None)
-def name_validate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule each word of the texts breaks as a name."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("name"))
-    return rows.withColumn("status", X.name_status(F.col("name"), banned=("anti",)))
-
-
-@query(None)
-def byte_diff_topn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten differing bytes of pairs of blobs."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair"), F.col("text").cast("binary").alias("data"))
-    left, right = (docs.where(F.col("doc_id") % 2 == i).select("pair", F.col("data").alias(c)) for i, c in enumerate("ab"))
-    return relations.byte_differences(left.join(right, "pair"), ["pair"], "a", "b", limit=10)
-
-
-@query(None)
-def crc32_msb_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", blobs.crc32_msb_fast(F.col("text").cast("binary")).alias("crc"))
-
-
-@query(None)
-def adler32_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", blobs.adler32_fast(F.col("text").cast("binary")).alias("adler"))
-
-
-@query(None)
-def value_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.value_tokens(F.replace("text", F.lit("\n"), F.lit(","))).alias("tokens"))
-
-
-@query(None)
-def hex_dump_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", B.hex_dump(F.col("text").cast("binary")).alias("dump"))
-
-
-@query(None)
-def text_scalars_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.regexp_replace(low, "[^a-z0-9_]", "").alias("group_name"), F.regexp_replace(low, "[^a-z0-9/_: ]", "").alias("key_name"),
-        X.escape_quotes(F.col("text")).alias("quoted"), X.replace_ignoring_case(F.col("text"), "the", "#").alias("replaced"))
-
-
-@query(None)
-def find_matches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where two bytes stand."""
-    data = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", B.find_matches(data, b"th").cast("array<bigint>").alias("places"), B.index_of(data, b"th", 40).cast("long").alias("first_after"))
-
-
-@query(None)
-def byte_scalars_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes turned round, and printable."""
-    data = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", F.hex(B.reversed_bytes(data)).alias("reversed"), B.is_printable(data).alias("printable"))
