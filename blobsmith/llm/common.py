@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold, so that batches of long texts stay small.
 ARROW_ROWS = 1000
+#: A key with a share of more than 1 / HOT of a table's rows is dealt to SPREAD tasks.
+HOT, SPREAD = 1000, 64
 #: Characters a worker handles at a time; a longer text makes a chunk of its own.
 CHUNK_CHARS = 2_000_000
 
@@ -56,6 +58,21 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) ->
             yield ids, texts
 
 
+def spread_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """large joined (inner or left) with small, in which a key has few rows, however many rows of large a key has.
+
+    Rows of a key with more than a share of 1 / HOT of large, of which there are HOT at most, are dealt to SPREAD tasks, and small's rows
+    of it are sent to each, by a hash of the other columns. large should be a written table, as it is read more than once.
+    """
+    keys = [on] if isinstance(on, str) else on
+    least = large.count() // HOT
+    hot = F.broadcast(large.groupBy(*keys).count().where(F.col("count") > max(least, SPREAD)).select(*keys, F.lit(SPREAD).alias("parts")))
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(c for c in large.columns if c not in keys)), F.lit(SPREAD)))
+    dealt = large.join(hot, keys, "left").withColumn("salt", salt.cast("int")).drop("parts")
+    copies = small.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [*keys, "salt"], how).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), component the smallest node.
 

@@ -38,7 +38,7 @@ ORDER = 5
 #: Text of a chunk, in bytes, and its different grams: a chunk ends once it has so many. A longer text makes a chunk of its own.
 CHUNK, DIFFERENT = 32_000_000, 2_000_000
 #: Bytes of text unpacked at a time.
-PIECE = 2_000_000
+PIECE = 6_000_000
 #: Never part of UTF-8: stands for the end of a text and, ORDER times, for what is before it.
 EDGE = b"\xff"
 SYMBOLS = 256
@@ -244,9 +244,7 @@ class Counts:
     @classmethod
     def of(cls, texts: Iterator[list[bytes]], counts: np.ndarray) -> Counts:
         """Of the different words of texts, whose counts come in the words' order, the end last."""
-        words = pa.array([], pa.large_string())
-        for part in texts:
-            words = pa.concat_arrays([words, split_words(part)[0]]).unique()
+        words = pa.concat_arrays([pa.array([], pa.large_string()), *(split_words(part)[0].unique() for part in texts)]).unique()
         words = words.take(pc.array_sort_indices(words))
         return cls(pa.concat_arrays([words, pa.array([END], pa.large_string())]), counts)
 

@@ -1,6 +1,7 @@
 """Near-duplicates, embeddings, URL filters, personal data and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -245,6 +246,101 @@ def test_context_finds_more(spark, odd_docs, no_docs):
     assert pii.redact(odd_docs).columns == odd_docs.columns and pii.redact(odd_docs).count() == odd_docs.count()
 
 
+def confident_plainly(graph, turns=pii.TURNS):
+    """Patterns, kinds and scores from plain sets."""
+    bits, edges = {}, {}
+    for p, i, k, could in graph:
+        bits[i, k] = max(bits.get((i, k), 0), could)
+        edges[p, i, k] = max(edges.get((p, i, k), 0), could)
+    rich = {p for p in {p for p, _, _ in edges} for kind in range(4) if sum(q == p and k == kind for q, _, k in edges) >= pii.SUPPORT}
+    found = {}
+
+    def share(of, kind):
+        known = total = 0.0
+        for i, k, could in of:
+            own = found.get((i, k), [float(k == j) for j in range(4)])[kind]
+            known += own
+            total += 1 - (1 - pii.UNKNOWN) * (1 - own if k < 0 and could >> kind & 1 else 0)
+        return known, total
+
+    for turn in range(turns):
+        good = {}
+        for kind in range(4):
+            a, b = share([(i, k, c) for (i, k), c in bits.items()], kind)
+            chance = a / (b or 1)
+            for p in rich:
+                known, total = share([(i, k, c) for (q, i, k), c in edges.items() if q == p], kind)
+                if known >= pii.SUPPORT and known / total >= pii.CONFIDENCE and (chance >= pii.CONFIDENCE or known / total - chance >= pii.BEYOND * math.sqrt(chance * (1 - chance) / total)):
+                    good[p, kind] = known / total
+        found = {}
+        for (p, i, k), could in edges.items():
+            for (q, kind), score in good.items():
+                if k < 0 and q == p:
+                    left = found.setdefault((i, k), [0.0] * 4)
+                    if could >> kind & 1:
+                        left[kind] = 1 - (1 - left[kind]) * max(1 - score, 1e-6)
+    return good
+
+
+def test_pattern_graph_equals_the_plain_way(spark):
+    rng = random.Random(12)
+    graph = []
+    for n in range(900):
+        kind = rng.choice([-1, 0, 1, 2, 3])
+        pattern = f"p{kind}{rng.randrange(3)}" if kind >= 0 and rng.random() < 0.97 else f"p{rng.randrange(4)}{rng.randrange(4)}"
+        graph.append((pattern, f"i{rng.randrange(250)}", kind, rng.choice([0, 1, 4, 8, 15, 15, 15]) if kind < 0 else 0))
+    rows = spark.createDataFrame(graph, "pattern string, instance string, kind int, could int")
+    got = {(r["pattern"], r["kind"]): r["score"] for r in pii.confident_patterns(rows).collect()}
+    want = confident_plainly(graph)
+    assert len(want) > 2 and got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert pii.confident_patterns(rows.limit(0)).count() == 0
+
+
+CASES = {
+    "number with blanks": ("reach me on (212) 555 0100 today", "phone", "(212) 555 0100"),
+    "groups of a number": ("reach me on 0301 234 567 today", "phone", "0301 234 567"),
+    "address with (at)": ("write to the address jo.doe(at)host.example today", "email", "jo.doe(at)host.example"),
+    "spaced [at]": ("write to the address jo [at] host.example today", "email", "jo [at] host.example"),
+    "long address": ("write to the address " + "x" * 200 + "[at]host.example today", "email", "x" * 200 + "[at]host.example"),
+    "after one word only": ("on 555-0199-22", "phone", "555-0199-22"),
+    "false card number": ("charged to card 4111 1111 1111 1112 today", "card", "4111 1111 1111 1112"),
+}
+
+
+def test_unseen_identifiers_are_found(spark):
+    """Planted cues on either side: identifiers without a known shape are found, their look-alikes elsewhere are not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for i in range(40):
+        texts.append(f"{word()} {word()} reach me on +1 (212) 555-{1000 + i} {word()}")
+        texts.append(f"on +1 (312) 555-{1000 + i}")
+        texts.append(f"{word()} write to the address {word()}@{word()}.org {word()}")
+        digits = f"41111111111{i:04}"
+        texts.append(f"charged to card {digits}{next(d for d in range(10) if pii.luhn(digits + str(d)))} {word()}")
+        texts.append(f"{word()} {word()} {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}-{i:02} {word()}")
+    cases = list(CASES.values())
+    decoys = ["it weighs about 0301 234 567 of them", "they sold 4111 1111 1111 1112 of them", "look(at)me now"]
+    docs = spark.createDataFrame(list(enumerate([*(c[0] for c in cases), *decoys, *texts])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["base"], r["spans"]) for r in pii.find(docs).select("doc_id", "base", pii.spelt(F.col("spans")).alias("spans")).collect()}
+    for i, (text, kind, instance) in enumerate(cases):
+        at = text.index(instance)
+        assert not got[i][0] and f"{kind}:{at}:{at + len(instance)}" in got[i][1].split(","), text
+    for i in range(len(cases), len(cases) + len(decoys)):
+        assert got[i][1] == ""
+    seeds = range(len(cases) + len(decoys), len(cases) + len(decoys) + len(texts))
+    assert sum(len(got[i][1].split(",")) for i in seeds if got[i][1]) == 160, "no span beyond the base among the seeds and numbers of no kind"
+
+
+def test_redact_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame(
+        [(1, "mail a.b@c.org", "k", "s", "m", 3), (1, "mail a.b@c.org", "k", "s", "m", 3), (None, None, None, None, None, None)],
+        "doc_id long, text string, _key string, _spans string, more string, row int")
+    got = pii.redact(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "mail <EMAIL>", "k", "s", "m", 3)] * 2 + [(None,) * 6], key=str)
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
     words = {"aa": [f"{x}{y}" for x in "ka ti po ru".split() for y in "se mo la".split()], "bb": [f"{x}{y}" for x in "xo wy zu".split() for y in "qe vö zi".split()]}
