@@ -43,6 +43,37 @@ def signed_le(data: Column, position: int, size: int) -> Column:
     return F.when(raw >= 1 << (8 * size - 1), raw - (1 << 8 * size)).otherwise(raw)
 
 
+def unsigned_le64(data: Column, position: int) -> Column:
+    """A little-endian unsigned number of 8 bytes, as a decimal."""
+    low, high = (unsigned_le(data, position + i, 4).cast("decimal(20,0)") for i in (0, 4))
+    return (high * F.lit(1 << 32).cast("decimal(20,0)") + low).cast("decimal(20,0)")
+
+
+def signed_le64(data: Column, position: int) -> Column:
+    """A little-endian signed number of 8 bytes."""
+    return F.shiftleft(signed_le(data, position + 4, 4), 32).bitwiseOR(unsigned_le(data, position, 4))
+
+
+def _real(sign: Column, exponent: Column, share: Column, bias: int) -> Column:
+    """A binary float from its parts; share is the mantissa over its range."""
+    one = F.when(exponent == 0, share * F.pow(F.lit(2.0), F.lit(1.0 - bias))).otherwise((1 + share) * F.pow(F.lit(2.0), exponent - bias))
+    odd = F.when(share == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(exponent == 2 * bias + 1, odd).otherwise(one) * F.when(sign == 1, -1.0).otherwise(1.0)
+
+
+def float_le(data: Column, position: int) -> Column:
+    """A little-endian 32-bit float, as a double."""
+    raw = unsigned_le(data, position, 4)
+    return _real(F.shiftright(raw, 31), F.shiftright(raw, 23).bitwiseAND(F.lit(0xFF)), raw.bitwiseAND(F.lit(0x7FFFFF)) / F.lit(float(1 << 23)), 127)
+
+
+def double_le(data: Column, position: int) -> Column:
+    """A little-endian 64-bit float."""
+    low, high = unsigned_le(data, position, 4), unsigned_le(data, position + 4, 4)
+    share = high.bitwiseAND(F.lit(0xFFFFF)) / F.lit(float(1 << 20)) + low / F.lit(float(1 << 52))
+    return _real(F.shiftright(high, 31), F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF)), share, 1023)
+
+
 def rotate_left(value: Column, by: int) -> Column:
     """A 32-bit value, in a long, rotated."""
     return F.shiftleft(value, by).bitwiseOR(F.shiftright(value, 32 - by)).bitwiseAND(F.lit(MASK))

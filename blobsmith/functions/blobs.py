@@ -41,7 +41,7 @@ def detect_type(data: Column, name: Column | None = None) -> Column:
     """The type of a blob: skipped extensions, names, then first bytes of 4, 3 and 2, then what passes as TGA or text."""
     head = F.hex(F.call_function("substring", data, F.lit(1), F.lit(4)))
     out = F.when(data.isNull() | (F.octet_length(data) < 4), "Unknown")
-    ext = F.upper(extension(name)) if name is not None else F.lit("")
+    ext = F.coalesce(F.upper(extension(name)), F.lit("")) if name is not None else F.lit("")
     if name is not None:
         out = out.when(ext.isin(SKIPPED), "Unknown").when(name.isin(*SCRIPT_NAMES), "SCR")
     for size in (8, 6, 4):
@@ -64,10 +64,21 @@ def has_magic(data: Column, kind: str) -> Column:
     out = F.lit(False)
     for k, magic, _, _ in FORMATS:
         if k == kind and magic:
-            out = out | (F.substring(F.hex(data), 1, len(magic)) == magic)
+            out = out | (F.hex(F.call_function("substring", data, F.lit(1), F.lit(len(magic) // 2))) == magic)
     return F.coalesce(out, F.lit(False))
 
 
+def unpacked(rows: DataFrame, content: str = "content", name: str | None = None) -> DataFrame:
+    """rows with kind, container, error and the content: that of the blob, or of what is packed in it where it is a BFC."""
+    named = None if name is None else F.col(name)
+    rows = rows.withColumn("container", F.when(detect_type(F.col(content), named) == "BFC", "BFC"))
+    rows = rows.withColumn("_packed", bfc_unpack(F.when(F.col("container").isNotNull(), F.col(content))))
+    rows = rows.withColumn(content, F.when(F.col("container").isNull(), F.col(content)).otherwise(F.col("_packed.content")))
+    # within the lambda the content is worked out once, not for each of the types
+    kind = F.when(F.col(content).isNotNull(), F.transform(F.array(content), lambda c: detect_type(c, named))[0])
+    return rows.withColumn("kind", kind).withColumn("error", F.col("_packed.error")).drop("_packed")
+
+
 def _each(f: Callable, *columns: pd.Series) -> Iterator[tuple]:
     for args in zip(*columns, strict=True):
         if args[0] is None:

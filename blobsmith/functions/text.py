@@ -142,6 +142,16 @@ def contains_ignoring_case(values: Column, wanted: str) -> Column:
     return F.exists(values, lambda x: F.upper(x) == wanted.upper())
 
 
+def index_exists(values: Column, index: Column) -> Column:
+    """An array has a place of that number, from 0."""
+    return F.coalesce((index >= 0) & (index < F.size(values)), F.lit(False))
+
+
+def at_index(values: Column, index: Column) -> Column:
+    """struct(found, value): the value at a place, from 0; null where there is none."""
+    return F.struct(index_exists(values, index).alias("found"), F.when(index_exists(values, index), F.get(values, index.cast("int"))).alias("value"))
+
+
 def token_kind(token: Column) -> Column:
     """What a value of a settings file is: string, comment, float, int or error."""
     return (

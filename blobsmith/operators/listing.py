@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blobsmith.functions.text import text_filter
+from blobsmith.functions.text import checksum_text, human_size, local_time, text_filter
 
 DEAD_NAME = "<DEAD SPACE>"
 
@@ -27,6 +27,21 @@ def visible(entries: DataFrame, *, dead: Column | None = None, kind: tuple[Colum
     return entries.where(text_filter(name, text)) if name is not None else entries
 
 
+def shown(entries: DataFrame, *, size_in_bytes: bool = False, epoch_times: bool = False, zone: str = "UTC") -> DataFrame:
+    """The columns of the grid from rows of ENTRY: sizes as numbers or readable, times as seconds or as local text."""
+    dead = is_dead(F.coalesce("dead_space_flags", F.lit(0)), F.col("name"))
+    time = F.col("timestamp_s") if epoch_times else F.date_format(local_time(F.col("timestamp_s"), zone), "yyyy/MM/dd hh:mm a")
+    return entries.select(
+        "id", dead.alias("dead"), "name", (F.col("data_size") if size_in_bytes else human_size(F.col("data_size"))).alias("size"), time.alias("time"),
+        "data_offset", checksum_text(F.col("crc_read"), F.col("crc_computed"), dead).alias("crc"))
+
+
+def targets(entries: DataFrame, dead: Column, selected: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """The live rows an action works on: those of selected keys, or all."""
+    rows = entries.where(~dead)
+    return rows if selected is None else rows.join(selected.select(key).distinct(), key, "left_semi").select(*entries.columns)
+
+
 def looked_for(entries: DataFrame, name: str, wanted: DataFrame, key: str) -> DataFrame:
     """The first entry, by key, of a name in the one-row table `wanted`, without case; none if the name is not there."""
     keys = wanted.select(F.upper(name).alias("_key")).limit(1)
@@ -41,8 +56,11 @@ def ordered(entries: DataFrame, by: Column, *, pinned: Column | None = None, key
     return entries.orderBy(*first, *order)
 
 
-def totals(entries: DataFrame, size: Column, dead: Column, key: Column) -> DataFrame:
-    """One row: rows, dead rows, bytes, dead bytes, and the next free id."""
+def totals(entries: DataFrame, size: Column, dead: Column, key: Column, wrap: bool = False) -> DataFrame:
+    """One row: rows, dead rows, bytes, dead bytes, and the next free id. With wrap, bytes are kept within 32 bits."""
+    if wrap:
+        rows = totals(entries, size, dead, key)
+        return rows.withColumns({c: F.pmod(c, F.lit(1 << 32)) for c in ("total_size", "dead_size")})
     return entries.agg(
         F.count("*").alias("n_rows"), F.count_if(dead).alias("n_dead"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_size"),
         F.coalesce(F.sum(F.when(dead, size)), F.lit(0)).cast("long").alias("dead_size"), F.coalesce(F.max(key) + 1, F.lit(1)).cast("long").alias("next_id"))

@@ -97,6 +97,39 @@ def line_differences(left: DataFrame, right: DataFrame, key: list[str]) -> DataF
     return a.join(b, [*key, "line_no"], "full_outer").where(~F.col("left_line").eqNullSafe(F.col("right_line")))
 
 
+def line_report(left: DataFrame, right: DataFrame, key: list[str], limit: int = 5) -> DataFrame:
+    """(key, kind, line_no, left_line, right_line) of two lists of (key, line_no, line): what a report of their differences says.
+
+    count, if the lists are of different length, with both lengths; line for each of the first `limit` differing lines; missing, where fewer differ,
+    for the first line one list lacks, with which the report ends; stopped, if the limit was reached before the longer list's end. Lists of a
+    key on one side only are not compared.
+    """
+    sizes = [side.groupBy(*key).agg(F.max("line_no").alias(f"n{i}")) for i, side in enumerate((left, right))]
+    sizes = sizes[0].join(sizes[1], key)
+    both = left.withColumnRenamed("line", "left_line").join(right.withColumnRenamed("line", "right_line"), [*key, "line_no"])
+    lines = numbered(both.where("left_line <> right_line"), key, ["line_no"]).where(F.col("slot") < limit)
+    ends = lines.groupBy(*key).agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
+    ends = sizes.join(ends, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    text, none = (lambda c: F.col(c).cast("string")), F.lit(None).cast("string")
+    return (
+        lines.select(*key, F.lit("line").alias("kind"), "line_no", "left_line", "right_line")
+        .unionAll(ends.where("n0 <> n1").select(*key, F.lit("count"), F.lit(0).cast("long"), text("n0"), text("n1")))
+        .unionAll(ends.where((F.col("n") < limit) & (F.col("n0") != F.col("n1"))).select(
+            *key, F.lit("missing"), F.least("n0", "n1") + 1, none, none))
+        .unionAll(ends.where((F.col("n") >= limit) & (F.col("last") < F.greatest("n0", "n1"))).select(*key, F.lit("stopped"), F.col("last"), none, none))
+    )
+
+
+def byte_report(pairs: DataFrame, key: list[str], left: str, right: str, limit: int = 10) -> DataFrame:
+    """(key, kind, pos, left_value, right_value): the size of both blobs where they differ in it, the first `limit` differing bytes, and stopped after so many."""
+    sizes = F.octet_length(left).cast("long"), F.octet_length(right).cast("long")
+    size = pairs.where(sizes[0] != sizes[1]).select(*key, F.lit("size").alias("kind"), F.lit(-1).alias("pos"), sizes[0].alias("left_value"), sizes[1].alias("right_value"))
+    found = byte_differences(pairs, key, left, right, limit)
+    stopped = found.groupBy(*key).agg(F.count("*").alias("n"), F.max("pos").alias("pos")).where(F.col("n") >= limit)
+    none = F.lit(None).cast("long")
+    return size.unionAll(found.select(*key, F.lit("byte"), "pos", "left_byte", "right_byte")).unionAll(stopped.select(*key, F.lit("stopped"), "pos", none, none))
+
+
 def byte_differences(pairs: DataFrame, key: list[str], left: str, right: str, limit: int | None = None) -> DataFrame:
     """(key, pos, left_byte, right_byte) where two blobs differ, up to the shorter one's end; the first `limit` of each pair."""
     from blobsmith.functions.binary import byte_at

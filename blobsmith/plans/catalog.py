@@ -17,6 +17,7 @@ from blobsmith.functions import json as J
 from blobsmith.functions import text as X
 from blobsmith.functions import validators
 from blobsmith.operators import changes, listing, relations
+from blobsmith.sources import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,29 +168,28 @@ def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.unionAll(table(spark, sf_dir, "region").select("r_name", "r_regionkey"))
 
 
-@query("""WITH inc AS (SELECT p_name AS name, CAST(p_size + 1 AS BIGINT) AS size FROM part WHERE p_partkey % 7 = 0),
+@query("""WITH inc AS (SELECT p_name AS name, CAST(p_size + 1 AS BIGINT) AS size, row_number() OVER (PARTITION BY upper(p_name) ORDER BY p_partkey DESC) AS back FROM part WHERE p_partkey % 7 = 0),
  e AS (SELECT p_partkey AS id, p_name AS name, CAST(p_size AS BIGINT) AS size FROM part),
  hit AS (SELECT DISTINCT upper(name) AS k FROM inc)
  SELECT CASE WHEN upper(name) IN (SELECT k FROM hit) THEN '<DEAD SPACE>' ELSE name END AS name, size,
   CASE WHEN upper(name) IN (SELECT k FROM hit) THEN 1 ELSE 0 END AS flags, id <= (SELECT max(id) FROM e) AS old FROM e
- UNION ALL SELECT name, size, 0, false FROM inc""")
+ UNION ALL SELECT CASE WHEN back = 1 THEN name ELSE '<DEAD SPACE>' END, size, CASE WHEN back = 1 THEN 0 ELSE 1 END, false FROM inc""")
 def overwrite_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old rows of the names that come in become dead, the new ones are appended."""
     part = table(spark, sf_dir, "part")
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"), F.lit(0).alias("dead_space_flags"))
-    new = part.where("p_partkey % 7 = 0").select(F.col("p_name").alias("name"), (F.col("p_size") + 1).cast("long").alias("size"), F.lit(0).alias("dead_space_flags"))
+    new = part.where("p_partkey % 7 = 0").select(F.col("p_name").alias("name"), (F.col("p_size") + 1).cast("long").alias("size"), F.lit(0).alias("dead_space_flags"), F.col("p_partkey").alias("seq"))
     last = part.agg(F.max("p_partkey").alias("last"))
-    return changes.overwritten(rows, new).crossJoin(F.broadcast(last)).select("name", "size", F.col("dead_space_flags").alias("flags"), (F.col("id") <= F.col("last")).alias("old"))
+    return changes.overwritten(rows, new, order="seq").crossJoin(F.broadcast(last)).select("name", "size", F.col("dead_space_flags").alias("flags"), (F.col("id") <= F.col("last")).alias("old"))
 
 
-@query("""SELECT count(*) AS n, count(DISTINCT id) AS n_ids, max(id) AS last FROM
- (SELECT p_partkey AS id FROM part UNION ALL SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER () FROM part WHERE p_partkey % 7 = 0)""")
+@query("""SELECT p_partkey AS came_from, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY p_partkey DESC) AS id FROM part WHERE p_partkey % 7 = 0""")
 def append_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appended rows get the ids after the highest, each once."""
-    part = table(spark, sf_dir, "part")
-    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(0).alias("dead_space_flags"))
-    out = changes.overwritten(rows, part.where("p_partkey % 7 = 0").select(F.col("p_name").alias("name"), F.lit(0).alias("dead_space_flags")))
-    return out.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.max("id").alias("last"))
+    """Appended rows get the ids after the highest, in the order of their list."""
+    part = table(spark, sf_dir, "part").withColumn("flags", F.lit(0))
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "flags", F.lit(None).cast("long").alias("came_from"))
+    new = part.where("p_partkey % 7 = 0").select(F.col("p_name").alias("name"), "flags", F.col("p_partkey").alias("came_from"), (-F.col("p_partkey")).alias("seq"))
+    return changes.overwritten(rows, new, flags="flags", order="seq").where("came_from is not null").select("came_from", "id")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '<DEAD SPACE>' ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS flags FROM part""")
@@ -511,11 +511,49 @@ def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.sanitize_name(name).alias("name"))
 
 
-@query("""SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 9 = 0 THEN 'new ' || s_suppkey ELSE s_name END AS content FROM supplier""")
+@query("""SELECT id, name, CASE WHEN hit THEN length(fresh) ELSE 4 END AS data_size, CASE WHEN hit THEN 'TXT' ELSE 'old' END AS file_type, CASE WHEN hit THEN 0 ELSE 77 END AS data_offset,
+ CASE WHEN hit THEN 500 ELSE 1 END AS timestamp_s, CASE WHEN hit THEN fresh ELSE 'gone' END AS content FROM
+ (SELECT s_suppkey AS id, s_name AS name, s_suppkey % 9 = 0 AS hit, 'new ' || s_suppkey AS fresh FROM supplier)""")
 def replace_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_name").alias("content"))
-    new = rows.where("s_suppkey % 9 = 0").select("s_suppkey", F.concat(F.lit("new "), F.col("s_suppkey").cast("string")).alias("content"))
-    return changes.replaced(rows, new, "s_suppkey")
+    """New bytes, and what follows from them: size, type, offset and time."""
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(4).cast("long").alias("data_size"), F.lit("old").alias("file_type"),
+        F.lit(77).cast("long").alias("data_offset"), F.lit(1).cast("long").alias("timestamp_s"), F.lit("gone").cast("binary").alias("content"))
+    new = rows.where("id % 9 = 0").select("id", F.concat(F.lit("new "), F.col("id").cast("string")).cast("binary").alias("content"), F.lit(500).alias("timestamp_s"))
+    return changes.replaced(rows, new, "id").withColumn("content", F.col("content").cast("string"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'n' || p_partkey ELSE p_name END AS name FROM part""")
+def rename_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New names lose the white space at their ends."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    new = part.where("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lit(" \t n"), F.col("p_partkey").cast("string"), F.lit(" \u3000\r\n")).alias("new_name"))
+    return changes.renamed(part, new, "p_partkey", X.name_status(F.col("new_name")))
+
+
+@query("""WITH f AS (SELECT p_partkey AS seq, 'f' || (p_partkey % 50) || '.txt' AS name, repeat('x', CAST(p_size AS INT)) AS body FROM part WHERE p_partkey <= 120),
+ n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS back FROM f)
+ SELECT 1 AS id, '<DEAD SPACE>' AS name, 1 AS dead_space_flags, 3 AS data_size, 7 AS timestamp_s UNION ALL SELECT 2, 'keep.txt', 0, 3, 7
+ UNION ALL SELECT 2 + row_number() OVER (ORDER BY seq), CASE WHEN back = 1 THEN name ELSE '<DEAD SPACE>' END, CASE WHEN back = 1 THEN 0 ELSE 1 END, length(body), seq FROM n""")
+def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files taken into a listing in their order; of one name the last stays alive."""
+    entries = spark.createDataFrame([(1, "F7.TXT", 0, 3, 7, b"old"), (2, "keep.txt", 0, 3, 7, b"old")], "id long, name string, dead_space_flags long, data_size long, timestamp_s long, content binary")
+    body = F.expr("repeat('x', p_size)").cast("binary")
+    files = table(spark, sf_dir, "part").where("p_partkey <= 120").select(
+        F.col("p_partkey").alias("seq"), F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string"), F.lit(".txt")).alias("name"),
+        F.octet_length(body).cast("long").alias("data_size"), F.col("p_partkey").alias("timestamp_s"), body.alias("content"))
+    return changes.imported(entries, files, overwrite=True, order="seq").drop("content")
+
+
+@query("""WITH f AS (SELECT p_partkey AS seq, lower(p_brand) || '.' || (p_partkey % 3) AS name, CAST(CASE WHEN p_partkey % 11 = 0 THEN 0 WHEN p_partkey % 13 = 0 THEN 3000000000 ELSE 10 END AS BIGINT) AS data_size FROM part),
+ c AS (SELECT *, CASE WHEN data_size = 0 THEN 'Empty' WHEN data_size > 2147483647 THEN 'TooLarge' WHEN length(name) > 15 THEN 'TooLong' END AS bad FROM f)
+ SELECT seq, name, data_size, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY name, bad IS NULL ORDER BY seq) > 1 THEN 'Exists' ELSE 'Ok' END) AS status FROM c""")
+def import_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of files of one name the first that can come in does."""
+    size = F.when(F.col("p_partkey") % 11 == 0, 0).when(F.col("p_partkey") % 13 == 0, F.lit(3_000_000_000)).otherwise(10).cast("long")
+    files = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("seq"), F.concat(F.lower("p_brand"), F.lit("."), (F.col("p_partkey") % 3).cast("string")).alias("name"), size.alias("data_size"))
+    return changes.import_status(files, files.where("seq < 0"), overwrite=False, order="seq")
 
 
 @query("""SELECT conv_id, string_agg('"' || replace(role, '"', '\\"') || '"', ',' ORDER BY turn) AS line FROM conversations GROUP BY conv_id""")
@@ -579,12 +617,14 @@ def slot_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.col("value_no").cast("long").alias("value_no"), "value_turn")
 
 
-@query("""SELECT p_partkey, p_name AS name, CASE WHEN p_size <= 5 THEN 'Empty' WHEN length(trim(p_name)) > 15 THEN 'TooLong'
- WHEN upper(p_name) IN (SELECT upper(p_name) FROM part WHERE p_partkey % 3 = 0) THEN 'Exists' ELSE 'Ok' END AS status FROM part""")
+@query("""WITH f AS (SELECT p_partkey, p_name AS name, CASE WHEN p_size <= 5 THEN 'Empty' WHEN length(trim(p_name)) > 15 THEN 'TooLong'
+ WHEN upper(p_name) IN (SELECT upper(p_name) FROM part WHERE p_partkey % 3 = 0) THEN 'Exists' END AS bad FROM part)
+ SELECT p_partkey, name, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY upper(name), bad IS NULL ORDER BY p_partkey) > 1 THEN 'Exists' ELSE 'Ok' END) AS status FROM f""")
 def import_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each file cannot come in."""
+    """Why each file cannot come in; a file of a name that came in before cannot."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), (F.col("p_size") - 5).cast("long").alias("data_size"))
-    return changes.import_status(part, part.where("p_partkey % 3 = 0"), overwrite=False).select("p_partkey", "name", "status")
+    small = part.where("p_partkey % 3 = 0").withColumn("data_size", F.lit(1).cast("long"))
+    return changes.import_status(part, small, overwrite=False, order="p_partkey").select("p_partkey", "name", "status")
 
 
 @query("""SELECT o_orderkey, '{' || chr(13) || chr(10) || '  "key": ' || o_orderkey || ',' || chr(13) || chr(10) || '  "text": "it''s & [' || o_orderpriority || ']"' || chr(13) || chr(10) || '}' AS shown FROM orders""")
@@ -622,3 +662,239 @@ def version_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", X.version_label(F.col("c_nationkey") % 4, 32 + F.col("c_nationkey") % 2 * 4).alias("label"),
         X.local_time(F.col("c_custkey") * 86400, "America/New_York").cast("timestamp_ntz").alias("local"))
+
+
+# Archives and what is in them: made of the tables in the query itself, so that SQL knows what must come out.
+
+
+def part_archives(spark: SparkSession, sf_dir: str, version: int = 3, record: int = 36) -> DataFrame:
+    """(archive, content): an archive for each brand of part, an entry for each part, its name as content, some dead, some empty."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("archive"), key.alias("id"), F.when(key % 10 == 0, listing.DEAD_NAME).otherwise(F.concat(F.lit("p"), key.cast("string"), F.lit(".txt"))).alias("name"),
+        F.when(key % 10 == 0, 1).otherwise(0).cast("long").alias("dead_space_flags"), (key * 100).alias("timestamp_s"),
+        F.when(key % 7 == 0, F.lit("")).otherwise(F.col("p_name")).cast("binary").alias("content"))
+    return archive.pack_archives(rows, version, record)
+
+
+ENTRY_SQL = """WITH e AS (SELECT p_brand AS archive, p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN '<DEAD SPACE>' ELSE 'p' || p_partkey || '.txt' END AS name,
+ CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END AS flags, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS body FROM part),
+ o AS (SELECT archive, CAST(row_number() OVER w - 1 AS BIGINT) AS id, name, flags, CAST(20 + sum(length(body)) OVER w - length(body) AS BIGINT) AS data_offset, length(body) AS data_size, k * 100 AS timestamp_s, body
+ FROM e WINDOW w AS (PARTITION BY archive ORDER BY k))"""
+
+
+@query(ENTRY_SQL + """ SELECT archive, id, name, flags AS dead_space_flags, data_offset, data_size, timestamp_s, true AS crc_fits, body AS content FROM o""")
+def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written and read again, entry by entry."""
+    rows = archive.entries_of(part_archives(spark, sf_dir))
+    return rows.select(
+        "archive", "id", "name", "dead_space_flags", "data_offset", "data_size", "timestamp_s", X.checksums_match(F.col("crc_read"), F.col("crc_computed")).alias("crc_fits"),
+        F.col("content").cast("string").alias("content"))
+
+
+@query(ENTRY_SQL + """ SELECT archive, 4 AS version, 'PFF4' AS mark, count(*) AS entry_count, 32 AS record_length, CAST(20 + sum(data_size) AS BIGINT) AS table_offset, '00000000' AS ip, 'BSMT' AS signature FROM o GROUP BY archive""")
+def archive_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and footers of archives of another layout."""
+    rows = archive.headers_of(part_archives(spark, sf_dir, 4, 32))
+    return rows.select(
+        "archive", "version", F.col("version_bytes").cast("string").alias("mark"), "entry_count", "record_length", "table_offset", F.hex("ip").alias("ip"), F.col("signature").cast("string").alias("signature"))
+
+
+@query(ENTRY_SQL + """ SELECT archive, CAST(row_number() OVER (PARTITION BY archive ORDER BY id) - 1 AS BIGINT) AS id, name, body AS content FROM o WHERE flags = 0 AND data_size > 0""")
+def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved again without dead and empty entries."""
+    again = archive.pack_archives(archive.entries_of(part_archives(spark, sf_dir)), 2, 32, keep_dead=False)
+    return archive.entries_of(again).select("archive", "id", "name", F.col("content").cast("string").alias("content"))
+
+
+@query(ENTRY_SQL + f""" SELECT id, dead, name, {SIZE_SQL} AS size, strftime(make_timestamp(timestamp_s * 1000000), '%Y/%m/%d %I:%M %p') AS time, data_offset, n AS bytes FROM
+ (SELECT id, flags = 1 AS dead, name, data_size AS n, timestamp_s, data_offset FROM o WHERE archive = 'Brand#11')""")
+def listing_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of an archive in its two forms."""
+    rows = archive.entries_of(part_archives(spark, sf_dir).where("archive = 'Brand#11'"))
+    plain = listing.shown(rows, size_in_bytes=True, epoch_times=True).select("id", F.col("size").alias("bytes"))
+    return listing.shown(rows).drop("crc").join(plain, "id")
+
+
+@query(ENTRY_SQL + """ SELECT archive, name FROM o WHERE flags = 0 AND data_size > 0 AND timestamp_s % 300 = 0""")
+def export_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export of chosen live rows writes, names that are there left out."""
+    rows = archive.entries_of(part_archives(spark, sf_dir))
+    chosen = listing.targets(rows.withColumn("key", F.concat("archive", F.lit("/"), "id")), listing.is_dead(F.col("dead_space_flags"), F.col("name")))
+    there = chosen.where("timestamp_s % 300 <> 0").select(F.upper("name").alias("name"))
+    planned = archive.export_plan(chosen, there)
+    return planned.join(chosen.select("archive", "name", "timestamp_s"), ["name", "timestamp_s"]).select("archive", "name")
+
+
+@query("""SELECT 'new/' || i AS archive, v AS version, r AS record_length, 0 AS entry_count FROM (VALUES (1, 3, 32), (2, 3, 36), (3, 4, 36), (4, 0, 32)) t(i, v, r)""")
+def new_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives without entries in the layouts of some games."""
+    wanted = [("new/1", "Delta Force"), ("new/2", "Comanche 4"), ("new/3", "Delta Force: Xtreme 2"), ("new/4", "F-22 Raptor")]
+    rows = archive.headers_of(archive.new_archives(spark.createDataFrame(wanted, "archive string, game string")))
+    return rows.select("archive", "version", F.col("record_length").cast("int").alias("record_length"), F.col("entry_count").cast("int").alias("entry_count"))
+
+
+@query("""SELECT n_brand AS doc, g AS group_no, section, CAST(key_no AS INT) AS key_no, key, value_no, value_type, value FROM (
+ SELECT p_brand AS n_brand, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) - 1 AS INT) AS g, 's' || p_size AS section,
+  dense_rank() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS key_no, 'k' || p_partkey AS key, v.value_no, v.value_type,
+  CASE v.value_no WHEN 0 THEN CAST(-p_partkey AS VARCHAR) WHEN 1 THEN p_name ELSE (p_partkey % 8) || '.5' END AS value
+ FROM part, (VALUES (0, 1), (1, 4), (2, 2)) v(value_no, value_type))""")
+def cbin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings packed from rows, encrypted, and read as rows again."""
+    return settings_files(spark, sf_dir).lateralJoin(blobs.CbinRows(F.col("content").outer())).drop("content", "doc_key")
+
+
+def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, content): a settings file for each brand, a section for each size, a key for each part."""
+    part = table(spark, sf_dir, "part")
+    rank = F.dense_rank().over(Window.partitionBy("p_brand").orderBy("p_size")) - 1
+    rows = relations.numbered(part.withColumn("group_no", rank), ["p_brand", "p_size"], ["p_partkey"], "key_no")
+    values = F.array(
+        F.struct(F.lit(0).alias("value_no"), F.lit(1).alias("value_type"), (-F.col("p_partkey")).cast("string").alias("value")),
+        F.struct(F.lit(1).alias("value_no"), F.lit(4).alias("value_type"), F.col("p_name").alias("value")),
+        F.struct(F.lit(2).alias("value_no"), F.lit(2).alias("value_type"), F.concat((F.col("p_partkey") % 8).cast("string"), F.lit(".5")).alias("value")))
+    rows = rows.select(
+        F.col("p_brand").alias("doc"), "group_no", F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("section"), F.col("key_no").cast("int").alias("key_no"),
+        F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key"), F.lit(0x01E177CE).cast("long").alias("doc_key"), F.explode(values).alias("v"))
+    return blobs.pack_cbin(rows.select("*", "v.*").drop("v"))
+
+
+@query("""SELECT p_brand AS doc, '// KEY:0x01E177CE' || chr(13) || chr(10) || string_agg(block, '' ORDER BY p_size) AS text FROM (
+ SELECT p_brand, p_size, chr(13) || chr(10) || '[s' || p_size || ']' || chr(13) || chr(10) || string_agg('k' || p_partkey || ' = ' || -p_partkey || ',"' || p_name || '",' || (p_partkey % 8) || '.5' || chr(13) || chr(10), '' ORDER BY p_partkey) AS block
+ FROM part GROUP BY 1, 2) GROUP BY 1""")
+def cbin_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as text, put back into bytes, and as text once more."""
+    kind, form = F.lit("CBIN"), F.lit("INI")
+    once = settings_files(spark, sf_dir).select("doc", blobs.to_text("content", kind, form)["text"].alias("text"))
+    return once.select("doc", blobs.to_text(blobs.from_text("text", kind, form)["content"], kind, form)["text"].alias("text"))
+
+
+@query("""SELECT conv_id AS doc, 0 AS group_no, 'talk' AS section, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS entry_no, role || turn AS key,
+ CASE WHEN turn % 5 = 0 THEN '' ELSE role END AS value, CAST(turn AS INT) AS x, CAST(-turn AS INT) AS y FROM conversations""")
+def rtxt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text tables packed from rows and read as rows again."""
+    rows = relations.numbered(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "entry_no").select(
+        F.col("conv_id").alias("doc"), F.lit(0).alias("group_no"), F.lit("talk").alias("section"), F.col("entry_no").cast("int").alias("entry_no"),
+        F.concat("role", F.col("turn").cast("string")).alias("key"), F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("role")).alias("value"),
+        F.col("turn").cast("int").alias("x"), (-F.col("turn")).cast("int").alias("y"))
+    return blobs.pack_rtxt(rows).lateralJoin(blobs.RtxtRows(F.col("content").outer())).drop("content")
+
+
+@query("""SELECT doc_id, left(hex(b), 8) = '53435201' AS is_script, t AS text FROM (SELECT doc_id, encode('SCR' || chr(1)) AS b, regexp_replace(text, '[^\x09\x0a\x0d\x20-\x7e]', '?', 'g') AS t FROM documents WHERE text <> '')""")
+def scr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encrypted as scripts and read again."""
+    plain = F.regexp_replace("text", r"[^\x09\x0a\x0d\x20-\x7e]", "?")
+    kind, form = F.lit("SCR"), F.lit("TXT")
+    made = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", plain.alias("text"), blobs.from_text(X.with_key_comment(plain, F.lit(0x2A5A8EAD)), kind, form)["content"].alias("b"))
+    # a script names its key in a comment on top, which is no part of the text
+    shown = X.strip_key_comment(blobs.to_text("b", kind, form)["text"])
+    return made.select("doc_id", blobs.has_magic(F.col("b"), "SCR").alias("is_script"), shown.alias("text"))
+
+
+@query("""SELECT doc_id, 'TXT' AS kind, 'BFC' AS container, text FROM documents WHERE length(text) > 20
+ AND NOT regexp_matches(substr(hex(encode(text)), 1, 8192), '^(..)*?(0[0-8]|0B|0C|0E|0F|1[0-9]|1[B-F]|81|8D|8F|90|9D)')""")
+def bfc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs packed, told as packed, and unpacked with the type of what is inside."""
+    docs = table(spark, sf_dir, "documents").where("length(text) > 20").select("doc_id", blobs.bfc_pack(F.col("text").cast("binary")).alias("packed"))
+    return blobs.unpacked(docs, "packed").where("kind = 'TXT'").select("doc_id", "kind", "container", F.col("packed").cast("string").alias("text"))
+
+
+@query("""SELECT p_partkey, 1 AS channels, 8000 + p_size AS rate, hex(encode(p_name)) AS pcm, 'fmt ,data' AS chunks FROM (SELECT * FROM part WHERE length(p_name) % 2 = 0)""")
+def wav_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sounds of 16-bit samples, as chunks and as samples."""
+    body = F.col("p_name").cast("binary")
+    def le(value, size):  # noqa: ANN001, ANN202
+        return F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(size)))
+
+    n, rate = F.octet_length(body), F.col("p_size") + 8000
+    data = F.concat(
+        F.lit(b"RIFF"), le(n + 36, 4), F.lit(b"WAVEfmt "), le(F.lit(16), 4), le(F.lit(1), 2), le(F.lit(1), 2), le(rate, 4), le(rate * 2, 4), le(F.lit(2), 2), le(F.lit(16), 2), F.lit(b"data"), le(n, 4), body)
+    files = table(spark, sf_dir, "part").where("length(p_name) % 2 = 0").select("p_partkey", data.alias("data"))
+    names = files.lateralJoin(blobs.WavChunks(F.col("data").outer())).groupBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "name"))).alias("c"))
+    sound = files.select("p_partkey", blobs.to_pcm16("data").alias("s")).join(names, "p_partkey")
+    return sound.select("p_partkey", "s.channels", "s.rate", F.hex("s.pcm").alias("pcm"), F.array_join(F.transform("c", lambda x: x["name"]), ",").alias("chunks"))
+
+
+PIXEL_SQL = "repeat(printf('%02X%02X%02XFF', p_size, p_partkey % 256, (p_size * 3) % 256), 4)"
+
+
+@query(f"""SELECT p_partkey, k AS kind, 2 AS width, 2 AS height, {PIXEL_SQL} AS bgra FROM part, (VALUES ('TGA'), ('PCX')) t(k)""")
+def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of one colour, read as pixels, written in another format, and read again."""
+    def byte(value):  # noqa: ANN001, ANN202
+        return F.unhex(F.lpad(F.hex(value.cast("long")), 2, "0"))
+
+    pixel = F.concat(byte(F.col("p_size")), byte(F.col("p_partkey") % 256), byte(F.col("p_size") * 3 % 256), F.lit(b"\xff"))
+    head = bytes([0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 0, 2, 0, 32, 8])
+    files = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(head), pixel, pixel, pixel, pixel).alias("data"))
+    first = files.select("p_partkey", blobs.detect_type(F.col("data")).alias("kind"), blobs.decode_image("data", F.lit("TGA")).alias("i"))
+    again = first.select("p_partkey", blobs.to_pcx("i.width", "i.height", "i.bgra").alias("data"))
+    again = again.select("p_partkey", blobs.detect_type(F.col("data")).alias("kind"), blobs.decode_image("data", F.lit("PCX")).alias("i"))
+    return first.unionAll(again).select("p_partkey", "kind", "i.width", "i.height", F.hex("i.bgra").alias("bgra"))
+
+
+@query("""SELECT * FROM (VALUES ('123456789', 'FC891918', '7DD1E6FD', '091E01DE'), ('Wikipedia', NULL, NULL, '11E60398')) t(data, crc, crc4, adler)""")
+def crc_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known answers of the three checksums."""
+    rows = spark.createDataFrame([("123456789", True), ("Wikipedia", False)], "data string, known boolean")
+    data, hexed = F.col("data").cast("binary"), lambda c: F.when(F.col("known"), F.format_string("%08X", c))
+    return rows.select(
+        "data", hexed(blobs.crc32_msb_fast(data)).alias("crc"), hexed(blobs.crc32_quarter(data)).alias("crc4"), F.format_string("%08X", blobs.adler32_fast(data)).alias("adler"))
+
+
+TYPE_CASES = [
+    ("BFC1....", None, "BFC"), ("3DPK....", "x.pak", "PAK"), ("RTXT....", "a.bin", "RTXT"), ("plain text", None, "TXT"), ("plain text", "x.raw", "Unknown"), ("3DI....", "x.3di", "Unknown"),
+    ("3DI....", "x.dat", "TDI"), ("abc", "x.txt", "Unknown"), ("BMS ....", None, "BMS"), ("BM but only text", "b.bmp", "TXT"), ("none", "ITEMS.DEF", "SCR"), ("none", "items.def", "TXT"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', {'NULL' if n is None else repr(n)}, '{k}')" for d, n, k in TYPE_CASES) + ") t(data, name, kind)")
+def detect_type_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of blobs with and without a name."""
+    rows = spark.createDataFrame([x[:2] for x in TYPE_CASES], "data string, name string")
+    return rows.withColumn("kind", blobs.detect_type(F.col("data").cast("binary"), F.col("name")))
+
+
+@query("""WITH l AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS side, string_split(text, chr(10)) AS lines FROM documents),
+ p AS (SELECT a.pair, a.lines AS a, b.lines AS b, len(a.lines) AS na, len(b.lines) AS nb FROM l a JOIN l b ON a.pair = b.pair AND a.side = 0 AND b.side = 1),
+ d AS (SELECT *, list_slice(list_filter(range(1, least(na, nb) + 1), lambda i: a[i] <> b[i]), 1, 5) AS places FROM p)
+ SELECT pair, 'line' AS kind, i AS line_no, a[i] AS left_line, b[i] AS right_line FROM (SELECT pair, a, b, unnest(places) AS i FROM d)
+ UNION ALL SELECT pair, 'count', 0, CAST(na AS VARCHAR), CAST(nb AS VARCHAR) FROM d WHERE na <> nb
+ UNION ALL SELECT pair, 'missing', least(na, nb) + 1, NULL, NULL FROM d WHERE na <> nb AND len(places) < 5
+ UNION ALL SELECT pair, 'stopped', places[5], NULL, NULL FROM d WHERE len(places) = 5 AND places[5] < greatest(na, nb)""")
+def line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report on the lines of pairs of texts says."""
+    rows = document_lines(table(spark, sf_dir, "documents")).withColumn("pair", F.floor(F.col("doc_id") / 2))
+    return relations.line_report(*(rows.where(F.col("doc_id") % 2 == i).select("pair", "line_no", "line") for i in (0, 1)), ["pair"])
+
+
+@query("""WITH p AS (SELECT a.doc_id // 2 AS pair, regexp_extract_all(hex(encode(a.text)), '..') AS x, regexp_extract_all(hex(encode(b.text)), '..') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0),
+ d AS (SELECT pair, x, y, list_slice(list_filter(range(least(len(x), len(y))), lambda i: x[i + 1] <> y[i + 1]), 1, 10) AS places FROM p)
+ SELECT pair, 'byte' AS kind, CAST(i AS INTEGER) AS pos, CAST('0x' || x[i + 1] AS BIGINT) AS left_value, CAST('0x' || y[i + 1] AS BIGINT) AS right_value FROM (SELECT pair, x, y, unnest(places) AS i FROM d)
+ UNION ALL SELECT pair, 'size', -1, len(x), len(y) FROM d WHERE len(x) <> len(y) UNION ALL SELECT pair, 'stopped', places[10], NULL, NULL FROM d WHERE len(places) = 10""")
+def byte_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report on the bytes of pairs of texts says."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair"), F.col("text").cast("binary").alias("data"))
+    left, right = (docs.where(F.col("doc_id") % 2 == i).select("pair", F.col("data").alias(c)) for i, c in enumerate("ab"))
+    return relations.byte_report(left.join(right, "pair"), ["pair"], "a", "b")
+
+
+@query(f"""WITH h AS (SELECT doc_id, hex(encode(text))[1:16] AS g FROM documents WHERE octet_length(encode(text)) >= 8),
+ w AS (SELECT doc_id, {LE_SQL.replace('h,', 'g[1:8],')} AS lo, {LE_SQL.replace('h,', 'g[9:16],')} AS hi FROM h)
+ SELECT doc_id, CAST(CAST(hi AS HUGEINT) * 4294967296 + lo AS DECIMAL(20, 0)) AS u64,
+ CAST(CAST(hi AS HUGEINT) * 4294967296 + lo - CASE WHEN hi >= 2147483648 THEN CAST(18446744073709551616 AS HUGEINT) ELSE 0 END AS BIGINT) AS i64,
+ (CASE WHEN lo >= 2147483648 THEN -1.0 ELSE 1.0 END) * (1 + (lo % 8388608) / 8388608.0 :: DOUBLE) * pow(2.0, (lo // 8388608) % 256 - 127) AS f32 FROM w
+ WHERE (lo // 8388608) % 256 BETWEEN 1 AND 254""")
+def le_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Little-endian numbers of 64 bits, and floats that are neither tiny nor infinite."""
+    data = F.col("text").cast("binary")
+    exponent = F.shiftright(B.unsigned_le(data, 0, 4), 23).bitwiseAND(F.lit(0xFF))
+    rows = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 8).where(exponent.between(1, 254))
+    return rows.select("doc_id", B.unsigned_le64(data, 0).alias("u64"), B.signed_le64(data, 0).alias("i64"), B.float_le(data, 0).alias("f32"))
+
+
+@query("""SELECT conv_id, n >= 3 AS has_third, third FROM (SELECT conv_id, count(*) AS n, list(role ORDER BY turn)[3] AS third FROM conversations GROUP BY conv_id)""")
+def array_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third of each list, where there is one."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("l"))
+    return rows.select("conv_id", X.at_index(F.transform("l", lambda x: x["role"]), F.lit(2)).alias("t")).select("conv_id", F.col("t.found").alias("has_third"), F.col("t.value").alias("third"))

@@ -7,8 +7,10 @@ entries are checked but not passed on.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blobsmith.codecs.bytes import FormatError, crc32_msb, crc32_quarter, from_1252, to_1252
-from blobsmith.schema import ENTRY, HEADER, MARK_OF_3, VERSIONS
+from blobsmith.schema import ENTRY, HEADER, MARK_OF_3, VERSIONS, games
 
 HEADER_SIZE = 20
 NAME_SIZE = 16
@@ -102,6 +104,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_entries(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
     """A row for each entry of the archives at path (a file, folder or pattern)."""
+    return entries_of(_files(spark, path), content)
+
+
+def entries_of(archives: DataFrame, content: bool = True) -> DataFrame:
+    """A row for each entry of archives given as (name, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +117,16 @@ def read_entries(spark: SparkSession, path: str, content: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ENTRY.names)
 
     kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
-    return _files(spark, path).mapInArrow(run, ENTRY)
+    return archives.mapInArrow(run, ENTRY)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """A row for each archive at path: header, table checksum and footer."""
+    return headers_of(_files(spark, path))
+
+
+def headers_of(archives: DataFrame) -> DataFrame:
+    """The same of archives given as (name, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +134,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], HEADER.names)
 
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 5, *[pa.binary()] * 4]
-    return _files(spark, path).mapInArrow(run, HEADER)
+    return archives.mapInArrow(run, HEADER)
 
 
 def build(entries: list[dict], version: int = 3, record: int = 36, version_bytes: bytes | None = None, ip: bytes = b"\0\0\0\0") -> bytes:
@@ -155,7 +167,7 @@ def pack_archives(entries: DataFrame, version: int = 3, record: int = 36, keep_d
     An archive, at most 2 GB by its format, is put together in one task; archives are spread over tasks.
     """
     rows = entries if keep_dead else entries.where(
-        "not (coalesce(dead_space_flags, 0) % 2 = 1 or upper(trim(name)) = '<DEAD SPACE>' or data_size = 0)")
+        "not (coalesce(dead_space_flags, 0) % 2 = 1 or upper(trim(name)) = '<DEAD SPACE>' or coalesce(octet_length(content), 0) = 0)")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -164,50 +176,92 @@ def pack_archives(entries: DataFrame, version: int = 3, record: int = 36, keep_d
     return rows.groupBy("archive").applyInPandas(one, "archive string, content binary")
 
 
-def write_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Writes (archive, content) rows as files of the folder, which all machines share, and returns (archive, path, size).
+def new_archives(wanted: DataFrame) -> DataFrame:
+    """(archive, content): archives without entries, in the layout of each row's game (archive, game); an unknown game is an error."""
+    from blobsmith.operators.relations import registered
 
-    A file is written under another name and then renamed, so a target is never half written and a task may run twice.
-    """
+    layouts = games(wanted.sparkSession)
+    rows = registered(wanted.select("archive", "game"), "game", layouts, "game", ["version", "record_length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                target = os.path.join(folder, os.path.basename(name))
-                spare = f"{target}.{os.getpid()}.tmp"
-                with open(spare, "wb") as f:
-                    f.write(data)
-                os.replace(spare, target)
-                done.append((name, target, len(data)))
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["archive", "path", "size"])
+            made = [build([], v, r) for v, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["archive", "content"])
 
-    return archives.select("archive", "content").mapInArrow(run, "archive string, path string, size long")
+    return rows.select("archive", "version", "record_length").mapInArrow(run, "archive string, content binary")
 
 
-def export_entries(entries: DataFrame, folder: str, existing: DataFrame | None = None) -> DataFrame:
-    """Writes live, non-empty entries as files and returns (name, path, error); names of `existing` are skipped."""
-    from blobsmith.functions.text import sanitize_name
-    from blobsmith.operators.listing import is_dead
-    from blobsmith.operators.relations import without_conflicts
+def written(files: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, content, timestamp_s) rows as files of a folder that all machines share; (name, path, size, error) of each.
 
-    flags = F.coalesce("dead_space_flags", F.lit(0))
-    rows = entries.where(~is_dead(flags, F.col("name")) & (F.col("data_size") > 0)).select(sanitize_name(F.col("name")).alias("name"), "content", "timestamp_s")
-    if existing is not None:
-        rows = without_conflicts(rows, existing, "name")
+    A file is written under another name and then renamed, so a target is never half written and a task may run twice. A time that cannot be set is
+    no error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = []
             for name, data, stamp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                target = os.path.join(folder, name)
+                target = os.path.join(folder, os.path.basename(name))
+                spare = f"{target}.{uuid.uuid4().hex}.tmp"
                 try:
-                    with open(target, "wb") as f:
+                    with open(spare, "wb") as f:
                         f.write(data)
-                    os.utime(target, (stamp, stamp))
-                    done.append((name, target, None))
+                    if stamp is not None:
+                        with contextlib.suppress(OSError, OverflowError):
+                            os.utime(spare, (stamp, stamp))
+                    os.replace(spare, target)
+                    done.append((name, target, len(data), None))
                 except OSError as e:
-                    done.append((name, target, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(3)], ["name", "path", "error"])
+                    done.append((name, target, None, str(e)))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(kinds)], ["name", "path", "size", "error"])
+
+    return files.select("name", "content", "timestamp_s").mapInArrow(run, "name string, path string, size long, error string")
+
+
+def write_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes (archive, content) rows as files of the folder and returns (archive, path, size); one that cannot be written is an error."""
+    done = written(archives.select(F.col("archive").alias("name"), "content", F.lit(None).cast("long").alias("timestamp_s")), folder)
+    size = F.when(F.col("error").isNull(), F.col("size")).otherwise(F.raise_error("error").cast("long"))
+    return done.select(F.col("name").alias("archive"), "path", size.alias("size"))
+
+
+def write_texts(texts: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, text) rows as files in the archives' code page."""
+    from blobsmith.functions.blobs import encode_1252
+
+    return written(texts.select("name", encode_1252("text").alias("content"), F.lit(None).cast("long").alias("timestamp_s")), folder)
+
+
+def file_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(name) of the files in a folder, without reading them."""
+    files = spark.read.format("binaryFile").load(folder).select("path")
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"))
+
+
+def export_plan(entries: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(name, content, timestamp_s) of the live entries that are not empty and can be written; names of `existing` are skipped."""
+    from blobsmith.functions.text import sanitize_name
+    from blobsmith.operators.listing import is_dead
+    from blobsmith.operators.relations import without_conflicts
+
+    live = ~is_dead(F.coalesce("dead_space_flags", F.lit(0)), F.col("name")) & (F.octet_length("content") > 0)
+    rows = entries.where(live).select(sanitize_name(F.col("name")).alias("name"), "content", "timestamp_s")
+    return rows if existing is None else without_conflicts(rows, existing, "name")
+
+
+def export_entries(entries: DataFrame, folder: str, existing: DataFrame | None = None, overwrite: bool = True) -> DataFrame:
+    """Writes what export_plan gives as files and returns (name, path, error).
+
+    Names of `existing` are skipped, and without overwrite those the folder holds already.
+    """
+    if existing is None and not overwrite:
+        existing = file_names(entries.sparkSession, folder)
+    return written(export_plan(entries, existing), folder).drop("size")
+
 
-    return rows.mapInArrow(run, "name string, path string, error string")
+def export_tally(entries: DataFrame, done: DataFrame) -> DataFrame:
+    """One row: how many entries were chosen, can be exported, were, and failed. done: the written result of export_entries."""
+    return done.agg(F.count_if(F.col("error").isNull()).alias("n_exported"), F.count_if(F.col("error").isNotNull()).alias("n_failed")).crossJoin(
+        F.broadcast(entries.agg(F.count("*").alias("n_chosen")))).select("n_chosen", "n_exported", "n_failed")  # one row each

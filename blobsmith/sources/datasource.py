@@ -1,7 +1,8 @@
 """spark.read.format("pff") and df.write.format("pff"), for folders that every machine mounts.
 
-read: options content (true), header (false). write: options version (3), record (36), keep_dead (true); one archive, made
-of all rows in the order of their ids. Register with `spark.dataSource.register(PffSource)`.
+read: options content (true), header (false). write: options version (3), record (36), keep_dead (true); one archive, of less than 2 GB by its format, made
+of all rows in the order of their ids; an archive that is there is replaced in mode overwrite only. Many archives are written by archive.pack_archives and
+archive.write_archives, a task for each. Register with `spark.dataSource.register(PffSource)`.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from blobsmith.codecs.bytes import FormatError
+from blobsmith.operators.changes import MOST_BYTES
 from blobsmith.schema import ENTRY, HEADER
 from blobsmith.sources.archive import Archive, build
 
@@ -67,6 +70,7 @@ class PffReader(DataSourceReader):
 @dataclass
 class Part(WriterCommitMessage):
     path: str
+    size: int
 
 
 class PffWriter(DataSourceWriter):
@@ -83,12 +87,23 @@ class PffWriter(DataSourceWriter):
 
         context = TaskContext.get()
         part = f"{self.path}.part-{context.partitionId()}-{context.taskAttemptId()}"
+        size = 0
         with open(part, "wb") as f:
             for row in iterator:
-                pickle.dump(dict(zip(self.names, row, strict=True)), f)
-        return Part(part)
+                entry = dict(zip(self.names, row, strict=True))
+                size += len(entry.get("content") or b"") + self.record
+                if size > MOST_BYTES:
+                    raise FormatError("an archive holds less than 2 GB")
+                pickle.dump(entry, f)
+        return Part(part, size)
 
     def commit(self, messages: list[Part]) -> None:
+        if sum(m.size for m in messages) > MOST_BYTES:
+            self.abort(messages)
+            raise FormatError("an archive holds less than 2 GB")
+        if not self.overwrite and os.path.exists(self.path):
+            self.abort(messages)
+            raise FileExistsError(f"{self.path} is there; write with mode overwrite")
         rows = []
         for m in messages:
             with open(m.path, "rb") as f:
