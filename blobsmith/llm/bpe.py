@@ -51,6 +51,10 @@ class Vocabulary:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if kinds != ["NFC", "Replace", "Lowercase"] or not end or spec.get("decoder") or split["behavior"] != "Removed":
             raise ValueError(f"{path}: not a byte-level BPE with word ends, lower case and no decoder")
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [f"{x['content']} {k}" for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if x.get(k)]
+        if odd:
+            raise ValueError(f"{path}: not supported: {', '.join(odd)}")
         ids = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.spelling = np.array([""] * (max([*ids.values(), *self.special.values()]) + 1), object)

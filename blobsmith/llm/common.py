@@ -19,9 +19,11 @@ CHUNK_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every machine sees: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder every machine sees: spark.checkpoint.dir. Where that is unset a folder of our own will do on one machine (tests); on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that every machine sees")
         found = tempfile.mkdtemp(prefix="blobsmith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -58,16 +60,25 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) ->
             yield ids, texts
 
 
-def spread_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+def hot_keys(large: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parts): the keys with more than a share of 1 / HOT of large, of which there are HOT at most."""
+    least = large.count() // HOT
+    return large.groupBy(*keys).count().where(F.col("count") > max(least, SPREAD)).select(*keys, F.lit(SPREAD).alias("parts"))
+
+
+def spread_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """large joined (inner or left) with small, in which a key has few rows, however many rows of large a key has.
 
-    Rows of a key with more than a share of 1 / HOT of large, of which there are HOT at most, are dealt to SPREAD tasks, and small's rows
-    of it are sent to each, by a hash of the other columns. large should be a written table, as it is read more than once.
+    Rows of a hot key (hot_keys) are dealt to SPREAD tasks, by a hash of the other columns, and small's rows of it are sent to each.
+    Nothing is dealt where no key is hot. large should be a written table, as it is read more than once.
     """
     keys = [on] if isinstance(on, str) else on
-    least = large.count() // HOT
-    hot = F.broadcast(large.groupBy(*keys).count().where(F.col("count") > max(least, SPREAD)).select(*keys, F.lit(SPREAD).alias("parts")))
-    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(c for c in large.columns if c not in keys)), F.lit(SPREAD)))
+    if hot is None:
+        hot = materialize(hot_keys(large, keys), "hot")
+    if not hot.limit(1).count():
+        return large.join(small, keys, how)
+    hot, own = F.broadcast(hot), [c for c in large.columns if c not in keys]  # HOT rows at most
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*own), F.lit(SPREAD)))
     dealt = large.join(hot, keys, "left").withColumn("salt", salt.cast("int")).drop("parts")
     copies = small.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return dealt.join(copies, [*keys, "salt"], how).drop("salt")
@@ -84,15 +95,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(ends.union(ends.select("b", "a")).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     labels = materialize(labels, "labels")
+    hot = materialize(hot_keys(both, ["b"]), "hot")
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("b"), "component"), "b")
+            spread_join(both, labels.select(F.col("node").alias("b"), "component"), "b", hot=hot)
             .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         )
         lower = labels.join(near, "node", "left").select(
             "node", F.col("component").alias("was"), F.least("component", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("next"))
-        moved = lower.join(jump, "to", "left").select("node", "was", F.least("to", "next").alias("component"))
+        # many nodes have the label of a large component
+        moved = spread_join(materialize(lower, "lower"), jump, "to", "left").select("node", "was", F.least("to", "next").alias("component"))
         moved = materialize(moved, "labels")
         changed = moved.where("component <> was").limit(1).count()
         labels = moved.select("node", "component")

@@ -103,11 +103,20 @@ def permutations(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX)
 
 
 def shared_counts(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many pivots each two permutations share (left x right)."""
+    """How many pivots each two permutations share (left x right), by bitmaps over the pivots that both sides hold."""
+    known = np.intersect1d(left, right)
+    maps = []
+    for side in (left, right):
+        at = np.searchsorted(known, side)
+        at = np.where(known[np.minimum(at, len(known) - 1)] == side, at, len(known)) if len(known) else np.zeros_like(side)
+        bits = np.zeros((len(side), len(known) // 64 + 1), np.uint64)
+        rows, columns = np.nonzero(at < len(known))
+        found = at[rows, columns]
+        np.bitwise_or.at(bits, (rows, found // 64), np.uint64(1) << (found % 64).astype(np.uint64))
+        maps.append(bits)
     out = np.zeros((len(left), len(right)), np.uint8)
-    for i in range(left.shape[1]):
-        for j in range(right.shape[1]):
-            out += left[:, i, None] == right[None, :, j]
+    for word in range(maps[0].shape[1]):
+        out += np.bitwise_count(maps[0][:, word, None] & maps[1][None, :, word])
     return out
 
 

@@ -1,8 +1,8 @@
 """Language identification of words by a linear-chain conditional random field.
 
-Each word of letters (of a run of more than LONGEST letters, each piece of so many) is described by hashed features: affixes, character n-grams and the word itself (the lexicon). Their
-learned weights, and learned weights of passing from one language to the next, give every word of a text a distribution
-over languages by forward-backward, so that code-switched text is labelled word by word. A document takes the language
+Each word of letters (of a run of more than LONGEST letters, each piece of so many) is described by hashed features: affixes, character
+n-grams and the word itself (the lexicon). Their learned weights, and learned weights of passing from one language to the next, give every word
+of a text a distribution over languages by forward-backward, so that code-switched text is labelled word by word. A document takes the language
 with the largest share; its score is that share.
 
 The model is fitted on the driver to a bounded sample: at most SAMPLE windows of WINDOW words, about as many of each
@@ -263,7 +263,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", tex
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = sample // len(counts)
+    share = max(1, sample // len(counts))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     wanted = F.lit(False)
     for lang, n in counts.items():

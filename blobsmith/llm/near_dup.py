@@ -7,7 +7,9 @@ of a band are first compared by sketches inside the join and only the rest on th
 
 No band lists all its pairs. Each class is first checked against the most similar of a few hubs of its bands, and
 components are formed; then, only where a band holds several components, its pairs across components are compared, and
-checked where their sketches agree. A pair of one component needs no check, as it cannot change the components.
+checked where their sketches agree. A pair of one component needs no check, as it cannot change the components. A band with many
+members is cut into parts of about PART, which meet two by two, so no task holds a large band; bands, components and hubs with more than a thousandth of the rows
+are dealt to many tasks.
 
 The similarity asked for decides the rows of a band: the most, up to ROWS, with which a pair of that similarity shares no band
 with a probability of MISSED at most (with BANDS = 40: 7 rows and 2e-7 at 0.85, 5 rows and 1.2e-7 at 0.8), less above.
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import arrow_type
-from .common import components, materialize, small_batches, text_chunks
+from .common import HOT, SPREAD, components, hot_keys, materialize, small_batches, spread_join, text_chunks
 
 WORDS = 5
 SIMILARITY = 85  # of a hundred, unless another is asked for
@@ -41,6 +43,8 @@ SKETCH_BITS = 2048
 DEVIATIONS = 4.5
 #: Members of a band that others are compared with first, and how often each picks the most similar one.
 HUBS, ROUNDS = 4, 2
+#: Members of a band that are compared with each other in one place.
+PART = 512
 
 _MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(max(WORDS, ROWS) + 1)], np.uint64)
 
@@ -157,9 +161,11 @@ def _differ(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity. texts: (fp, text) of the classes concerned."""
+    """The pairs (a, b), a written table, whose full sets have the similarity. texts: (fp, text) of the classes concerned."""
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    # a hub is the b of many pairs
+    both = spread_join(both, texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b", hot=materialize(hot_keys(pairs, ["b"]), "hot"))
+    both = both.select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_last = None, None
@@ -187,10 +193,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each component, and every row without an id."""
-    stay = _grouped(docs, id_col, text_col, similarity).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_id", F.col(id_col))
-    named = keyed.where("_id is not null").join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    stay = _grouped(docs, id_col, text_col, similarity).where("kept and doc_id is not null").select("doc_id", "text_key").distinct()
+    # the row is kept whole beside its keys, so that no name of its columns can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    named = keyed.join(stay, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    named = named.unionByName(keyed.where("doc_id is null"))
+    return named.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> DataFrame:
@@ -204,24 +212,24 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
     members = classes.select("fp", F.explode("bands").alias("key"))
     # the least members under a few orders; an aggregate of fixed size, whatever a band holds
     hubs = F.array(*(F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("at"), "fp"))["fp"] for i in range(HUBS)))
-    shared = members.groupBy("key").agg(hubs.alias("hubs"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(members.join(shared, "key"), "members")
+    shared = materialize(members.groupBy("key").agg(hubs.alias("hubs"), F.count("*").alias("n")).where("n > 1"), "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = materialize(shared.where(F.col("n") > max(total // HOT, SPREAD)).select("key", F.lit(SPREAD).alias("parts")), "hot")
+    members = materialize(spread_join(members, shared.select("key", "hubs"), "key", hot=hot), "members")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
+        """(fp, text) of the classes of pairs: one shuffle of the documents."""
         needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         needed = needed.join(classes.select("fp", "rep.doc_id", "rep.text_key"), "fp")
         # ids may repeat: the digest tells which row's text it is
         own = docs.join(needed, "doc_id").where(F.md5(F.coalesce("text", F.lit(""))) == F.col("text_key"))
-        return own.select("fp", "text").dropDuplicates(["fp"])
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        return materialize(verified(pairs, texts_of(pairs), similarity), "links")
+        return materialize(own.select("fp", "text").dropDuplicates(["fp"]), "texts")
 
     stars = members.select(F.col("fp").alias("a"), F.explode(F.array_distinct("hubs")).alias("b")).where("a <> b").distinct()
     stars = materialize(
         stars.join(facts.alias("x"), F.col("a") == F.col("x.fp")).join(facts.alias("y"), F.col("b") == F.col("y.fp"))
         .where(_alike("x", "y", similarity)).select("a", "b", _differ("x", "y").alias("differ")), "stars")
+    texts = texts_of(stars)
     links, tried, joined = None, None, None
     for _ in range(ROUNDS):
         open_ = stars
@@ -229,30 +237,34 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
             of_a, of_b = (joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
             open_ = stars.join(tried, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
             open_ = open_.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-        best = open_.groupBy("a").agg(F.min(F.struct("differ", "b"))["b"].alias("b"))
-        best = materialize(best, "best")
-        found = linked(best)
+        best = materialize(open_.groupBy("a").agg(F.min(F.struct("differ", "b"))["b"].alias("b")), "best")
+        found = materialize(verified(best, texts, similarity), "links")
         tried, links = (best, found) if links is None else (tried.union(best), links.union(found))
         joined = components(links)
 
     of = members.select("key", "fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     of = of.withColumn("component", F.coalesce("component", "fp"))
-    # a pair that shares several bands is compared in the first of them only
-    mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialize(of.join(mixed, "key").join(classes.select("fp", "n_shingles", "sketch", "bands"), "fp"), "mixed")
+    mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+    mixed = materialize(mixed.select("key", F.ceil(F.col("n") / PART).cast("int").alias("blocks")), "mixed")
+    rest = spread_join(of, mixed, "key", hot=hot).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rest = rest.join(facts, "fp").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "fp", "component", "n_shingles", "sketch")
+    rest = materialize(rest, "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-                    & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", similarity)
-                    & F.expr("array_intersect(x.bands, y.bands)[0] = x.key"))
-    more = linked(across.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
-    joined = components(links.union(more))
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
+    across = x.join(y, meet[0] & meet[1] & meet[2] & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.component") != F.col("y.component"))
+                    & ((F.col("x.own") != F.col("y.own")) | (F.col("x.low") == F.col("x.high"))) & _alike("x", "y", similarity))
+    across = materialize(across.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "across")
+    if across.limit(1).count():
+        joined = components(links.union(materialize(verified(across, texts_of(across), similarity), "links")))
 
     whole = classes.select("fp", F.col("rep.doc_id").alias("rep")).join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    whole = whole.withColumn("component", F.coalesce("component", "fp"))
+    whole = materialize(whole.withColumn("component", F.coalesce("component", "fp")), "whole")
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    whole = whole.join(least, "component").select("fp", "component_id")
-    return rows.select("doc_id", "n_shingles", "fp", "text_key").join(whole, "fp", "left").select(
+    whole = spread_join(whole, least, "component").select("fp", "component_id")
+    rows = rows.select("doc_id", "n_shingles", "fp", "text_key")
+    rows = spread_join(rows.where("fp is not null"), whole, "fp", "left").unionByName(rows.where("fp is null"), allowMissingColumns=True)
+    return rows.select(
         "doc_id", "n_shingles", "text_key",
         F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
-

@@ -42,6 +42,7 @@ RULES = {
     "shouts": "100 * n_shouts > 20 * n_words",
     "digits": "100 * n_digits > 40 * word_chars",
     "few_distinct_words": "n_words >= 100 and 100 * n_distinct_words < 2 * n_words",
+    "hardly_any_words": "n_words < 3",
 }
 
 
@@ -54,7 +55,9 @@ def mask(*names: str) -> int:
 POLICIES = {
     "base_v1": mask("few_words", "repeated_windows"),
     "web_v1": mask("few_words", "repeated_windows", "symbols", "duplicate_lines", "short_words", "long_words"),
-    "web_v2": mask(*RULES),
+    "web_v2": mask(*(n for n in RULES if n != "hardly_any_words")),
+    # short texts may be clean
+    "clean_v1": mask(*(n for n in RULES if n != "few_words")),
 }
 DEFAULT_POLICY = "web_v2"
 

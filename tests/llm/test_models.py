@@ -1,5 +1,6 @@
 """Language models, language identification and importance resampling."""
 
+import itertools
 import math
 import random
 import zlib
@@ -205,6 +206,23 @@ def test_language_of_documents(spark, odd_docs, no_docs):
     assert lang_crf.screen(odd_docs.unionByName(docs.limit(5), allowMissingColumns=True), model, 0.9).columns == odd_docs.columns
 
 
+def test_crf_marginals_are_the_gradient():
+    """Expected passages and marginals of a sequence against sums over all labellings."""
+    rng = np.random.default_rng(2)
+    model = lang_crf.Model(["a", "b", "c"], np.zeros((lang_crf.FEATURES + 1, 3), np.float32), rng.normal(size=(3, 3)), rng.normal(size=3))
+    scores = rng.normal(size=(1, 5, 3))
+    single, double, total = np.zeros((5, 3)), np.zeros((3, 3)), 0.0
+    for path in itertools.product(range(3), repeat=5):
+        weight = math.exp(model.start[path[0]] + sum(scores[0, t, y] for t, y in enumerate(path)) + sum(model.switches[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total += weight
+        for t, y in enumerate(path):
+            single[t, y] += weight
+        for a, b in zip(path, path[1:], strict=False):
+            double[a, b] += weight
+    got = lang_crf._expected(model, scores, np.array([5]))
+    assert np.allclose(got[0][0], single / total) and np.allclose(got[1], double / total)
+
+
 def test_resampling_draws_towards_the_target(spark, odd_docs, no_docs):
     rng = random.Random(8)
     good, bad = "the quick brown fox runs home".split(), "$$$ spam ### click buy now".split()

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -150,6 +151,32 @@ def test_embedding_links_of_a_noisy_group(spark, monkeypatch):
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dup.link(table).collect()} == want
 
 
+def test_shared_pivots_and_pivots_kept_apart():
+    rng = np.random.default_rng(3)
+    left, right = (np.array([rng.choice(300, 10, replace=False) for _ in range(n)]) for n in (40, 70))
+    want = [[len(set(a) & set(b)) for b in right.tolist()] for a in left.tolist()]
+    assert embed_dup.shared_counts(left, right).tolist() == want
+    assert embed_dup.shared_counts(left, right + 1000).max() == 0
+    dense = np.concatenate([np.ones((500, 8)) + 0.05 * rng.normal(size=(500, 8)), rng.normal(size=(500, 8))])
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    kept = embed_dup.kept_apart(dense[rng.permutation(1000)], 100)
+    assert len(kept) == 100 and ((kept @ np.ones(8) / 8**0.5) > 0.95).sum() < 10
+
+
+def test_recall_over_many_vectors(spark):
+    """Pairs just above the threshold among vectors without structure."""
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=(3000, 32))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other = rng.normal(size=one.shape)
+    other -= (other * one).sum(1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    vectors = np.concatenate([one, 0.955 * one + (1 - 0.955**2) ** 0.5 * other]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = embed_dup.link(table).agg(F.sum("n_links")).first()[0]
+    assert 0.99 * 6000 <= found <= 1.01 * 6000
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0, 0.0, 0.0]),
             (None, [1.0, 0.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [1e300, 1e300]), (11, [1e-300, 1e-300])]
@@ -192,13 +219,78 @@ def test_propagation_equals_plain_pagerank(spark):
         total = sum(w[kind] for w in seeds.values())
         jump = {h: seeds.get(h, (0, 0))[kind] / total for h in hosts}
         rank = dict(jump)
-        for _ in range(url_filters.TURNS):
+        for _ in range(80):
             new = {h: (1 - url_filters.DAMPING) * jump[h] for h in hosts}
             for a, b in ways:
                 new[b] += url_filters.DAMPING * rank[a] / sum(x == a for x, _ in ways)
             rank = new
         for h in hosts:
-            assert got.get(h, (0, 0))[kind] == pytest.approx(rank[h], abs=1e-12)
+            assert got.get(h, (0, 0))[kind] == pytest.approx(rank[h], abs=url_filters.TOLERANCE)
+
+
+def test_verdicts_equal_the_plain_way(spark):
+    """Rules, then trust and distrust over hyperlinks and parent domains, against a plain PageRank; a repeated page, clashing columns, no rows."""
+    rng = random.Random(5)
+    hosts = ["good.org", "a.com", "b.com", "c.net", "d.c.net", "e.d.c.net", "f.example.org", "lone.de"]
+    rows = []
+    for i in range(60):
+        links = "".join(f'<a href="http://{rng.choice(hosts)}/x">' for _ in range(rng.randrange(4)))
+        rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['fr', 'de', 'es', 'en/1', 'en/2'])}/", links, "h", 1.0, "k"))
+    rows.append(rows[0])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, trust double, salt string")
+    got = url_filters.judge(pages).collect()
+    ways, seeds = Counter(), {"allow": Counter(), "block": Counter()}
+    for _, url, html, *_ in rows:
+        host, path = re.fullmatch(r"http://([^/]*)(.*)", url).groups()
+        for to in re.findall(r'href="http://([^/]*)', html):
+            ways[host, to] += to != host
+        fits = [r for r in url_filters.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        if fits:
+            seeds[max(fits, key=lambda r: len(r.host + r.path)).verdict][host] += 1
+    for host in {re.fullmatch(r"http://([^/]*).*", r[1])[1] for r in rows}:
+        parts = host.split(".")
+        for i in range(len(parts) - 2):
+            ups = ".".join(parts[i:]), ".".join(parts[i + 1 :])
+            ways[ups], ways[ups[::-1]] = ways[ups] or -1, ways[ups[::-1]] or -1
+    # a step to a parent counts once beside the hyperlinks
+    found = Counter({k: abs(n) for k, n in ways.items() if n})
+    for host in {h for k in found for h in k}:
+        parent = host.partition(".")[2]
+        if host.count(".") >= 2:
+            for k in ((host, parent), (parent, host)):
+                found[k] = (ways[k] if ways[k] > 0 else 0) + 1
+
+    def spread(ways, seed):
+        rank = {h: n / sum(seed.values()) for h, n in seed.items()}
+        jump = dict(rank)
+        for _ in range(100):
+            new = Counter({h: 0.15 * x for h, x in jump.items()})
+            for (a, b), n in ways.items():
+                new[b] += 0.85 * rank.get(a, 0) * n / sum(m for (c, _), m in ways.items() if c == a)
+            rank = new
+        return rank
+
+    trust, distrust = spread(found, seeds["allow"]), spread({(b, a): n for (a, b), n in found.items()}, seeds["block"])
+    assert len(got) == len(rows)
+    for r in got:
+        good, bad = trust.get(r["host"], 0), distrust.get(r["host"], 0)
+        assert r["trust"] == pytest.approx(good, abs=1e-3) and r["distrust"] == pytest.approx(bad, abs=1e-3)
+        if r["rule"] is None and abs(bad - url_filters.THRESHOLD * good) > 5e-3:
+            assert r["verdict"] == ("block" if bad > url_filters.THRESHOLD * good else "allow")
+    assert url_filters.judge(pages.limit(0)).count() == 0
+
+
+def test_a_hot_host_is_spread(spark, monkeypatch):
+    """One host with a third of the pages and one parent of all hosts: the same verdicts with and without spreading."""
+    rows = [(i, f"http://{'big' if i % 3 == 0 else f'h{i}'}.example.net/{i}", '<a href="http://a.example.net/">') for i in range(300)]
+    rows += [(300, "http://a.example.net/", None), (301, "http://x.example.com/de/", None), (302, "http://y.example.com/fr/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = {r["page_id"]: r for r in url_filters.judge(pages).collect()}
+    monkeypatch.setattr(common, "SPREAD", 3)
+    spread = {r["page_id"]: r for r in url_filters.judge(pages).collect()}
+    assert plain.keys() == spread.keys() and len(plain) == 303
+    for i, r in plain.items():
+        assert (r["host"], r["verdict"], r["rule"]) == (spread[i]["host"], spread[i]["verdict"], spread[i]["rule"]) and r["trust"] == pytest.approx(spread[i]["trust"], abs=1e-9)
 
 
 def test_links_carry_trust(spark):

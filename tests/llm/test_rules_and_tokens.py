@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -39,6 +40,33 @@ def test_measures():
     assert m["word_chars"] == sum(len(w) for w in ["One", "two", "One", "two", "three four", "#", "$$", "|", "end!"])
 
 
+def measured_plainly(text):
+    """The measurements word by word and character by character."""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_lines": len(lines),
+        "n_dup_lines": sum(x in lines[:i] for i, x in enumerate(lines)), "n_repeat_words": repeated_plainly(words), "n_distinct_words": len(set(words)),
+        "n_upper": len(re.findall("[A-Z]", text)), "n_letters": len(re.findall("[A-Za-z]", text)), "n_digits": len(re.findall("[0-9]", text)), "n_shouts": text.count("!"),
+    }
+
+
+def test_every_measure_rule_and_verdict_equals_the_plain_way(spark):
+    rng = random.Random(4)
+    bits = ["word", "Ünï", "A", "LOUD", "1234", "#$%", "!", "\n", "\t", "\u3000", "x" * 40, "\x1c", "a b c d e f g h", "<|>", "\r\n"]
+    texts = ["", " ", "word " * 19, "word " * 20, *(rng.choice([" ", ""]).join(rng.choices(bits[: rng.randrange(2, len(bits) + 1)], k=rng.randrange(120))) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    failing = {rule: 0 for rule in quality_rules.RULES}
+    for policy, chosen in quality_rules.POLICIES.items():
+        for r in quality_rules.apply_policy(quality_rules.ledger(docs), policy).collect():
+            want = measured_plainly(texts[r["doc_id"]])
+            assert {m: r[m] for m in quality_rules.MEASURES} == want
+            fails = [rule for rule, condition in quality_rules.RULES.items() if eval(condition, {}, want)]  # noqa: S307  the rules read the same in Python
+            assert r["failure_bits"] == quality_rules.mask(*fails) and r["kept"] == (quality_rules.mask(*fails) & chosen == 0)
+            for rule in fails:
+                failing[rule] += 1
+    assert min(n for rule, n in failing.items() if rule != "few_distinct_words") > 0
+
+
 def test_ledger(spark, odd_docs, no_docs):
     found = quality_rules.ledger(odd_docs)
     assert found.count() == odd_docs.count() and quality_rules.ledger(no_docs).count() == 0
