@@ -209,3 +209,83 @@ def test_padding_and_registers_complain(spark):
     register = spark.createDataFrame([(1, "one")], "id int, label string")
     with pytest.raises(Exception, match="not registered: 9"):
         relations.registered(rows, "k", register, "id", ["label"]).collect()
+
+
+def test_replaced_blobs_are_recomputed(spark):
+    """Size, checksums, type, offset and time follow the new bytes, so the entry is exported and saved again."""
+    from blobsmith.codecs.bytes import crc32_msb
+    from blobsmith.operators import changes
+
+    data = archive.build([{"name": "A.TXT", "content": b"", "timestamp_s": 1}, {"name": "B.TXT", "content": b"kept", "timestamp_s": 2}])
+    entries = archive.entries_of(spark.createDataFrame([("x", data)], "path string, content binary"))
+    new = spark.createDataFrame([(0, b"fresh text")], "id long, content binary")
+    got = {r["id"]: r for r in changes.replaced(entries, new, "id", entry_crc="crc").collect()}
+    assert (got[0]["data_size"], got[0]["crc_read"], got[0]["crc_computed"], got[0]["data_offset"]) == (10, crc32_msb(b"fresh text"), crc32_msb(b"fresh text"), 0)
+    assert got[0]["timestamp_s"] > 1_600_000_000 and got[1]["timestamp_s"] == 2 and bytes(got[1]["content"]) == b"kept"
+    saved = archive.pack_archives(changes.replaced(entries, new, "id"), keep_dead=False)
+    assert archive.entries_of(saved).count() == 2
+    assert {r["name"] for r in archive.export_plan(changes.replaced(entries, new, "id")).collect()} == {"A.TXT", "B.TXT"}
+    for empty in (b"", None):
+        with pytest.raises(Exception, match="empty content for 1"):
+            changes.replaced(entries, spark.createDataFrame([(1, empty)], "id long, content binary"), "id").collect()
+
+
+def test_import_in_order(spark):
+    """Files of one name, in the order of their list, and a total that only some of them fit."""
+    from blobsmith.operators import changes
+
+    entries = spark.createDataFrame([(4, "old.txt", 0, 2_000_000_000)], "id long, name string, dead_space_flags long, data_size long")
+    files = spark.createDataFrame(
+        [(3, "c.txt", 100_000_000), (1, "a.txt", 100_000_000), (2, "A.TXT", 5), (4, "OLD.TXT", 5), (5, "d.txt", 40_000_000), (6, None, 5), (7, "e.txt", None)], "seq long, name string, data_size long")
+    status = lambda **more: {r["seq"]: r["status"] for r in changes.import_status(files, entries, order="seq", **more).collect()}
+    assert status(overwrite=False) == {1: "Ok", 2: "Exists", 3: "TotalTooLarge", 4: "Exists", 5: "Ok", 6: "NullOrWhiteSpace", 7: "Empty"}
+    assert status(overwrite=True) == {1: "Ok", 2: "Ok", 3: "TotalTooLarge", 4: "Ok", 5: "Ok", 6: "NullOrWhiteSpace", 7: "Empty"}
+    assert changes.import_status(files.limit(0), entries, overwrite=False).count() == 0
+    rows = files.where("seq in (1, 2, 4)").withColumn("dead_space_flags", F.lit(0))
+    got = {r["id"]: (r["name"], r["dead_space_flags"]) for r in changes.overwritten(entries, rows, order="seq").collect()}
+    assert got == {4: ("<DEAD SPACE>", 1), 5: ("<DEAD SPACE>", 1), 6: ("A.TXT", 0), 7: ("OLD.TXT", 0)}
+
+
+def test_new_archives_texts_and_tallies(spark, tmp_path):
+    wanted = spark.createDataFrame([("n.pff", "Comanche 4")], "archive string, game string")
+    assert archive.write_archives(archive.new_archives(wanted), str(tmp_path)).first()["size"] == 20 + 12
+    assert archive.read_entries(spark, str(tmp_path)).count() == 0 and archive.read_headers(spark, str(tmp_path)).first()["record_length"] == 36
+    with pytest.raises(Exception, match="not registered: Chess"):
+        archive.new_archives(wanted.withColumn("game", F.lit("Chess"))).collect()
+    out = tmp_path / "out"
+    out.mkdir()
+    archive.write_texts(spark.createDataFrame([("t.txt", "caf\u00e9 \u2013 \u4e00")], "name string, text string"), str(out)).collect()
+    assert (out / "t.txt").read_bytes() == b"caf\xe9 \x96 ?"
+    (out / "A.TXT").write_bytes(b"mine")
+    (tmp_path / "in.pff").write_bytes(archive.build([*ENTRIES, {"name": "FAR.TXT", "content": b"x", "timestamp_s": 2**32 - 1}]))
+    entries = archive.read_entries(spark, str(tmp_path / "in.pff"))
+    done = spark.createDataFrame(archive.export_entries(entries, str(out), overwrite=False).collect(), "name string, path string, error string")
+    assert archive.export_tally(entries, done).first() == (5, 2, 0) and (out / "A.TXT").read_bytes() == b"mine"
+    assert sorted(p.name for p in out.iterdir()) == ["A.TXT", "B.SCR", "FAR.TXT", "t.txt"]
+    failed = archive.export_entries(entries, str(tmp_path / "missing")).where("error is not null")
+    assert failed.count() == 3
+
+
+def test_the_named_format_replaces_only_when_asked(spark, tmp_path):
+    datasource.register(spark)
+    (tmp_path / "in.pff").write_bytes(archive.build(ENTRIES))
+    rows, target = spark.read.format("pff").load(str(tmp_path / "in.pff")), str(tmp_path / "out.pff")
+    rows.write.format("pff").mode("append").save(target)
+    with pytest.raises(Exception, match="write with mode overwrite"):
+        rows.write.format("pff").mode("append").save(target)
+    rows.where("id = 0").write.format("pff").mode("overwrite").save(target)
+    assert spark.read.format("pff").load(target).count() == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["in.pff", "out.pff"]
+
+
+def test_numbers_and_places(spark):
+    from blobsmith.functions import text as X
+
+    values = [1.5, -0.0, 1e-310, float("inf"), float("nan"), -123456.789, 5e-45]
+    rows = spark.createDataFrame([(i, struct.pack("<fd", min(v, 3e38) if v == v else v, v)) for i, v in enumerate(values) if v != 5e-45], "i int, data binary")
+    for r in rows.select("i", B.float_le(F.col("data"), 0).alias("f"), B.double_le(F.col("data"), 4).alias("d")).collect():
+        want = struct.unpack("<fd", struct.pack("<fd", min(values[r["i"]], 3e38) if values[r["i"]] == values[r["i"]] else float("nan"), values[r["i"]]))
+        assert repr((r["f"], r["d"])) == repr(want)
+    lists = spark.createDataFrame([(["a", "b"], 1), (["a"], 1), ([], 0), (None, 0), (["a"], -1)], "v array<string>, i int")
+    assert [tuple(r["p"]) for r in lists.select(X.at_index(F.col("v"), F.col("i")).alias("p")).collect()] == [(True, "b"), *[(False, None)] * 4]
+    assert lists.where(X.index_exists(F.col("v"), F.col("i"))).count() == 1
+
