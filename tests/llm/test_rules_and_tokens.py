@@ -53,7 +53,7 @@ def measured_plainly(text):
 def test_every_measure_rule_and_verdict_equals_the_plain_way(spark):
     rng = random.Random(4)
     bits = ["word", "Ünï", "A", "LOUD", "1234", "#$%", "!", "\n", "\t", "\u3000", "x" * 40, "\x1c", "a b c d e f g h", "<|>", "\r\n"]
-    texts = ["", " ", "word " * 19, "word " * 20, *(rng.choice([" ", ""]).join(rng.choices(bits[: rng.randrange(2, len(bits) + 1)], k=rng.randrange(120))) for _ in range(300))]
+    texts = ["", " ", "word " * 19, "word " * 20, "word " * 200, "a " * 30, "x" * 60, "LOUD " * 30, "one two three\n" * 10, "1234 " * 30, "a! " * 30, *(rng.choice([" ", ""]).join(rng.choices(bits[: rng.randrange(2, len(bits) + 1)], k=rng.randrange(120))) for _ in range(300))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     failing = {rule: 0 for rule in quality_rules.RULES}
     for policy, chosen in quality_rules.POLICIES.items():
@@ -64,7 +64,7 @@ def test_every_measure_rule_and_verdict_equals_the_plain_way(spark):
             assert r["failure_bits"] == quality_rules.mask(*fails) and r["kept"] == (quality_rules.mask(*fails) & chosen == 0)
             for rule in fails:
                 failing[rule] += 1
-    assert min(n for rule, n in failing.items() if rule != "few_distinct_words") > 0
+    assert min(failing.values()) > 0
 
 
 def test_ledger(spark, odd_docs, no_docs):
