@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold, so that batches of long texts stay small.
-ARROW_ROWS = 1000
+#: Rows an Arrow batch may hold, and bytes after which it ends, so that batches of long texts stay small.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 #: A key with a share of more than 1 / HOT of a table's rows is dealt to SPREAD tasks.
 HOT, SPREAD = 1000, 64
 #: Characters a worker handles at a time; a longer text makes a chunk of its own.
@@ -41,8 +41,9 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to ARROW_ROWS rows in this session."""
+    """Keep Arrow batches to ARROW_ROWS rows and ARROW_BYTES in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str | None]]]:
