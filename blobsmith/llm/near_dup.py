@@ -247,13 +247,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
     mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
     mixed = materialize(mixed.select("key", F.ceil(F.col("n") / PART).cast("int").alias("blocks")), "mixed")
     rest = spread_join(of, mixed, "key", hot=hot).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rest = rest.join(facts, "fp").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "fp", "component", "n_shingles", "sketch")
+    rest = rest.join(classes.select("fp", "n_shingles", "sketch", "bands"), "fp").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "fp", "component", "n_shingles", "sketch", "bands")
     rest = materialize(rest, "rest")
     x, y = rest.alias("x"), rest.alias("y")
     meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
     across = x.join(y, meet[0] & meet[1] & meet[2] & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.component") != F.col("y.component"))
-                    & ((F.col("x.own") != F.col("y.own")) | (F.col("x.low") == F.col("x.high"))) & _alike("x", "y", similarity))
+                    & ((F.col("x.own") != F.col("y.own")) | (F.col("x.low") == F.col("x.high"))) & _alike("x", "y", similarity)
+                    # a pair that shares several bands is compared in the first of them only
+                    & F.expr("array_intersect(x.bands, y.bands)[0] = x.key"))
     across = materialize(across.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "across")
     if across.limit(1).count():
         joined = components(links.union(materialize(verified(across, texts_of(across), similarity), "links")))
