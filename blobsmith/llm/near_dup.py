@@ -8,8 +8,7 @@ of a band are first compared by sketches inside the join and only the rest on th
 No band lists all its pairs. Each class is first checked against the most similar of a few hubs of its bands, and
 components are formed; then, only where a band holds several components, its pairs across components are compared, and
 checked where their sketches agree. A pair of one component needs no check, as it cannot change the components. A band with many
-members is cut into parts of about PART, which meet two by two, so no task holds a large band; bands, components and hubs with more than a thousandth of the rows
-are dealt to many tasks.
+members is cut into parts of about PART, which meet two by two, so no task compares a large band.
 
 The similarity asked for decides the rows of a band: the most, up to ROWS, with which a pair of that similarity shares no band
 with a probability of MISSED at most (with BANDS = 40: 7 rows and 2e-7 at 0.85, 5 rows and 1.2e-7 at 0.8), less above.
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import arrow_type
-from .common import HOT, SPREAD, components, hot_keys, materialize, small_batches, spread_join, text_chunks
+from .common import components, materialize, small_batches, text_chunks
 
 WORDS = 5
 SIMILARITY = 85  # of a hundred, unless another is asked for
@@ -163,9 +162,7 @@ def _differ(a: str, b: str) -> Column:
 def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b), a written table, whose full sets have the similarity. texts: (fp, text) of the classes concerned."""
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-    # a hub is the b of many pairs
-    both = spread_join(both, texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b", hot=materialize(hot_keys(pairs, ["b"]), "hot"))
-    both = both.select("a", "b", "text_a", "text_b")
+    both = both.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_last = None, None
@@ -213,9 +210,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
     # the least members under a few orders; an aggregate of fixed size, whatever a band holds
     hubs = F.array(*(F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("at"), "fp"))["fp"] for i in range(HUBS)))
     shared = materialize(members.groupBy("key").agg(hubs.alias("hubs"), F.count("*").alias("n")).where("n > 1"), "shared")
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = materialize(shared.where(F.col("n") > max(total // HOT, SPREAD)).select("key", F.lit(SPREAD).alias("parts")), "hot")
-    members = materialize(spread_join(members, shared.select("key", "hubs"), "key", hot=hot), "members")
+    members = materialize(members.join(shared.select("key", "hubs"), "key"), "members")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """(fp, text) of the classes of pairs: one shuffle of the documents."""
@@ -246,7 +241,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
     of = of.withColumn("component", F.coalesce("component", "fp"))
     mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
     mixed = materialize(mixed.select("key", F.ceil(F.col("n") / PART).cast("int").alias("blocks")), "mixed")
-    rest = spread_join(of, mixed, "key", hot=hot).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rest = of.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rest = rest.join(classes.select("fp", "n_shingles", "sketch", "bands"), "fp").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "fp", "component", "n_shingles", "sketch", "bands")
     rest = materialize(rest, "rest")
@@ -261,12 +256,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
         joined = components(links.union(materialize(verified(across, texts_of(across), similarity), "links")))
 
     whole = classes.select("fp", F.col("rep.doc_id").alias("rep")).join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    whole = materialize(whole.withColumn("component", F.coalesce("component", "fp")), "whole")
+    whole = whole.withColumn("component", F.coalesce("component", "fp"))
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    whole = spread_join(whole, least, "component").select("fp", "component_id")
+    whole = whole.join(least, "component").select("fp", "component_id")
     rows = rows.select("doc_id", "n_shingles", "fp", "text_key")
-    rows = spread_join(rows.where("fp is not null"), whole, "fp", "left").unionByName(rows.where("fp is null"), allowMissingColumns=True)
-    return rows.select(
+    return rows.join(whole, "fp", "left").select(
         "doc_id", "n_shingles", "text_key",
         F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))

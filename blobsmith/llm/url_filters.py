@@ -34,8 +34,8 @@ RULES = (
 )
 DAMPING = 0.85
 #: Ranks are settled once a turn changes them by less than this, summed over hosts. A turn leaves DAMPING of the last change at most,
-#: so the turns are bounded too: 42 at 0.85.
-TOLERANCE = 1e-3
+#: so the turns are bounded too: 24 at 0.85.
+TOLERANCE = 0.05
 #: A host is blocked if its distrust is more than so many times its trust, both as shares of their totals.
 THRESHOLD = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,14 +115,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
         F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of pages (page_id, url, html)."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     fit = rule_for(F.col("host"), F.col("path"), rules)
     # summed by host before any join, so a host with a third of the pages is a row; its pages are dealt to many tasks to meet it
     seeds = parsed.select("host", fit["verdict"].alias("verdict")).where("host <> '' and verdict is not null").groupBy("host").agg(
         F.sum((F.col("verdict") == "allow").cast("long")).alias("trust"), F.sum((F.col("verdict") == "block").cast("long")).alias("distrust"))
-    scores = materialize(propagate(host_edges(parsed.select("host", "html")), seeds), "hosts")
+    scores = materialize(propagate(host_edges(parsed.select("host", "html")), seeds, tolerance), "hosts")
     bad = F.coalesce(F.col("distrust") > threshold * F.col("trust"), F.lit(False))
     return (
         spread_join(parsed.drop("html"), scores, "host", "left").withColumn("_fit", fit)
