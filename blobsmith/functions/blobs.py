@@ -20,6 +20,8 @@ from blobsmith.functions import binary as B
 from blobsmith.functions.text import escape_quotes, extension
 from blobsmith.schema import FORMATS, SKIPPED
 
+#: Rows and bytes after which an Arrow batch ends, so that what a worker holds does not grow with the table.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Scripts known by their names alone.
 SCRIPT_NAMES = ("ITEMS.DEF", "LOOP.DEF")
 
@@ -28,6 +30,12 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches that the codecs get to BATCH_ROWS rows and BATCH_BYTES in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def looks_like_tga(data: Column) -> Column:
     """The header makes sense as a kind that is read; media.is_tga as an expression."""
     kind, colours, depth, bits = (B.byte_at(data, i) for i in (2, 1, 7, 16))
@@ -347,6 +355,7 @@ def pack_cbin(rows: DataFrame, doc: str = "doc") -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL."""
+    small_batches(spark)
     for name, f in {
         "bfc_unpack": bfc_unpack, "bfc_pack": bfc_pack, "to_text": to_text, "from_text": from_text, "decode_image": decode_image, "to_png": to_png,
         "to_pcx": to_pcx, "to_pcm16": to_pcm16, "crc32_msb": crc32_msb_fast, "crc32_quarter": crc32_quarter, "decode_1252": decode_1252,

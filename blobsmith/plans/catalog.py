@@ -37,6 +37,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    blobs.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

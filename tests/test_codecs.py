@@ -210,3 +210,24 @@ def test_packs():
     assert media.pcx_image(rows[3]["content"])[2][:3] == own[3:6][::-1]
     with pytest.raises(b.FormatError):
         media.pak_entries(b"3DPK".ljust(60, b"\0") + struct.pack("<ii", 68, 68) + b"\0" * 8)
+
+
+def test_batches_are_small(spark, tmp_path):
+    """A worker gets 8 MB or 1,000 rows at a time, however many rows a table has."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from blobsmith.plans import catalog
+
+    @F.pandas_udf("struct<n: long, size: long>")
+    def batch(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(data)] * len(data), "size": [int(data.map(len).sum())] * len(data)})
+
+    def most(rows, length):
+        spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), length).alias("text")).write.parquet(path := str(tmp_path / f"{rows}" / "documents.parquet"))
+        found = catalog.table(spark, path.rsplit("/", 1)[0], "documents").select(batch(F.col("text").cast("binary")).alias("b"))
+        return found.agg(F.max("b.n"), F.max("b.size")).first()
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert most(5000, 1)[0] == 1000 and most(300, 100_000)[1] <= 9 << 20
