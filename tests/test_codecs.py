@@ -231,3 +231,48 @@ def test_batches_are_small(spark, tmp_path):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert most(5000, 1)[0] == 1000 and most(300, 100_000)[1] <= 9 << 20
+
+
+def test_streams_and_code_page_equal_the_plain_ones():
+    """Kept streams are those made byte by byte, in any order of lengths and keys; the code page as character by character."""
+    import random
+
+    from blobsmith.codecs import bytes as b
+
+    def plain(key, n):
+        out = bytearray()
+        for _ in range(n):
+            key = b.rotate(key + b.rotate(key, 11) & b.M32, 4) ^ 1
+            out.append(key & 255)
+        return bytes(out)
+
+    draw = random.Random(7)
+    for _ in range(60):
+        key, n = draw.choice([*b.SCRIPT_KEYS, *range(6)]), draw.randrange(3000)
+        assert b.script_stream(key, n).tobytes() == plain(key, n)
+        assert len(b._kept) <= b.KEPT_KEYS
+    codes = {c: i for i, c in enumerate(b.CODE_PAGE)}
+    odd = "".join(map(chr, [*range(0x3000), 0xD800, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600])) + b.CODE_PAGE
+    assert b.to_1252(odd) == bytes(codes.get(c, 63) for c in odd) and b.from_1252(bytes(range(256))) == b.CODE_PAGE
+
+
+def test_a_long_script_takes_its_stream_once():
+    """A thousand scripts of one key step through the cipher once, not a thousand times."""
+    from blobsmith.codecs import bytes as b
+    from blobsmith.codecs import text
+
+    b._kept.clear()
+    steps, real = [0], b._script_step
+
+    def counted(k):
+        steps[0] += 1
+        return real(k)
+
+    b._script_step = counted
+    try:
+        for i in range(1000):
+            data = text.script_bytes("x" * (1000 + i), b.SCRIPT_KEYS[0])
+            assert text.script_text(data) == f"// KEY:0x{b.SCRIPT_KEYS[0]:08X}\r\n" + "x" * (1000 + i)
+    finally:
+        b._script_step = real
+    assert steps[0] < 5000
