@@ -36,6 +36,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to as many tasks as a shuffle has: small rows of much work, which a small file would give to a single task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def looks_like_tga(data: Column) -> Column:
     """The header makes sense as a kind that is read; media.is_tga as an expression."""
     kind, colours, depth, bits = (B.byte_at(data, i) for i in (2, 1, 7, 16))

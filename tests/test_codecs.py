@@ -276,3 +276,24 @@ def test_a_long_script_takes_its_stream_once():
     finally:
         b._script_step = real
     assert steps[0] < 5000
+
+
+def test_pictures_are_spread_and_decoded_once(spark):
+    """A small file of many pictures is dealt to all tasks, and each picture is decoded once."""
+    from blobsmith.plans import catalog
+
+    df = catalog.QUERIES["image_pixels"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and plan.count("Relation") == 1 and plan.count("decode_image(") <= 4
+
+
+def test_palettes_are_in_order_of_their_colours():
+    import numpy as np
+
+    from blobsmith.codecs import media
+
+    raw = np.random.default_rng(3).integers(0, 256, (13, 17, 4), np.uint8)
+    raw[:, :, 3] = 255
+    data = media.pcx_bytes((17, 13, raw.tobytes()))
+    colours = np.unique(raw[:, :, 2::-1].reshape(-1, 3), axis=0)
+    assert data[-768:] == colours.tobytes().ljust(768, b"\0") and media.pcx_image(data) == (17, 13, raw.tobytes())
