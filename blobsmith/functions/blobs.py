@@ -9,6 +9,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from blobsmith.schema import FORMATS, SKIPPED
 
 #: Rows and bytes after which an Arrow batch ends, so that what a worker holds does not grow with the table.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes of two blobs that are compared at a time.
+DIFF_BYTES = 1 << 16
 #: Scripts known by their names alone.
 SCRIPT_NAMES = ("ITEMS.DEF", "LOOP.DEF")
 
@@ -215,6 +218,22 @@ def crc32_quarter(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else codec_bytes.crc32_quarter(d)).astype("Int64")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def differing_places(left: pd.Series, right: pd.Series, limit: pd.Series) -> pd.Series:
+    """The first `limit` positions (from 0; all for null) at which two blobs differ, up to the shorter one's end."""
+
+    def one(a: bytes | None, b: bytes | None, most: float) -> np.ndarray:
+        n = min(len(a or b""), len(b or b""))
+        found, at, count = [np.zeros(0, np.int32)], 0, 0
+        while at < n and (pd.isna(most) or count < most):
+            x, y = (np.frombuffer(d, np.uint8, min(DIFF_BYTES, n - at), at) for d in (a, b))
+            found.append(np.flatnonzero(x != y).astype(np.int32) + np.int32(at))
+            at, count = at + DIFF_BYTES, count + len(found[-1])
+        return np.concatenate(found)[: None if pd.isna(most) else int(most)]
+
+    return pd.Series([one(*args) for args in zip(left, right, limit, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def decode_1252(data: pd.Series) -> pd.Series:
     """Bytes of the code page as text."""

@@ -297,3 +297,32 @@ def test_palettes_are_in_order_of_their_colours():
     data = media.pcx_bytes((17, 13, raw.tobytes()))
     colours = np.unique(raw[:, :, 2::-1].reshape(-1, 3), axis=0)
     assert data[-768:] == colours.tobytes().ljust(768, b"\0") and media.pcx_image(data) == (17, 13, raw.tobytes())
+
+
+def test_differing_bytes_are_found_once(spark):
+    """All, or the first few, differing bytes of blobs longer than a block, null and empty ones too; pairs are joined and compared once."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from blobsmith.operators import relations
+    from blobsmith.plans import catalog
+
+    draw = random.Random(5)
+    rows = [(0, b"abc", b"abc"), (1, b"", b"x"), (2, None, b"x"), (3, b"ab", b"axc")]
+    for i in range(4, 12):
+        a = bytearray(draw.randbytes(draw.randrange(1, 200_000)))
+        b = bytearray(a[: draw.randrange(len(a))] + draw.randbytes(3))
+        for at in draw.sample(range(len(b)), min(len(b), draw.randrange(30))):
+            b[at] ^= 1 + at % 255
+        rows.append((i, bytes(a), bytes(b)))
+    pairs = spark.createDataFrame(rows, "k int, a binary, b binary")
+    wanted = {k: [(i, x, y) for i, (x, y) in enumerate(zip(a or b"", b or b"")) if x != y] for k, a, b in rows}
+    for limit in (None, 10):
+        got = relations.byte_differences(pairs, ["k"], "a", "b", limit).collect()
+        assert sorted(map(tuple, got)) == sorted((k, *d) for k, ds in wanted.items() for d in ds[:limit])
+    report = [(k, "byte", *d) for k, ds in wanted.items() for d in ds[:10]] + [(k, "stopped", ds[9][0], None, None) for k, ds in wanted.items() if len(ds) >= 10]
+    report += [(k, "size", -1, len(a), len(b)) for k, a, b in rows if a is not None and len(a) != len(b)]
+    assert sorted(map(str, map(tuple, relations.byte_report(pairs, ["k"], "a", "b").collect()))) == sorted(map(str, report))
+    plan = catalog.QUERIES["byte_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "sequence(" not in plan
