@@ -218,6 +218,20 @@ def crc32_quarter(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else codec_bytes.crc32_quarter(d)).astype("Int64")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def places_of(data: pd.Series, pattern: pd.Series) -> pd.Series:
+    """Every position (from 0) where a pattern stands in a long blob, overlaps too; binary.find_matches is the plain expression for short ones."""
+
+    def one(d: bytes | None, p: bytes) -> np.ndarray:
+        found, at = [], d.find(p) if d and p else -1
+        while at >= 0:
+            found.append(at)
+            at = d.find(p, at + 1)
+        return np.array(found, np.int32)
+
+    return pd.Series([one(d, p) for d, p in zip(data, pattern, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def differing_places(left: pd.Series, right: pd.Series, limit: pd.Series) -> pd.Series:
     """The first `limit` positions (from 0; all for null) at which two blobs differ, up to the shorter one's end."""

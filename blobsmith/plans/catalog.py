@@ -570,9 +570,9 @@ def rows_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, places, coalesce(list_min(list_filter(places, lambda i: i >= 40)), -1) AS first_after FROM p""")
 def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where two bytes stand."""
-    data = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", B.find_matches(data, b"th").cast("array<bigint>").alias("places"), B.index_of(data, b"th", 40).cast("long").alias("first_after"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", blobs.places_of(F.col("text").cast("binary"), F.lit(b"th")).alias("places"))
+    first = F.coalesce(F.array_min(F.filter("places", lambda i: i >= 40)), F.lit(-1))
+    return rows.select("doc_id", F.col("places").cast("array<bigint>").alias("places"), first.cast("long").alias("first_after"))
 
 
 @query("""SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(hex(encode(text)), '..')), '') AS reversed, right(hex(encode(text)), 64) AS tail,

@@ -326,3 +326,18 @@ def test_differing_bytes_are_found_once(spark):
     assert sorted(map(str, map(tuple, relations.byte_report(pairs, ["k"], "a", "b").collect()))) == sorted(map(str, report))
     plan = catalog.QUERIES["byte_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "sequence(" not in plan
+
+
+def test_places_are_searched_not_listed(spark):
+    """Positions are found by search, with overlaps; no list of all positions is made and filtered."""
+    from pyspark.sql import functions as F
+
+    from blobsmith.functions import binary, blobs
+    from blobsmith.plans import catalog
+
+    rows = spark.createDataFrame([(b"aaaa",), (b"",), (None,), (b"xaaxa",), (b"aa" * 3000,)], "d binary")
+    for pattern in (b"aa", b"a", b"q", b""):
+        for r in rows.select(blobs.places_of("d", F.lit(pattern)).alias("a"), binary.find_matches(F.col("d"), pattern).alias("b")).collect():
+            assert r["a"] == r["b"]
+    plan = catalog.QUERIES["find_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.count("places_of(") == 1
