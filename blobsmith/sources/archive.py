@@ -11,15 +11,16 @@ import contextlib
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blobsmith.codecs.bytes import FormatError, crc32_msb, crc32_quarter, from_1252, to_1252
+from blobsmith.functions.blobs import BATCH_BYTES, BATCH_ROWS, small_batches
 from blobsmith.schema import ENTRY, HEADER, MARK_OF_3, VERSIONS, games
 
 HEADER_SIZE = 20
@@ -112,14 +113,28 @@ def entries_of(archives: DataFrame, content: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = list(Archive(data).entries(name, content))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ENTRY.names)
+            for name, data in zip(*batch.columns, strict=True):  # one archive at a time, and its entries in small batches
+                for rows in _parts(Archive(data.as_py()).entries(name.as_py(), content)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ENTRY.names)
 
     kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
+    small_batches(archives.sparkSession)
     return archives.mapInArrow(run, ENTRY)
 
 
+def _parts(entries: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows of ENTRY in lists that end as Arrow batches do."""
+    rows, size = [], 0
+    for row in entries:
+        rows.append(row)
+        size += len(row[-1] or b"")
+        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """A row for each archive at path: header, table checksum and footer."""
     return headers_of(_files(spark, path))
@@ -130,20 +145,21 @@ def headers_of(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [Archive(d).header(n) for n, d in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [Archive(d.as_py()).header(n.as_py()) for n, d in zip(*batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], HEADER.names)
 
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 5, *[pa.binary()] * 4]
+    small_batches(archives.sparkSession)
     return archives.mapInArrow(run, HEADER)
 
 
-def build(entries: list[dict], version: int = 3, record: int = 36, version_bytes: bytes | None = None, ip: bytes = b"\0\0\0\0") -> bytes:
+def build(entries: Iterable[dict], version: int = 3, record: int = 36, version_bytes: bytes | None = None, ip: bytes = b"\0\0\0\0") -> bytes:
     """The bytes of an archive: contents from byte 20 in order, the entry table, its checksum, the footer; header first."""
     layout = LAYOUTS.get((version, record))
     if layout is None:
         raise FormatError(f"no archive layout for version {version} and records of {record}")
-    blobs, table, at = [], bytearray(), HEADER_SIZE
-    for e in entries:
+    body, table, at, count = bytearray(), bytearray(), HEADER_SIZE, 0
+    for count, e in enumerate(entries, 1):  # noqa: B007
         blob, name = bytes(e.get("content") or b""), to_1252(e["name"])
         if len(name) >= NAME_SIZE:
             raise FormatError(f"name too long: {e['name']}")
@@ -151,14 +167,14 @@ def build(entries: list[dict], version: int = 3, record: int = 36, version_bytes
         first = crc if layout.version == 2 else int(e.get("dead_space_flags") or 0) if layout.version >= 3 else 0
         table += struct.pack("<IIII16s", first, at, len(blob), int(e.get("timestamp_s") or 0), name)
         table += struct.pack("<I", crc) if record == 36 else b""
-        blobs.append(blob)
+        body += blob
         at += len(blob)
     if at + len(table) >= 1 << 31:
         raise FormatError("an archive holds less than 2 GB")
     end = struct.pack("<I", crc32_msb(bytes(table))) if layout.table_crc else b""
     end += ip + b"\0\0\0\0" + SIGNATURE if layout.footer else b""
-    head = struct.pack("<I4sIII", HEADER_SIZE, version_bytes or b"PFF%d" % version, len(entries), record, at)
-    return head + b"".join(blobs) + bytes(table) + end
+    head = struct.pack("<I4sIII", HEADER_SIZE, version_bytes or b"PFF%d" % version, count, record, at)
+    return b"".join((head, body, table, end))
 
 
 def pack_archives(entries: DataFrame, version: int = 3, record: int = 36, keep_dead: bool = True) -> DataFrame:
@@ -169,11 +185,15 @@ def pack_archives(entries: DataFrame, version: int = 3, record: int = 36, keep_d
     rows = entries if keep_dead else entries.where(
         "not (coalesce(dead_space_flags, 0) % 2 = 1 or upper(trim(name)) = '<DEAD SPACE>' or coalesce(octet_length(content), 0) = 0)")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        return pd.DataFrame({"archive": [group["archive"].iat[0]], "content": [build(group.to_dict("records"), version, record)]})
+    def one(group: pa.Table) -> pa.Table:
+        # the entries stay in Arrow's columns; a few at a time become rows
+        order = pc.sort_indices(group, [("id", "ascending")])
+        own = group.select([c for c in ("name", "dead_space_flags", "timestamp_s", "content") if c in group.column_names]).combine_chunks()
+        parts = (own.take(order.slice(i, BATCH_ROWS)) for i in range(0, len(order), BATCH_ROWS))
+        made = build((e for part in parts for e in part.to_pylist()), version, record)
+        return pa.table([pa.array([group["archive"][0].as_py()], pa.string()), pa.array([made], pa.binary())], ["archive", "content"])
 
-    return rows.groupBy("archive").applyInPandas(one, "archive string, content binary")
+    return rows.groupBy("archive").applyInArrow(one, "archive string, content binary")
 
 
 def new_archives(wanted: DataFrame) -> DataFrame:

@@ -289,3 +289,20 @@ def test_numbers_and_places(spark):
     assert [tuple(r["p"]) for r in lists.select(X.at_index(F.col("v"), F.col("i")).alias("p")).collect()] == [(True, "b"), *[(False, None)] * 4]
     assert lists.where(X.index_exists(F.col("v"), F.col("i"))).count() == 1
 
+
+
+def test_entries_come_in_small_batches(spark):
+    """A large archive is put together from Arrow's columns and read in batches of 1,000 entries, in order, nulls included."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2500, 0, -1, 3).select(
+        F.lit("a").alias("archive"), "id", F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") % 2 == 0, F.lit(2).cast("long")).alias("dead_space_flags"),
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("timestamp_s"), F.when(F.col("id") % 5 > 0, F.repeat(F.lit("y"), (F.col("id") % 7).cast("int")).cast("binary")).alias("content"))
+    made = archive.pack_archives(rows)
+    data = bytes(made.first()["content"])
+    wanted = [{"name": f"n{i}", "dead_space_flags": 2 * (i % 2 == 0), "timestamp_s": i if i % 3 else 0, "content": b"y" * (i % 7) if i % 5 else b""} for i in range(1, 2501)]
+    assert data == archive.build(wanted)
+    parts = list(archive._parts(archive.Archive(data).entries("a", True)))
+    assert [len(p) for p in parts] == [1000, 1000, 500] and len(list(archive._parts(iter([("", b"x" * (5 << 20))] * 4)))) == 2
+    got = archive.entries_of(made).orderBy("id").collect()
+    assert [(r["name"], r["dead_space_flags"], r["timestamp_s"], bytes(r["content"])) for r in got] == [tuple(e.values()) for e in wanted]
