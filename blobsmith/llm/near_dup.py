@@ -8,7 +8,8 @@ of a band are first compared by sketches inside the join and only the rest on th
 No band lists all its pairs. Each class is first checked against the most similar of a few hubs of its bands, and
 components are formed; then, only where a band holds several components, its pairs across components are compared, and
 checked where their sketches agree. A pair of one component needs no check, as it cannot change the components. A band with many
-members is cut into parts of about PART, which meet two by two, so no task compares a large band.
+members is cut into parts of about PART, which meet two by two, so no task compares a large band. Where parts meet, pairs are
+compared in place and are no rows: out come the members that have a pair to check, and then the links that join components there.
 
 The similarity asked for decides the rows of a band: the most, up to ROWS, with which a pair of that similarity shares no band
 with a probability of MISSED at most (with BANDS = 40: 7 rows and 2e-7 at 0.85, 5 rows and 1.2e-7 at 0.8), less above.
@@ -159,6 +160,93 @@ def _differ(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_BITS // 64)))
 
 
+#: Where the parts of a band meet: the band's key and the two parts.
+PLACE = ["key", "low", "high"]
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each place, from batches that are sorted by PLACE."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        at = np.stack([table.column(c).to_numpy() for c in PLACE])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def _open_pairs(rows: pa.Table, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, the j after it) of the pairs of a place that have to be checked: of two components, alike, and not met in an earlier band."""
+    component = rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    if (component == component[0]).all():
+        return
+    own, size = rows.column("own").to_numpy(), rows.column("n_shingles").to_numpy()
+    sketch, bands = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(own), -1) for c in ("sketch", "bands"))
+    sketch = sketch.view(np.uint64)  # of a signed number, the bits of its absolute value are counted
+    key, low, high = (rows.column(c)[0].as_py() for c in PLACE)
+    most = _most_differing(similarity)
+    for i in range(len(own) - 1):
+        open_ = component[i + 1 :] != component[i]
+        if low != high:
+            open_ &= own[i + 1 :] != own[i]
+        after = i + 1 + np.flatnonzero(open_ & (np.minimum(size[i + 1 :], size[i]) * 100 >= np.maximum(size[i + 1 :], size[i]) * similarity))
+        after = after[np.bitwise_count(sketch[after] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
+        # a pair that shares several bands is checked in the first of them only
+        after = after[bands[i][(bands[after] == bands[i]).argmax(1)] == key] if len(after) else after
+        if len(after):
+            yield i, after
+
+
+def _sorted_places(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*PLACE).sortWithinPartitions(*PLACE)
+
+
+def open_members(rest: DataFrame, similarity: int) -> DataFrame:
+    """The rows of rest that have a pair to check in their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _places(batches):
+            ends = [np.append(after, i) for i, after in _open_pairs(rows, similarity)]
+            if ends:
+                yield from rows.take(pa.array(np.unique(np.concatenate(ends)))).combine_chunks().to_batches()
+
+    return _sorted_places(rest).mapInArrow(run, rest.schema)
+
+
+def joining_links(members: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b), verified on full sets, that join components in a place. members: rows of open_members with their texts.
+
+    Every pair that open_members saw is checked, unless links found before have joined its components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _places(batches):
+            fps, texts = (rows.column(c).to_pylist() for c in ("fp", "text"))
+            root = rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+            sets, found = [None] * len(fps), []
+            for i, after in _open_pairs(rows, similarity):
+                for j in after.tolist():
+                    if root[i] == root[j]:
+                        continue
+                    for k in (i, j):
+                        if sets[k] is None:
+                            sets[k], texts[k] = shingles(texts[k]), None
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                        found.append((fps[i], fps[j]))
+                        root[root == root[j]] = root[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return _sorted_places(members).mapInArrow(run, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b), a written table, whose full sets have the similarity. texts: (fp, text) of the classes concerned."""
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
@@ -212,10 +300,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
     shared = materialize(members.groupBy("key").agg(hubs.alias("hubs"), F.count("*").alias("n")).where("n > 1"), "shared")
     members = materialize(members.join(shared.select("key", "hubs"), "key"), "members")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """(fp, text) of the classes of pairs: one shuffle of the documents."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        needed = needed.join(classes.select("fp", "rep.doc_id", "rep.text_key"), "fp")
+    def texts_of(needed: DataFrame) -> DataFrame:
+        """(fp, text) of classes: one shuffle of the documents."""
+        needed = needed.distinct().join(classes.select("fp", "rep.doc_id", "rep.text_key"), "fp")
         # ids may repeat: the digest tells which row's text it is
         own = docs.join(needed, "doc_id").where(F.md5(F.coalesce("text", F.lit(""))) == F.col("text_key"))
         return materialize(own.select("fp", "text").dropDuplicates(["fp"]), "texts")
@@ -224,7 +311,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
     stars = materialize(
         stars.join(facts.alias("x"), F.col("a") == F.col("x.fp")).join(facts.alias("y"), F.col("b") == F.col("y.fp"))
         .where(_alike("x", "y", similarity)).select("a", "b", _differ("x", "y").alias("differ")), "stars")
-    texts = texts_of(stars)
+    texts = texts_of(stars.select(F.explode(F.array("a", "b")).alias("fp")))
     links, tried, joined = None, None, None
     for _ in range(ROUNDS):
         open_ = stars
@@ -244,16 +331,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> Da
     rest = of.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rest = rest.join(classes.select("fp", "n_shingles", "sketch", "bands"), "fp").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "fp", "component", "n_shingles", "sketch", "bands")
-    rest = materialize(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
-    across = x.join(y, meet[0] & meet[1] & meet[2] & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.component") != F.col("y.component"))
-                    & ((F.col("x.own") != F.col("y.own")) | (F.col("x.low") == F.col("x.high"))) & _alike("x", "y", similarity)
-                    # a pair that shares several bands is compared in the first of them only
-                    & F.expr("array_intersect(x.bands, y.bands)[0] = x.key"))
-    across = materialize(across.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "across")
+    across = materialize(open_members(rest, similarity), "across")
     if across.limit(1).count():
-        joined = components(links.union(materialize(verified(across, texts_of(across), similarity), "links")))
+        members = across.join(texts_of(across.select("fp")), "fp").select(*across.columns, "text")
+        joined = components(links.union(materialize(joining_links(members, similarity), "links")))
 
     whole = classes.select("fp", F.col("rep.doc_id").alias("rep")).join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     whole = whole.withColumn("component", F.coalesce("component", "fp"))

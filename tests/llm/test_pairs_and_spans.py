@@ -466,3 +466,39 @@ def test_query_of_spans(spark, tmp_path):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(k == i for _, k, _ in want) for i in range(4)]
         shown = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
         assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest() and set(filter(None, shown.split(","))) <= set(r["spans"].split(","))
+
+
+def test_a_hovering_group_makes_no_row_a_pair(spark, monkeypatch):
+    """Texts that hover just below the threshold: what is written grows with the members of bands, not with their pairs, and nothing is lost."""
+    import random
+
+    from blobsmith.llm import near_dup
+
+    draw, n = random.Random(11), 300
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(n):
+        words = base.copy()
+        for at in draw.sample(range(400), 8 if i % 10 else 4):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    sets = [set(near_dup.shingles(t).tolist()) for t in texts]
+    of = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common) and of[i] != of[j]:
+                low, high = sorted((of[i], of[j]))
+                of = [low if x == high else x for x in of]
+    rows, real = {}, near_dup.materialize
+
+    def counted(df, name="step"):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dup.near_duplicates(docs, similarity=80).collect()
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == of and len(set(of)) > n / 10
+    assert 0 < rows["across"] <= rows["members"] <= near_dup.BANDS * n and rows["links"] < n
