@@ -341,3 +341,20 @@ def test_places_are_searched_not_listed(spark):
             assert r["a"] == r["b"]
     plan = catalog.QUERIES["find_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and plan.count("places_of(") == 1
+
+
+def test_settings_bytes_take_linear_time():
+    """Four times the values take about four times as long, not sixteen."""
+    import time
+
+    from blobsmith.codecs import text
+
+    def seconds(n):
+        groups = [{"section": "s", "entries": [{"key": "k", "values": [(1, str(i)) for i in range(n)]}]}]
+        start = time.process_time()
+        data = text.cbin_bytes(groups)
+        return time.process_time() - start, data, groups
+
+    seconds(1000)
+    (short, *_), (long, data, groups) = seconds(100_000), seconds(400_000)
+    assert long < 9 * short and text.cbin_rows(data)[1] == groups
