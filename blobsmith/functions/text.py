@@ -77,12 +77,12 @@ def name_status(
 
 def group_name(text: Column) -> Column:
     """What a group name may hold: letters, digits and underscores, in lower case."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9_]", "")
+    return F.regexp_replace(F.lower(text), "[^a-z0-9_]+", "")
 
 
 def key_name(text: Column) -> Column:
     """What a key may hold: beside these / : and blanks."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9/_: ]", "")
+    return F.regexp_replace(F.lower(text), "[^a-z0-9/_: ]+", "")
 
 
 def sanitize_name(name: Column, longest: int = 15) -> Column:
